@@ -25,6 +25,7 @@ from docloom.llm.common import batches, checkpointed, records, small, text_key
 
 BINS = 1 << 16
 UND = "und"
+UNSEEN = 0.3
 #: Address suffixes that suggest a language.
 SUFFIXES = {"de": "de", "at": "de", "fr": "fr", "es": "es", "mx": "es", "ar": "es", "uk": "en", "us": "en", "au": "en", "it": "it", "pt": "pt", "br": "pt", "nl": "nl"}
 _LETTERS = np.array([1, 0x9E3779B1, 0x85EBCA77], np.uint32)
@@ -63,9 +64,9 @@ def fit(rows: Iterable[tuple[str, str]]) -> Model:
     languages = sorted(counts)
     table = np.zeros((BINS, len(languages) + 1), np.float32)
     for k, lang in enumerate(languages):
-        n = counts[lang] + 0.05
-        table[:, k] = np.log(n / n.sum())
-    table[:, -1] = -np.log(BINS / 8)
+        # A share of the uniform likelihood keeps numbers, names and secrets from outweighing the rest.
+        table[:, k] = np.log((1 - UNSEEN) * counts[lang] / max(1.0, counts[lang].sum()) + UNSEEN * 8 / BINS)
+    table[:, -1] = np.log(8 / BINS)
     return Model(languages, table)
 
 
@@ -115,11 +116,12 @@ def identify_languages(docs: DataFrame, model: Model, address: str = "source", s
     n = len(model.languages)
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     host = host_of(F.col(address).cast("string"))
+    plain = F.when(text.contains("<"), F.regexp_replace(text, r"</?[A-Za-z][^<>]*>", " ")).otherwise(text)
 
     def score(arrow: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from batches(((*row[:5], model.likelihoods(row[5]).tolist()) for row in records(arrow)), _SCORED)
 
-    rows = docs.select(F.col("doc_id").cast("long"), text_key(text).alias("key"), host.alias("host"), declared_language(text).alias("declared"), suffix_language(host).alias("suffix"), text.alias("text"))
+    rows = docs.select(F.col("doc_id").cast("long"), text_key(text).alias("key"), host.alias("host"), declared_language(text).alias("declared"), suffix_language(host).alias("suffix"), plain.alias("text"))
     scored = rows.mapInArrow(score, "doc_id long, key long, host string, declared string, suffix string, ll array<double>")
     if not n:
         return scored.select("doc_id", "key", F.lit(None).cast("string").alias("lang_pred"), F.lit(0.0).alias("confidence"), "declared", F.col("suffix").alias("suffix_lang"), F.lit(True).alias("kept"))

@@ -85,6 +85,8 @@ def shown(spans: Iterable[tuple[int, int, int]]) -> str:
 LABELS = 1 + len(KINDS)
 _BINS = (1, 4, 7, 9, 13, 20, 41)
 FEATURES = 12 + len(_BINS) + 1
+#: How much a skip potential counts against the unary ones: mentions alike in seven digits or more seldom differ in kind.
+SKIP_WEIGHT = 2.0
 
 
 def features(token: str, before: str) -> np.ndarray:
@@ -244,7 +246,7 @@ def train(texts: Iterable[str], threshold: float = 0.9, steps: int = 300) -> Fie
             weights += 2.0 * (x.T @ (share * (target - p)) - 1e-4 * weights)
     ratio = lambda n: np.log(n / n.sum()) - np.log(n.sum(1) / n.sum())[:, None] - np.log(n.sum(0) / n.sum())[None]
     # Skip potentials are ratios of smoothed conditionals; agreement always pays.
-    return Field(weights, ratio(chain + chain.T) / 2, ratio(skip + skip.T), threshold)
+    return Field(weights, ratio(chain + chain.T) / 2, SKIP_WEIGHT * ratio(skip + skip.T), threshold)
 
 
 def train_on(docs: DataFrame, rows: int = 1_000, threshold: float = 0.9) -> Field:
