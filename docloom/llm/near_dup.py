@@ -7,9 +7,10 @@ value is its first point.  Two documents agree in a register with probability su
 counts.  Points are made in order of time and only while they can still be first in some register.
 
 Documents whose bands agree are candidates.  Texts with equal multisets are one node beforehand.  In a bucket of
-at most SMALL_BUCKET nodes all pairs are compared; in a larger one each node is compared with the bucket's first
-node, and those that aren't linked to it form a bucket of their own, again and again until none is left over.
-Links are verified on the exact multisets; classes are the connected components of the links.
+at most SMALL_BUCKET nodes all pairs are compared.  In a larger one each node is compared with the bucket's leader,
+and those that aren't linked to it with the nodes of their buckets whose signatures agree most with theirs, found
+in blocks among all of a bucket.  So a link in a large bucket goes unseen only if it is to no leader and another
+node's signature agrees more in each common bucket's block; a class can miss a node only so.  Links are verified on the exact multisets; classes are the connected components of the links.
 """
 
 from __future__ import annotations
@@ -27,6 +28,10 @@ from docloom.llm.common import batches, checkpointed, records, text_key
 WORDS = 5
 BANDS, ROWS = 26, 5
 SMALL_BUCKET = 8
+#: Up to so many (two nodes of 16 bytes) are broadcast to the texts.
+FEW_PAIRS = 50_000
+#: Nodes of a large bucket that meet at once.
+BLOCK = 1024
 _U = np.uint64
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -84,26 +89,31 @@ def bag_min_hash(items: np.ndarray, counts: np.ndarray, registers: int = BANDS *
             level, base = level + 1, base * 2
         streams, rate, low, weight = (np.concatenate(x) for x in zip(*parts))
     first, value = np.full(registers, np.inf), np.zeros(registers, np.uint64)
-    mass = float(counts.sum())
+    # By this time all registers are filled, nine times in ten; a block of points reaches it for most streams.
+    enough = registers / max(1.0, float(counts.sum())) * (np.log(registers) + 2.5)
+    n = int(np.clip(np.ceil(enough + 2 * enough**0.5 + 1), 1, 4096))
     now, at = np.zeros(len(streams)), 0
     while len(streams):
-        n = int(np.clip(1.2 * registers * (np.log(registers) + 2) / mass, 1, 4096)) if not at else int(np.clip(0.3 * registers / mass, 1, 1024))
         point = mix(streams[:, None] + mix(np.arange(at + 1, at + n + 1, dtype=np.uint64)))
-        time = now[:, None] + np.cumsum(-np.log(((point >> _U(24)).astype(np.float64) + 0.5) * 2.0**-40), axis=1) / rate[:, None]
-        ok = time < first.max()
+        time = -np.log(((point >> _U(24)).astype(np.float64) + 0.5) * 2.0**-40)
+        if len(streams) and rate.max() > 1:
+            time /= rate[:, None]
+        time = now[:, None] + np.cumsum(time, axis=1)
+        now, ok = time[:, -1].copy(), time < first.max()
         cut = weight < low + rate
         if cut.any():  # the level is only part covered: points above the weight don't count
             above = (mix(point[cut]) >> _U(11)).astype(np.float64) * 2.0**-53 * rate[cut][:, None] + low[cut][:, None] >= weight[cut][:, None]
             ok[cut] &= ~above
-        p, t = point[ok], time[ok]
-        register = ((p & _U(0xFFFFFF)) * _U(registers) >> _U(24)).astype(np.int64)
-        order = np.lexsort((p, t, register))
-        register, t, p = register[order], t[order], p[order]
-        lead = np.flatnonzero(np.diff(register, prepend=-1))
-        register, t, p = register[lead], t[lead], p[lead]
-        better = t < first[register]
-        first[register[better]], value[register[better]] = t[better], p[better]
-        now = time[:, -1]
+        for part in (ok & (time < enough), ok & (time >= enough)):
+            p, t = point[part], time[part]
+            order = np.argsort(-t)  # the earliest point of a register is assigned last
+            p, t, register = p[order], t[order], ((p[order] & _U(0xFFFFFF)) * _U(registers) >> _U(24)).astype(np.int64)
+            new, id_ = np.full(registers, np.inf), np.zeros(registers, np.uint64)
+            new[register], id_[register] = t, p
+            better = new < first
+            first[better], value[better] = new[better], id_[better]
+            if first.max() < enough:
+                break
         live = now < first.max()
         streams, rate, low, weight, now = streams[live], rate[live], low[live], weight[live], now[live]
         at += n
@@ -120,28 +130,29 @@ def weighted_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.n
     return shared / (int(n.sum()) + int(m.sum()) - shared)
 
 
-_SKETCH = pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), ("bag", pa.binary()), ("n", pa.int64()), ("bands", pa.list_(pa.int64()))])
+_SKETCH = pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), ("bag", pa.binary()), ("n", pa.int64()), ("bands", pa.list_(pa.int64())), ("sig", pa.binary())])
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    """(doc_id, key, bag, n, bands): 128 bits of the multiset, its size, and a hash for each band."""
+    """(doc_id, key, bag, n, bands, sig): 128 bits of the multiset, its size, a hash for each band, 16 bits of each register."""
 
     def run(arrow: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows() -> Iterator[tuple]:
             for doc_id, key, text in records(arrow):
                 items, counts = shingles(text)
                 if not len(items):
-                    yield doc_id, key, None, 0, []
+                    yield doc_id, key, None, 0, [], b""
                     continue
-                bands = bag_min_hash(items, counts).reshape(BANDS, ROWS)
+                signature = bag_min_hash(items, counts)
+                bands = signature.reshape(BANDS, ROWS)
                 h = np.arange(1, BANDS + 1, dtype=np.uint64) * _U(0xE7037ED1A0B428DB)
                 for k in range(ROWS):
                     h = mix(h * _U(3) + bands[:, k])
-                yield doc_id, key, xxhash.xxh3_128_digest(items.tobytes() + counts.tobytes()), int(counts.sum()), h.view(np.int64).tolist()
+                yield doc_id, key, xxhash.xxh3_128_digest(items.tobytes() + counts.tobytes()), int(counts.sum()), h.view(np.int64).tolist(), signature.astype("<u2").tobytes()
 
         yield from batches(rows(), _SKETCH)
 
-    return docs.mapInArrow(run, "doc_id long, key long, bag binary, n long, bands array<long>")
+    return docs.mapInArrow(run, "doc_id long, key long, bag binary, n long, bands array<long>, sig binary")
 
 
 _SIM = pa.schema([("d", pa.struct([("doc_id", pa.int64()), ("key", pa.int64())])), ("e", pa.struct([("doc_id", pa.int64()), ("key", pa.int64())])), ("similarity", pa.float64())])
@@ -162,9 +173,12 @@ def _compare(arrow: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def similarities(pairs: DataFrame, texts: DataFrame, spread: int = 256) -> DataFrame:
     """(d, e, similarity) of (d, e) pairs: e's text travels once for each `spread` of its partners."""
-    pairs = pairs.select("d", "e")
+    few = pairs.limit(FEW_PAIRS + 1).count() <= FEW_PAIRS  # a few pairs go to the texts, not the texts to them
+    hint = F.broadcast if few else (lambda x: x)
+    pairs = hint(pairs.select("d", "e"))
     groups = pairs.groupBy("e").agg(F.count(F.lit(1)).alias("m")).withColumn("parts", F.ceil(F.col("m") / spread).cast("int"))
-    later = pairs.join(groups, "e").withColumn("part", F.pmod(F.xxhash64("d"), F.col("parts").cast("long")).cast("int")).join(texts, "d").select("e", "part", F.lit(0).alias("leads"), "d", "text")
+    groups = hint(groups)
+    later = hint(pairs.join(groups, "e")).withColumn("part", F.pmod(F.xxhash64("d"), F.col("parts").cast("long")).cast("int")).join(texts, "d").select("e", "part", F.lit(0).alias("leads"), "d", "text")
     lead = groups.join(texts.withColumnRenamed("d", "e"), "e").select("e", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(1).alias("leads"), F.col("e").alias("d"), "text")
     met = later.union(lead).repartition("e", "part").sortWithinPartitions("e", "part", F.desc("leads"))
     return met.select("leads", "d", "e", "text").mapInArrow(_compare, f"d {_NODE}, e {_NODE}, similarity double")
@@ -191,6 +205,50 @@ def components(links: DataFrame) -> DataFrame:
         edges = checkpointed(small.where("u != v").distinct())
 
 
+def buckets(rows: DataFrame) -> DataFrame:
+    """(d, h) rows of the buckets `h` with several nodes, with their size `n` and leader `e`.
+
+    The leader is the node with the most company over all its buckets: of a family of copies, one near their origin.
+    """
+    shared = rows.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    rows = checkpointed(rows.join(shared, "h"))
+    company = rows.groupBy("d").agg(F.sum("n").alias("company"))
+    leader = rows.where(f"n > {SMALL_BUCKET}").join(company, "d").groupBy("h").agg(F.min(F.struct(-F.col("company"), F.col("d").alias("d"))).alias("x")).select("h", F.col("x.d").alias("e"))
+    return checkpointed(rows.join(leader, "h", "left").select("d", "h", "n", "e"))
+
+
+def _closest(table: pa.Table) -> pa.Table:
+    """For each asking row of a block, the row that isn't it whose signature agrees most."""
+    sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), "<u2").reshape(table.num_rows, -1)
+    asks = table.column("asks").to_numpy()
+    d = table.column("d").to_pylist()
+    name = [(x["doc_id"], x["key"]) for x in d]
+    other = np.flatnonzero(asks == 0)
+    out = []
+    for k in np.flatnonzero(asks == 1):
+        alike = (sig[other] == sig[k]).sum(1)
+        alike[[name[j] == name[k] for j in other]] = -1
+        if len(alike) and alike.max() >= 0:
+            out.append((d[k], d[other[int(alike.argmax())]]))
+    kind = pa.struct([("doc_id", pa.int64()), ("key", pa.int64())])
+    return pa.table({"d": pa.array([x[0] for x in out], kind), "e": pa.array([x[1] for x in out], kind)})
+
+
+def closest(rest: DataFrame, members: DataFrame, signatures: DataFrame) -> DataFrame:
+    """(d, e): for each node of `rest`, in each of its buckets, the members most like it by signature.
+
+    A bucket is cut into blocks of about BLOCK nodes; each block of `rest` meets each block of members, and each of
+    these meetings gives a node one partner, so what is emitted grows with the nodes, not with their pairs.
+    """
+    parts = F.ceil(F.col("n") / BLOCK).cast("int")
+    own = F.pmod(F.xxhash64("d"), F.col("parts").cast("long")).cast("int")
+    every = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
+    asking = rest.withColumn("parts", parts).select("h", "d", own.alias("i"), every.alias("j"), F.lit(1).alias("asks"))
+    met = members.join(rest.select("h").distinct(), "h").withColumn("parts", parts).select("h", "d", every.alias("i"), own.alias("j"), F.lit(0).alias("asks"))
+    rows = asking.union(met).join(signatures, "d").select("h", "i", "j", "asks", "d", "sig")
+    return rows.groupBy("h", "i", "j").applyInArrow(_closest, f"d {_NODE}, e {_NODE}").distinct()
+
+
 def near_duplicates(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     """(doc_id, key, n_shingles, class_id, class_key): one row for each distinct (doc_id, text) of `docs`.
 
@@ -201,29 +259,19 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1)).alias("doc_id"), text_key(text).alias("key"), text.alias("text"))
     sketched = checkpointed(sketches(rows).dropDuplicates(["doc_id", "key"]))
-    nodes = sketched.where("n > 0").select(F.struct("doc_id", "key").alias("d"), "bag", "bands")
-    heads = nodes.groupBy("bag").agg(F.min(F.struct("d", "bands")).alias("x")).select("bag", "x.d", "x.bands")
-    held = heads.select("d", F.explode("bands").alias("h"))
-    shared = held.groupBy("h").agg(F.min("d").alias("e"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    held = checkpointed(held.join(shared, "h"))
-    met = held.select("d").distinct()
+    nodes = sketched.where("n > 0").select(F.struct("doc_id", "key").alias("d"), "bag", "bands", "sig")
+    heads = nodes.groupBy("bag").agg(F.min(F.struct("d", "bands", "sig")).alias("x")).select("bag", "x.d", "x.bands", "x.sig")
+    held = buckets(heads.select("d", F.explode("bands").alias("h")))
     texts = rows.select(F.struct("doc_id", "key").alias("d"), "text")
-    texts = checkpointed(texts.join(met, "d").dropDuplicates(["d"]))
-    known = None
-    while True:
-        small = held.where(f"n <= {SMALL_BUCKET}").select("h", "d")
-        pairs = small.join(small.withColumnRenamed("d", "e"), "h").where("e < d").select("d", "e")
-        pairs = pairs.union(held.where(f"n > {SMALL_BUCKET} and d != e").select("d", "e")).distinct()
-        if known is not None:
-            pairs = pairs.join(known, ["d", "e"], "left_anti")
-        got = checkpointed(similarities(pairs, texts))
-        known = got if known is None else checkpointed(known.union(got))
-        links = known.where(F.col("similarity") >= threshold)
-        rest = held.where(f"n > {SMALL_BUCKET} and d != e").join(links, ["d", "e"], "left_anti").select("h", "d")
-        again = rest.groupBy("h").agg(F.min("d").alias("e"), F.count(F.lit(1)).alias("n")).where("n > 1")
-        held = checkpointed(rest.join(again, "h"))
-        if held.isEmpty():
-            break
+    texts = checkpointed(texts.join(held.select("d").distinct(), "d").dropDuplicates(["d"]))
+    few, large = held.where(f"n <= {SMALL_BUCKET}").select("h", "d"), held.where(f"n > {SMALL_BUCKET}")
+    pairs = few.join(few.withColumnRenamed("d", "e"), "h").where("e < d").select("d", "e")
+    pairs = checkpointed(pairs.union(large.where("d != e").select("d", "e")).distinct())
+    known = checkpointed(similarities(pairs, texts))
+    links = known.where(F.col("similarity") >= threshold)
+    rest = checkpointed(large.where("d != e").join(links, ["d", "e"], "left_anti").select("h", "d", "n"))
+    more = closest(rest, large.select("h", "d", "n"), heads.select("d", "sig")).join(known, ["d", "e"], "left_anti")
+    links = links.union(similarities(checkpointed(more), texts).where(F.col("similarity") >= threshold))
     roots = components(links.select("d", "e"))
     classes = heads.select("bag", F.col("d").alias("node")).join(roots, "node", "left").select("bag", F.coalesce("root", "node").alias("root"))
     out = sketched.select("doc_id", "key", "n", "bag").join(classes, "bag", "left")
