@@ -7,10 +7,12 @@ value is its first point.  Two documents agree in a register with probability su
 counts.  Points are made in order of time and only while they can still be first in some register.
 
 Documents whose bands agree are candidates.  Texts with equal multisets are one node beforehand.  In a bucket of
-at most SMALL_BUCKET nodes all pairs are compared.  In a larger one each node is compared with the bucket's leader,
-and those that aren't linked to it with the nodes of their buckets whose signatures agree most with theirs, found
-in blocks among all of a bucket.  So a link in a large bucket goes unseen only if it is to no leader and another
-node's signature agrees more in each common bucket's block; a class can miss a node only so.  Links are verified on the exact multisets; classes are the connected components of the links.
+at most SMALL_BUCKET nodes all pairs are compared.  In a larger one each node is compared with the bucket's leader;
+then, as long as a bucket holds nodes of several classes, those outside the leader's class meet all of its nodes in
+blocks, and those of other classes whose signatures agree in ALIKE registers at least are compared with them, the
+best first.  So every pair of a common band is compared on the exact multisets, linked by others already, or, by its
+signature, under the threshold (a pair of similarity 0.8 is taken for one with a chance of 6 in 100,000; that it has
+no common band has 3 in 100,000).  Classes are the connected components of the links.
 """
 
 from __future__ import annotations
@@ -32,6 +34,10 @@ SMALL_BUCKET = 8
 FEW_PAIRS = 50_000
 #: Nodes of a large bucket that meet at once.
 BLOCK = 1024
+#: Registers of BANDS * ROWS, in which a pair of a large bucket agrees that is worth comparing.
+ALIKE = 87
+#: Up to which place among the nodes most like it a node is compared with others, round by round; the last has no end.
+PLACES = (4, 16, 64, 256)
 _U = np.uint64
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -217,36 +223,76 @@ def buckets(rows: DataFrame) -> DataFrame:
     return checkpointed(rows.join(leader, "h", "left").select("d", "h", "n", "e"))
 
 
-def _closest(table: pa.Table) -> pa.Table:
-    """For each asking row of a block, the row that isn't it whose signature agrees most."""
-    sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), "<u2").reshape(table.num_rows, -1)
-    asks = table.column("asks").to_numpy()
-    d = table.column("d").to_pylist()
-    name = [(x["doc_id"], x["key"]) for x in d]
-    other = np.flatnonzero(asks == 0)
-    out = []
-    for k in np.flatnonzero(asks == 1):
-        alike = (sig[other] == sig[k]).sum(1)
-        alike[[name[j] == name[k] for j in other]] = -1
-        if len(alike) and alike.max() >= 0:
-            out.append((d[k], d[other[int(alike.argmax())]]))
-    kind = pa.struct([("doc_id", pa.int64()), ("key", pa.int64())])
-    return pa.table({"d": pa.array([x[0] for x in out], kind), "e": pa.array([x[1] for x in out], kind)})
-
-
-def closest(rest: DataFrame, members: DataFrame, signatures: DataFrame) -> DataFrame:
-    """(d, e): for each node of `rest`, in each of its buckets, the members most like it by signature.
-
-    A bucket is cut into blocks of about BLOCK nodes; each block of `rest` meets each block of members, and each of
-    these meetings gives a node one partner, so what is emitted grows with the nodes, not with their pairs.
+_PAIR = pa.struct([("doc_id", pa.int64()), ("key", pa.int64())])
+
+
+def _closest(low: int, high: int | None):
+    """For each asking row of a block, the rows of other classes among those most like it, and whether more come later."""
+
+    def run(table: pa.Table) -> pa.Table:
+        d = table.column("d").to_pylist()
+        order = np.array(sorted(range(len(d)), key=lambda k: (d[k]["doc_id"], d[k]["key"])), np.int64)  # places must not change between rounds
+        sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), "<u2").reshape(len(d), -1)
+        asks, root = table.column("asks").to_numpy(), table.column("root").to_numpy()
+        other = order[asks[order] == 0]
+        held, left, right = sig[other], [], []
+        for k in np.flatnonzero(asks == 1).tolist():
+            alike = (held == sig[k]).sum(1)
+            near = np.flatnonzero(alike >= ALIKE)
+            near = other[near[np.argsort(-alike[near], kind="stable")]]
+            strange = root[near] != root[k]
+            for j in near[low:high][strange[low:high]].tolist():
+                left.append(d[k])
+                right.append(d[j])
+            if high is not None and strange[high:].any():
+                left.append(d[k])
+                right.append(None)
+        return pa.table({"d": pa.array(left, _PAIR), "e": pa.array(right, _PAIR)})
+
+    return run
+
+
+def closest(members: DataFrame, signatures: DataFrame, low: int, high: int | None) -> DataFrame:
+    """(d, e) for asking nodes `d` of (h, d, n, root, asks): nodes of other classes in places `low` to `high` by signature.
+
+    A row without `e` says that there are some in later places.  A bucket is cut into blocks of about BLOCK nodes;
+    each block of asking nodes meets each block of members.
     """
     parts = F.ceil(F.col("n") / BLOCK).cast("int")
     own = F.pmod(F.xxhash64("d"), F.col("parts").cast("long")).cast("int")
     every = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
-    asking = rest.withColumn("parts", parts).select("h", "d", own.alias("i"), every.alias("j"), F.lit(1).alias("asks"))
-    met = members.join(rest.select("h").distinct(), "h").withColumn("parts", parts).select("h", "d", every.alias("i"), own.alias("j"), F.lit(0).alias("asks"))
-    rows = asking.union(met).join(signatures, "d").select("h", "i", "j", "asks", "d", "sig")
-    return rows.groupBy("h", "i", "j").applyInArrow(_closest, f"d {_NODE}, e {_NODE}").distinct()
+    members = members.withColumn("parts", parts)
+    asking = members.where("asks").select("h", "d", "root", own.alias("i"), every.alias("j"), F.lit(1).alias("asks"))
+    met = members.select("h", "d", "root", every.alias("i"), own.alias("j"), F.lit(0).alias("asks"))
+    rows = asking.union(met).join(signatures, "d").select("h", "i", "j", "asks", "d", "root", "sig")
+    return rows.groupBy("h", "i", "j").applyInArrow(_closest(low, high), f"d {_NODE}, e {_NODE}").distinct()
+
+
+def open_buckets(large: DataFrame, roots: DataFrame) -> DataFrame:
+    """(h, d, n, root, asks) of the buckets with several classes; the nodes outside the leader's class ask."""
+    rows = large.join(roots.withColumnRenamed("node", "d"), "d", "left").withColumn("root", F.coalesce("root", "d"))
+    several = rows.groupBy("h").agg(F.min("root").alias("a"), F.max("root").alias("b"), F.max(F.when(F.col("d") == F.col("e"), F.col("root"))).alias("lead")).where("a != b")
+    return rows.join(several, "h").select("h", "d", "n", F.xxhash64("root").alias("root"), (F.col("root") != F.col("lead")).alias("asks"))
+
+
+def classes_of(large: DataFrame, links: DataFrame, known: DataFrame, signatures: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+    """(node, root) from the links so far and those between the classes that meet in a large bucket."""
+    roots, low = components(links), 0
+    known = known.select(F.greatest("d", "e").alias("d"), F.least("d", "e").alias("e"))
+    for high in (*PLACES, None):
+        members = checkpointed(open_buckets(large, roots))
+        if members.isEmpty():
+            break
+        found = checkpointed(closest(members, signatures, low, high))
+        pairs = found.where("e is not null").select(F.greatest("d", "e").alias("d"), F.least("d", "e").alias("e")).distinct()
+        got = checkpointed(similarities(checkpointed(pairs.join(known, ["d", "e"], "left_anti")), texts))
+        new = got.where(F.col("similarity") >= threshold).select("d", "e")
+        if not new.isEmpty():
+            roots = components(roots.select(F.col("node").alias("d"), F.col("root").alias("e")).union(new))
+        if found.where("e is null").isEmpty():
+            break
+        known, low = known.union(got.select("d", "e")), high
+    return roots
 
 
 def near_duplicates(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
@@ -268,11 +314,8 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     pairs = few.join(few.withColumnRenamed("d", "e"), "h").where("e < d").select("d", "e")
     pairs = checkpointed(pairs.union(large.where("d != e").select("d", "e")).distinct())
     known = checkpointed(similarities(pairs, texts))
-    links = known.where(F.col("similarity") >= threshold)
-    rest = checkpointed(large.where("d != e").join(links, ["d", "e"], "left_anti").select("h", "d", "n"))
-    more = closest(rest, large.select("h", "d", "n"), heads.select("d", "sig")).join(known, ["d", "e"], "left_anti")
-    links = links.union(similarities(checkpointed(more), texts).where(F.col("similarity") >= threshold))
-    roots = components(links.select("d", "e"))
+    links = known.where(F.col("similarity") >= threshold).select("d", "e")
+    roots = classes_of(large, links, known, heads.select("d", "sig"), texts, threshold)
     classes = heads.select("bag", F.col("d").alias("node")).join(roots, "node", "left").select("bag", F.coalesce("root", "node").alias("root"))
     out = sketched.select("doc_id", "key", "n", "bag").join(classes, "bag", "left")
     null_id = lambda c: F.nullif(c, F.lit(2**63 - 1))

@@ -129,6 +129,32 @@ def test_near_duplicates_match_brute_force(spark):
     assert near_dup.near_duplicates(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
+def test_classes_of_wandering_families_are_whole(spark, monkeypatch):
+    """Texts that drift away from their family's first: large buckets hold many that aren't like their leader."""
+    monkeypatch.setattr(near_dup, "BLOCK", 8)
+    monkeypatch.setattr(near_dup, "PLACES", (1, 2, 5))
+    rnd = random.Random(11)
+    docs = []
+    for _ in range(3):
+        family = [words(rnd, 400)]
+        while len(family) < 45:
+            own = list(rnd.choice(family[-6:]))
+            for _ in range(rnd.choice([3, 8, 8, 9, 10])):
+                own[rnd.randrange(len(own))] = "new" + str(rnd.random())
+            family.append(own)
+        docs += [" ".join(x) for x in family]
+    rnd.shuffle(docs)
+    bags = [near_dup.shingles(t) for t in docs]
+    root = list(range(len(docs)))
+    for i in range(len(docs)):
+        for j in range(i):
+            if root[i] != root[j] and near_dup.weighted_jaccard(bags[i], bags[j]) >= 0.8:
+                low, high = sorted((root[i], root[j]))
+                root = [low if r == high else r for r in root]
+    got = near_dup.near_duplicates(spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")).collect()
+    assert {r["doc_id"]: r["class_id"] for r in got} == dict(enumerate(root))
+
+
 def test_dropping_keeps_one_of_each_class_and_other_columns(spark):
     rnd = random.Random(3)
     base = words(rnd, 60)
