@@ -7,12 +7,11 @@ value is its first point.  Two documents agree in a register with probability su
 counts.  Points are made in order of time and only while they can still be first in some register.
 
 Documents whose bands agree are candidates.  Texts with equal multisets are one node beforehand.  In a bucket of
-at most SMALL_BUCKET nodes all pairs are compared.  In a larger one each node is compared with the bucket's leader;
-then, as long as a bucket holds nodes of several classes, those outside the leader's class meet all of its nodes in
-blocks, and those of other classes whose signatures agree in ALIKE registers at least are compared with them, the
-best first.  So every pair of a common band is compared on the exact multisets, linked by others already, or, by its
-signature, under the threshold (a pair of similarity 0.8 is taken for one with a chance of 6 in 100,000; that it has
-no common band has 3 in 100,000).  Classes are the connected components of the links.
+at most SMALL_BUCKET nodes all pairs are compared.  In a larger one each node is compared with the bucket's leader.
+Where nodes outside the leader's class are left, those are compared with all nodes of the buckets that have this
+leader, in blocks which give a spanning forest of the links they find.  So every pair with a common band is compared
+on the exact multisets or is in one class by other links; classes are the connected components.  A pair of similarity
+0.8 has no common band with a chance of 3 in 100,000.
 """
 
 from __future__ import annotations
@@ -32,12 +31,8 @@ BANDS, ROWS = 26, 5
 SMALL_BUCKET = 8
 #: Up to so many (two nodes of 16 bytes) are broadcast to the texts.
 FEW_PAIRS = 50_000
-#: Nodes of a large bucket that meet at once.
-BLOCK = 1024
-#: Registers of BANDS * ROWS, in which a pair of a large bucket agrees that is worth comparing.
-ALIKE = 87
-#: Up to which place among the nodes most like it a node is compared with others, round by round; the last has no end.
-PLACES = (4, 16, 64, 256)
+#: Nodes on either side of a block.
+BLOCK = 512
 _U = np.uint64
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -136,29 +131,28 @@ def weighted_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.n
     return shared / (int(n.sum()) + int(m.sum()) - shared)
 
 
-_SKETCH = pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), ("bag", pa.binary()), ("n", pa.int64()), ("bands", pa.list_(pa.int64())), ("sig", pa.binary())])
+_SKETCH = pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), ("bag", pa.binary()), ("n", pa.int64()), ("bands", pa.list_(pa.int64()))])
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    """(doc_id, key, bag, n, bands, sig): 128 bits of the multiset, its size, a hash for each band, 16 bits of each register."""
+    """(doc_id, key, bag, n, bands): 128 bits of the multiset, its size, and a hash for each band."""
 
     def run(arrow: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows() -> Iterator[tuple]:
             for doc_id, key, text in records(arrow):
                 items, counts = shingles(text)
                 if not len(items):
-                    yield doc_id, key, None, 0, [], b""
+                    yield doc_id, key, None, 0, []
                     continue
-                signature = bag_min_hash(items, counts)
-                bands = signature.reshape(BANDS, ROWS)
+                bands = bag_min_hash(items, counts).reshape(BANDS, ROWS)
                 h = np.arange(1, BANDS + 1, dtype=np.uint64) * _U(0xE7037ED1A0B428DB)
                 for k in range(ROWS):
                     h = mix(h * _U(3) + bands[:, k])
-                yield doc_id, key, xxhash.xxh3_128_digest(items.tobytes() + counts.tobytes()), int(counts.sum()), h.view(np.int64).tolist(), signature.astype("<u2").tobytes()
+                yield doc_id, key, xxhash.xxh3_128_digest(items.tobytes() + counts.tobytes()), int(counts.sum()), h.view(np.int64).tolist()
 
         yield from batches(rows(), _SKETCH)
 
-    return docs.mapInArrow(run, "doc_id long, key long, bag binary, n long, bands array<long>, sig binary")
+    return docs.mapInArrow(run, "doc_id long, key long, bag binary, n long, bands array<long>")
 
 
 _SIM = pa.schema([("d", pa.struct([("doc_id", pa.int64()), ("key", pa.int64())])), ("e", pa.struct([("doc_id", pa.int64()), ("key", pa.int64())])), ("similarity", pa.float64())])
@@ -226,73 +220,67 @@ def buckets(rows: DataFrame) -> DataFrame:
 _PAIR = pa.struct([("doc_id", pa.int64()), ("key", pa.int64())])
 
 
-def _closest(low: int, high: int | None):
-    """For each asking row of a block, the rows of other classes among those most like it, and whether more come later."""
+def _forest(threshold: float):
+    """Links between the asking rows of a block and the others, as many as join classes."""
 
     def run(table: pa.Table) -> pa.Table:
-        d = table.column("d").to_pylist()
-        order = np.array(sorted(range(len(d)), key=lambda k: (d[k]["doc_id"], d[k]["key"])), np.int64)  # places must not change between rounds
-        sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), "<u2").reshape(len(d), -1)
-        asks, root = table.column("asks").to_numpy(), table.column("root").to_numpy()
-        other = order[asks[order] == 0]
-        held, left, right = sig[other], [], []
-        for k in np.flatnonzero(asks == 1).tolist():
-            alike = (held == sig[k]).sum(1)
-            near = np.flatnonzero(alike >= ALIKE)
-            near = other[near[np.argsort(-alike[near], kind="stable")]]
-            strange = root[near] != root[k]
-            for j in near[low:high][strange[low:high]].tolist():
-                left.append(d[k])
-                right.append(d[j])
-            if high is not None and strange[high:].any():
-                left.append(d[k])
-                right.append(None)
+        d, asks = table.column("d").to_pylist(), table.column("asks").to_numpy()
+        root = table.column("root").to_pylist()
+        sets = [_occurrences(*shingles(t)) for t in table.column("text").to_pylist()]
+        other = np.flatnonzero(asks == 0).tolist()
+        sizes = np.array([len(sets[k]) for k in other], np.int64)
+        items, place = np.unique(np.concatenate([sets[k] for k in other] or [np.zeros(0, np.uint64)]), return_inverse=True)
+        starts = np.cumsum(sizes) - sizes
+        up = {r: r for r in root}
+
+        def find(r: int) -> int:
+            while up[r] != r:
+                up[r] = r = up[up[r]]
+            return r
+
+        left, right = [], []
+        for k in np.flatnonzero(asks == 1).tolist() if other else ():
+            own = np.zeros(len(items), bool)
+            at = np.minimum(np.searchsorted(items, sets[k]), len(items) - 1)
+            own[at[items[at] == sets[k]]] = True
+            shared = np.add.reduceat(own[place], starts, dtype=np.int64)
+            for j in np.flatnonzero(shared / (sizes + len(sets[k]) - shared) >= threshold).tolist():
+                a, b = find(root[k]), find(root[other[j]])
+                if a != b:
+                    up[a] = b
+                    left.append(d[k])
+                    right.append(d[other[j]])
         return pa.table({"d": pa.array(left, _PAIR), "e": pa.array(right, _PAIR)})
 
     return run
 
 
-def closest(members: DataFrame, signatures: DataFrame, low: int, high: int | None) -> DataFrame:
-    """(d, e) for asking nodes `d` of (h, d, n, root, asks): nodes of other classes in places `low` to `high` by signature.
+def _occurrences(items: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """A multiset as a set: of a shingle's occurrences each has a hash of its own."""
+    if counts.max(initial=0) < 2:
+        return items
+    first = np.cumsum(counts) - counts
+    turn = (np.arange(int(counts.sum())) - np.repeat(first, counts)).astype(np.uint64)
+    return np.unique(mix(np.repeat(items, counts) + turn * _U(0xA0761D6478BD642F)) * (turn > 0) + np.repeat(items, counts) * (turn == 0))
 
-    A row without `e` says that there are some in later places.  A bucket is cut into blocks of about BLOCK nodes;
-    each block of asking nodes meets each block of members.
+
+def links_between_classes(large: DataFrame, roots: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+    """(d, e) links that join classes which meet in large buckets: of those of one leader, each node outside its class meets all.
+
+    Both sides are dealt into blocks of about BLOCK nodes; a block gives fewer links than it has nodes.
     """
-    parts = F.ceil(F.col("n") / BLOCK).cast("int")
-    own = F.pmod(F.xxhash64("d"), F.col("parts").cast("long")).cast("int")
-    every = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
-    members = members.withColumn("parts", parts)
-    asking = members.where("asks").select("h", "d", "root", own.alias("i"), every.alias("j"), F.lit(1).alias("asks"))
-    met = members.select("h", "d", "root", every.alias("i"), own.alias("j"), F.lit(0).alias("asks"))
-    rows = asking.union(met).join(signatures, "d").select("h", "i", "j", "asks", "d", "root", "sig")
-    return rows.groupBy("h", "i", "j").applyInArrow(_closest(low, high), f"d {_NODE}, e {_NODE}").distinct()
-
-
-def open_buckets(large: DataFrame, roots: DataFrame) -> DataFrame:
-    """(h, d, n, root, asks) of the buckets with several classes; the nodes outside the leader's class ask."""
-    rows = large.join(roots.withColumnRenamed("node", "d"), "d", "left").withColumn("root", F.coalesce("root", "d"))
-    several = rows.groupBy("h").agg(F.min("root").alias("a"), F.max("root").alias("b"), F.max(F.when(F.col("d") == F.col("e"), F.col("root"))).alias("lead")).where("a != b")
-    return rows.join(several, "h").select("h", "d", "n", F.xxhash64("root").alias("root"), (F.col("root") != F.col("lead")).alias("asks"))
-
-
-def classes_of(large: DataFrame, links: DataFrame, known: DataFrame, signatures: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
-    """(node, root) from the links so far and those between the classes that meet in a large bucket."""
-    roots, low = components(links), 0
-    known = known.select(F.greatest("d", "e").alias("d"), F.least("d", "e").alias("e"))
-    for high in (*PLACES, None):
-        members = checkpointed(open_buckets(large, roots))
-        if members.isEmpty():
-            break
-        found = checkpointed(closest(members, signatures, low, high))
-        pairs = found.where("e is not null").select(F.greatest("d", "e").alias("d"), F.least("d", "e").alias("e")).distinct()
-        got = checkpointed(similarities(checkpointed(pairs.join(known, ["d", "e"], "left_anti")), texts))
-        new = got.where(F.col("similarity") >= threshold).select("d", "e")
-        if not new.isEmpty():
-            roots = components(roots.select(F.col("node").alias("d"), F.col("root").alias("e")).union(new))
-        if found.where("e is null").isEmpty():
-            break
-        known, low = known.union(got.select("d", "e")), high
-    return roots
+    group = large.select("e", "d").distinct()
+    named = group.join(roots.withColumnRenamed("node", "d"), "d", "left").withColumn("root", F.coalesce("root", "d"))
+    lead = named.where("d = e").select("e", F.col("root").alias("lead"))
+    named = checkpointed(named.join(lead, "e").select("e", "d", F.xxhash64("root").alias("root"), (F.col("root") != F.col("lead")).alias("asks")))
+    blocks = lambda n: F.ceil(n / BLOCK).cast("int")
+    sizes = named.groupBy("e").agg(blocks(F.count(F.lit(1))).alias("held"), blocks(F.count(F.when(F.col("asks"), 1))).alias("asking")).where("asking > 0")
+    rows = named.join(sizes, "e").withColumn("hash", F.xxhash64("d"))
+    own, every = lambda n: F.pmod("hash", F.col(n).cast("long")).cast("int"), lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    asks = rows.where("asks").select("e", "d", "root", own("asking").alias("i"), every("held").alias("j"), F.lit(1).alias("asks"))
+    met = rows.select("e", "d", "root", every("asking").alias("i"), own("held").alias("j"), F.lit(0).alias("asks"))
+    rows = asks.union(met).join(texts, "d").select("e", "i", "j", "asks", "d", "root", "text")
+    return rows.groupBy("e", "i", "j").applyInArrow(_forest(threshold), f"d {_NODE}, e {_NODE}").distinct()
 
 
 def near_duplicates(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
@@ -305,8 +293,8 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1)).alias("doc_id"), text_key(text).alias("key"), text.alias("text"))
     sketched = checkpointed(sketches(rows).dropDuplicates(["doc_id", "key"]))
-    nodes = sketched.where("n > 0").select(F.struct("doc_id", "key").alias("d"), "bag", "bands", "sig")
-    heads = nodes.groupBy("bag").agg(F.min(F.struct("d", "bands", "sig")).alias("x")).select("bag", "x.d", "x.bands", "x.sig")
+    nodes = sketched.where("n > 0").select(F.struct("doc_id", "key").alias("d"), "bag", "bands")
+    heads = nodes.groupBy("bag").agg(F.min(F.struct("d", "bands")).alias("x")).select("bag", "x.d", "x.bands")
     held = buckets(heads.select("d", F.explode("bands").alias("h")))
     texts = rows.select(F.struct("doc_id", "key").alias("d"), "text")
     texts = checkpointed(texts.join(held.select("d").distinct(), "d").dropDuplicates(["d"]))
@@ -315,7 +303,10 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     pairs = checkpointed(pairs.union(large.where("d != e").select("d", "e")).distinct())
     known = checkpointed(similarities(pairs, texts))
     links = known.where(F.col("similarity") >= threshold).select("d", "e")
-    roots = classes_of(large, links, known, heads.select("d", "sig"), texts, threshold)
+    roots = components(links)
+    more = checkpointed(links_between_classes(large, roots, texts, threshold))
+    if not more.isEmpty():
+        roots = components(roots.select(F.col("node").alias("d"), F.col("root").alias("e")).union(more))
     classes = heads.select("bag", F.col("d").alias("node")).join(roots, "node", "left").select("bag", F.coalesce("root", "node").alias("root"))
     out = sketched.select("doc_id", "key", "n", "bag").join(classes, "bag", "left")
     null_id = lambda c: F.nullif(c, F.lit(2**63 - 1))

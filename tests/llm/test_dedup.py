@@ -132,7 +132,6 @@ def test_near_duplicates_match_brute_force(spark):
 def test_classes_of_wandering_families_are_whole(spark, monkeypatch):
     """Texts that drift away from their family's first: large buckets hold many that aren't like their leader."""
     monkeypatch.setattr(near_dup, "BLOCK", 8)
-    monkeypatch.setattr(near_dup, "PLACES", (1, 2, 5))
     rnd = random.Random(11)
     docs = []
     for _ in range(3):
