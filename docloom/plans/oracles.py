@@ -68,10 +68,10 @@ def overlap(a: str, b: str) -> str:
 
 _RETRIEVED = f"""(SELECT qid, rank, score, id, content, src, page FROM (
   SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, pos) AS rank FROM (
-    SELECT n.qid, n.id, n.pos, c.content, c.src, c.page, {overlap('left(d.text, 200)', 'c.content')} AS score,
+    SELECT n.qid, n.id, n.pos, c.content, c.src, c.page, {overlap('d.text', 'c.content')} AS score,
            row_number() OVER (PARTITION BY n.qid, c.content ORDER BY n.pos) AS one
-    FROM {near(15)} n
-    JOIN (SELECT v.vec_id AS id, CASE WHEN v.vec_id % 7 = 0 THEN ' ' ELSE left(d.text, 40) END AS content, 's' || v.label AS src, v.vec_id % 3 AS page
+    FROM {near(15, 'a.vec_id % 20 = 0 AND b.vec_id IN (SELECT doc_id FROM documents)')} n
+    JOIN (SELECT v.vec_id AS id, CASE WHEN v.vec_id % 7 = 0 THEN ' ' ELSE d.text END AS content, 's' || v.label AS src, v.vec_id % 3 AS page
           FROM embeddings v JOIN documents d ON v.vec_id = d.doc_id) c USING (id)
     JOIN documents d ON d.doc_id = n.qid WHERE trim(c.content) <> '') WHERE one = 1) WHERE rank <= 3)"""
 
@@ -105,19 +105,19 @@ _REPORT = f"""(SELECT *, CASE WHEN len(gold) > 0 THEN list_has_any(gold, sources
   FROM (SELECT conv_id AS qid, answer, CAST(conv_id % 3 AS BIGINT) AS answerable, {_ABSTAIN} AS abstained, {_IDS} AS ids,
       CASE conv_id % 4 WHEN 0 THEN ['a', 'z'] WHEN 1 THEN ['b', 'c'] ELSE CAST([] AS VARCHAR[]) END AS gold,
       CASE WHEN conv_id % 2 = 0 THEN ['a', 'b'] ELSE ['c'] END AS sources
-    FROM (SELECT conv_id, arg_min(answer, turn) AS answer FROM {_ANSWERS} WHERE turn <= 2 GROUP BY conv_id)))"""
+    FROM (SELECT conv_id, arg_min(answer, turn) AS answer FROM {_ANSWERS} GROUP BY conv_id)))"""
 
 _values = lambda rows: ", ".join(f"({k}, {'NULL' if v is None else q(v)})" for k, v in enumerate(rows))
 
 ORACLES: dict[str, str] = {
     "normalize_text": f"SELECT doc_id, length(t) AS n, md5(t) AS digest FROM (SELECT doc_id, {norm('text')} AS t FROM {_DOCS})",
     "arabic_letter_gate": f"SELECT doc_id, len(regexp_extract_all(text, '[ء-ي]')) AS letters FROM {_DOCS} WHERE length({strip('text')}) >= 15 AND len(regexp_extract_all(text, '[ء-ي]')) >= 10",
-    "arabic_ratio_filter": rf"""SELECT doc_id FROM (SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN {ar('text')} ELSE left(text, 200) || {ar('left(text, 60)')} END AS t FROM documents)
+    "arabic_ratio_filter": rf"""SELECT doc_id FROM (SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN {ar('text')} ELSE translate(text, 'ei', 'اب') END AS t FROM documents)
       WHERE len(regexp_extract_all(t, '[\x{{0600}}-\x{{06FF}}]')) >= 30 AND len(regexp_extract_all(t, '[\x{{0600}}-\x{{06FF}}]')) >= 0.2 * len(regexp_extract_all(t, '[0-9A-Za-z\x{{0600}}-\x{{06FF}}]'))""",
     "split_sentences": f"SELECT doc_id, len(s) AS n, md5(array_to_string(s, chr(10))) AS digest FROM (SELECT doc_id, {sentences('text')} AS s FROM {_DOCS})",
     "split_long_sentences": f"SELECT doc_id, len(s) AS n, md5(array_to_string(s, chr(10))) AS digest FROM (SELECT doc_id, {units('text')} AS s FROM {_DOCS})",
-    "heading_flags": f"""SELECT doc_id, k, {heading("CASE (doc_id + k) % 3 WHEN 0 THEN left(line, 20) || ' الفصل' WHEN 1 THEN left(line, 20) || ': عام' ELSE line END")} AS heading
-      FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, CAST(unnest(range(len(string_split(text, chr(10))))) AS BIGINT) AS k FROM {_DOCS})""",
+    "heading_flags": f"""SELECT doc_id, k, {heading("CASE (doc_id + k) % 3 WHEN 0 THEN line || ' الفصل' WHEN 1 THEN line || ': عام' ELSE line END")} AS heading
+      FROM (SELECT doc_id, unnest(string_split_regex(text, '[.\\n]')) AS line, CAST(unnest(range(len(string_split_regex(text, '[.\\n]')))) AS BIGINT) AS k FROM {_DOCS})""",
     "chunk_documents": f"""WITH RECURSIVE u AS (SELECT doc_id, {units("CASE WHEN doc_id % 3 = 0 THEN text || chr(10) || 'مقدمة عامة' || chr(10) || text ELSE text END")} AS x FROM {_DOCS}),
       w AS (SELECT doc_id, i, x, length(x) AS n, {heading('x')} AS h FROM (SELECT doc_id, unnest(x) AS x, unnest(range(1, len(x) + 1)) AS i FROM u)),
       f AS (SELECT doc_id, i, 1 AS c, n + CASE WHEN h THEN 1 ELSE 0 END AS total FROM w WHERE i = 1
