@@ -13,7 +13,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from docloom.llm.common import checkpointed
+from docloom.llm.common import checkpointed, small
 
 #: Blocks of each source: a hot source's rows are spread over so many keys.
 BLOCKS = 4096
@@ -80,15 +80,14 @@ def _hypergeometric(rng: np.random.Generator, good: int, bad: int, draws: int) -
     return int(np.clip(round(rng.normal(mean, spread)), max(0, draws - bad), min(good, draws)))
 
 
-def plan_mix(docs: DataFrame, size: Column, source: str = "source", weights: tuple[float, ...] = WEIGHTS, ratio: float = 1.5, seed: int = 11) -> DataFrame:
-    """The rows of `docs` with `_size`, `_source`, `_block`, `_source_size`, `_target` and `_taken`.
-
-    `_taken` is how many words the mix takes of the document, repeats counted: full epochs of its size, and what
-    the partial epoch takes of it.  Null sources are a source of their own; documents without words take none;
-    rows alike in doc_id and size are told apart by nothing and may stand in either order.
-    """
+def dealt(docs: DataFrame, source: str, seed: int) -> DataFrame:
+    """`docs` with `_source` and `_block`."""
     block = F.conv(F.substring(shuffled("doc_id", seed=seed), 1, 3), 16, 10).cast("int")
-    rows = docs.withColumns({"_size": size, "_source": F.coalesce(F.concat(F.lit("0"), F.col(source).cast("string")), F.lit("1")), "_block": block})
+    return docs.withColumns({"_source": F.coalesce(F.concat(F.lit("0"), F.col(source).cast("string")), F.lit("1")), "_block": block})
+
+
+def block_plan(rows: DataFrame, weights: tuple[float, ...], ratio: float, seed: int) -> DataFrame:
+    """(_s, _b, _bsize, _source_size, _target, _epochs, _left) of each block: `_left` words go to it and those after it."""
     blocks = rows.groupBy("_source", "_block").agg(F.sum("_size").alias("_bsize"))
     sizes = targets(blocks.groupBy(F.col("_source").alias("source")).agg(F.sum("_bsize").alias("source_size")), weights, ratio)
     blocks = blocks.join(sizes, F.col("_source") == F.col("source")).drop("source")
@@ -96,12 +95,28 @@ def plan_mix(docs: DataFrame, size: Column, source: str = "source", weights: tup
     blocks = blocks.withColumn("_epochs", full).withColumn("_rest", F.round(F.col("target")).cast("long") - F.col("_epochs") * F.col("source_size"))
     order = Window.partitionBy("_source").orderBy(shuffled("_block", seed=seed + 1), "_block").rowsBetween(Window.unboundedPreceding, -1)
     blocks = blocks.withColumn("_left", F.col("_rest") - F.coalesce(F.sum("_bsize").over(order), F.lit(0)))
-    blocks = blocks.select(F.col("_source").alias("_s"), F.col("_block").alias("_b"), F.col("source_size").alias("_source_size"), F.col("target").alias("_target"), "_epochs", "_left")
+    return blocks.select(F.col("_source").alias("_s"), F.col("_block").alias("_b"), "_bsize", F.col("source_size").alias("_source_size"), F.col("target").alias("_target"), "_epochs", "_left")
+
+
+def with_taken(rows: DataFrame, seed: int) -> DataFrame:
+    """`rows` with `_taken`: full epochs, and of the partial one what is left when a document's turn in its block comes."""
     inside = Window.partitionBy("_source", "_block").orderBy(shuffled("doc_id", seed=seed + 2), "doc_id", "_size").rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumn("_before", F.coalesce(F.sum("_size").over(inside), F.lit(0)))
-    rows = rows.join(blocks, (F.col("_source") == F.col("_s")) & (F.col("_block") == F.col("_b")))
+    before = F.coalesce(F.sum("_size").over(inside), F.lit(0))
     part = F.greatest(F.lit(0), F.least(F.col("_size"), F.col("_left") - F.col("_before")))
-    return rows.withColumn("_taken", (F.col("_epochs") * F.col("_size") + part).cast("long")).drop("_s", "_b", "_left", "_before", "_epochs")
+    return rows.withColumn("_before", before).withColumn("_taken", (F.col("_epochs") * F.col("_size") + part).cast("long")).drop("_before")
+
+
+def plan_mix(docs: DataFrame, size: Column, source: str = "source", weights: tuple[float, ...] = WEIGHTS, ratio: float = 1.5, seed: int = 11) -> DataFrame:
+    """The rows of `docs` with `_size`, `_source`, `_block`, `_source_size`, `_target` and `_taken`.
+
+    `_taken` is how many words the mix takes of the document, repeats counted: full epochs of its size, and what
+    the partial epoch takes of it.  Null sources are a source of their own; documents without words take none;
+    rows alike in doc_id and size are told apart by nothing and may stand in either order.
+    """
+    rows = dealt(docs.withColumn("_size", size), source, seed)
+    blocks = block_plan(rows, weights, ratio, seed)
+    rows = rows.join(blocks, (F.col("_source") == F.col("_s")) & (F.col("_block") == F.col("_b")))
+    return with_taken(rows, seed).drop("_s", "_b", "_bsize", "_left", "_epochs")
 
 
 def shard_quotas(drawn: DataFrame, shards: int, seed: int) -> DataFrame:
@@ -118,32 +133,32 @@ def shard_quotas(drawn: DataFrame, shards: int, seed: int) -> DataFrame:
     return spark.createDataFrame(rows, "_qs string, _shard int, _from long, _to long")
 
 
-def draws(plan: DataFrame) -> DataFrame:
-    """One row for each time that a document is drawn: `_epoch` and `_take`, its words in that epoch."""
-    size = F.greatest(F.col("_size"), F.lit(1))
-    epochs = F.sequence(F.lit(0), F.ceil(F.col("_taken") / size).cast("int") - 1)
-    rows = plan.where(F.col("_taken") > 0).withColumn("_epoch", F.explode(epochs))
-    return rows.withColumn("_take", F.least(F.col("_size"), F.col("_taken") - F.col("_epoch") * F.col("_size")))
-
-
 def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, ratio: float = 1.5, shards: int = 16, seed: int = 11) -> DataFrame:
     """The mixed corpus: the rows of `docs`, as often as drawn, with `_shard`, `_epoch` and `_take` (words).
 
     A document of which the mix takes only the first words has its text cut after them.  Within a shard rows are in
-    a permuted order of blocks, permuted again inside each block.
+    a permuted order of blocks, permuted again inside each block.  Texts are dealt out once, to their shards: all
+    of a block is taken or none, but for the one block of each source in which its words run out.
     """
-    plan = plan_mix(docs, n_words(F.col("text")), weights=weights, ratio=ratio, seed=seed)
-    narrow = plan_mix(docs.select("doc_id", "source", "text"), n_words(F.col("text")), weights=weights, ratio=ratio, seed=seed).drop("text")
-    drawn = checkpointed(draws(narrow).select("_source", "_epoch", "_block").distinct())
+    rows, size = dealt(docs, "source", seed), n_words(F.col("text"))
+    blocks = checkpointed(block_plan(rows.select("_source", "_block", size.alias("_size")), weights, ratio, seed)).where("_bsize > 0")
+    runs_out = "_left > 0 and _left < _bsize"
+    epochs = F.col("_epochs") + F.when(F.col("_left") > 0, 1).otherwise(0)
+    drawn = checkpointed(blocks.where(epochs > 0).select(F.col("_s").alias("_source"), F.explode(F.sequence(F.lit(0).cast("long"), epochs.cast("long") - 1)).alias("_epoch"), F.col("_b").alias("_block"), F.expr(f"if({runs_out}, _left, null)").alias("_left"), "_epochs"))
     quotas = shard_quotas(drawn, shards, seed)
     rank = Window.partitionBy("_source").orderBy(shuffled("_epoch", "_block", seed=seed + 3), "_epoch", "_block")
     places = drawn.withColumn("_rank", F.row_number().over(rank) - 1)
     places = places.join(quotas, (F.col("_source") == F.col("_qs")) & (F.col("_rank") >= F.col("_from")) & (F.col("_rank") < F.col("_to")))
-    places = places.select(F.col("_source").alias("_s"), F.col("_epoch").alias("_e"), F.col("_block").alias("_b"), "_shard", "_rank")
-    rows = draws(plan).join(places, (F.col("_source") == F.col("_s")) & (F.col("_epoch") == F.col("_e")) & (F.col("_block") == F.col("_b")))
-    rows = rows.withColumn("text", F.when(F.col("_take") < F.col("_size"), first_words(F.col("text"), F.col("_take"))).otherwise(F.col("text")))
+    places = checkpointed(places.select(F.col("_source").alias("_s"), F.col("_block").alias("_b"), "_epoch", "_shard", "_rank", (F.col("_epoch") == F.col("_epochs")).alias("_last"), "_left"))
+    there = (F.col("_source") == F.col("_s")) & (F.col("_block") == F.col("_b"))
+    out = [*docs.columns, "_shard", "_epoch", "_take", "_rank", "_block"]
+    whole = rows.where(F.col("text").rlike(r"[^\x20\x09-\x0D]")).join(small(places.where("_left is null or not _last")), there)
+    whole = whole.withColumn("_take", size).select(*out)
+    part = rows.join(small(places.where("_left is not null and _last").withColumn("_epochs", F.lit(0))), there).withColumn("_size", size)
+    part = with_taken(part, seed).where("_taken > 0").withColumn("_take", F.col("_taken"))
+    part = part.withColumn("text", F.when(F.col("_take") < F.col("_size"), first_words(F.col("text"), F.col("_take"))).otherwise(F.col("text"))).select(*out)
     local = [F.col("_shard"), shuffled("_rank", "_shard", seed=seed + 4), shuffled("doc_id", "_epoch", seed=seed + 5)]
-    return rows.repartition("_shard", "_block").sortWithinPartitions(*local).select(*docs.columns, "_shard", "_epoch", "_take")
+    return whole.union(part).repartition("_shard", "_block").sortWithinPartitions(*local).select(*docs.columns, "_shard", "_epoch", "_take")
 
 
 def first_words(text: Column, n: Column) -> Column:

@@ -76,6 +76,7 @@ def test_mixed_rows_are_the_plan(spark):
         assert len(r["text"].split()) == r["_take"] and 0 <= r["_shard"] < 4
         got[(r["doc_id"], r["source"])] += r["_take"]
     assert got == want
+    assert mixing.mix(df.limit(0), shards=4).count() == mixing.mix(df.where("text is null"), shards=4).count() == 0
 
 
 def features(text):
