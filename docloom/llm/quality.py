@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.common import text_key
+from docloom.llm.common import checkpointed, text_key
 
 _WORDS = r"[\x20\x09-\x0D]+"
 
@@ -66,7 +66,7 @@ def lines_above_limit(docs: DataFrame, least_docs: int = 200, host_share: float
     rows = rows.where(F.length("_line") >= 2 * min_words - 1)
     rows = rows.select("doc_id", "_host", "_key", "_pos", line_hash(F.col("_line")).alias("_hash"), F.size(words_of(F.col("_line"))).alias("_n")).where(F.col("_n") >= min_words)
     often = rows.groupBy("_host", "_hash").agg(F.count(F.lit(1)).alias("_c")).where(F.col("_c") > least_docs).select("_host", "_hash")
-    rows = rows.join(often, ["_host", "_hash"])
+    rows = checkpointed(rows.join(often, ["_host", "_hash"]))  # few lines, and read twice
     own = docs.groupBy(host).agg(F.count(F.lit(1)).alias("_docs"))
     held = rows.select("doc_id", "_host", "_key", "_hash").distinct().groupBy("_host", "_hash").agg(F.count(F.lit(1)).alias("_held"))
     above = held.join(own, "_host").where(F.col("_held") > F.greatest(F.lit(least_docs), F.col("_docs") * host_share)).select("_host", "_hash")
