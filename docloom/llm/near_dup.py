@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.common import batches, checkpointed, records, text_key
+from docloom.llm.common import batches, checkpointed, records, small, text_key
 
 WORDS = 5
 BANDS, ROWS = 26, 5
@@ -275,7 +275,7 @@ def links_between_classes(large: DataFrame, roots: DataFrame, texts: DataFrame,
     named = checkpointed(named.join(lead, "e").select("e", "d", F.xxhash64("root").alias("root"), (F.col("root") != F.col("lead")).alias("asks")))
     blocks = lambda n: F.ceil(n / BLOCK).cast("int")
     sizes = named.groupBy("e").agg(blocks(F.count(F.lit(1))).alias("held"), blocks(F.count(F.when(F.col("asks"), 1))).alias("asking")).where("asking > 0")
-    rows = named.join(sizes, "e").withColumn("hash", F.xxhash64("d"))
+    rows = named.join(small(checkpointed(sizes)), "e").withColumn("hash", F.xxhash64("d"))
     own, every = lambda n: F.pmod("hash", F.col(n).cast("long")).cast("int"), lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     asks = rows.where("asks").select("e", "d", "root", own("asking").alias("i"), every("held").alias("j"), F.lit(1).alias("asks"))
     met = rows.select("e", "d", "root", every("asking").alias("i"), own("held").alias("j"), F.lit(0).alias("asks"))
