@@ -101,16 +101,18 @@ def aligned_lines(docs: DataFrame, rare_docs: int = 100, min_line: int = 8, min_
     rows = checkpointed(rows.dropDuplicates(["doc_id", "key"]))
     long = F.array_distinct(F.transform(F.filter(F.arrays_zip("hashes", "lengths"), lambda z: (z["lengths"] >= min_line) & (z["hashes"] != 0)), lambda z: z["hashes"]))
     held = rows.select(F.struct("doc_id", "key").alias("d"), F.explode(long).alias("h"))
-    shared = checkpointed(held.groupBy("h").agg(F.min("d").alias("first"), F.max("d").alias("last"), F.count(F.lit(1)).alias("n")).where("first != last").select("h", "first", "n"))
+    shared = held.groupBy("h").agg(F.min("d").alias("first"), F.max("d").alias("last"), F.count(F.lit(1)).alias("n")).where("first != last")
+    shared = checkpointed(shared.select("h", "first", "n"))
     # Holders of a frequent line meet it apart from the others, so that no window has to have them in one task.
     often = small(shared.where(f"n > {int(rare_docs)}").select("h", "first"))
     rare = held.join(often, "h", "left_anti").repartition("h").join(shared.where(f"n <= {int(rare_docs)}"), "h")
     to_first = held.join(often, "h").select("d", "first").union(rare.select("d", "first")).where("d != first").select("d", F.col("first").alias("e")).distinct()
     before = F.lag("d").over(Window.partitionBy("h").orderBy("d"))
     to_before = rare.withColumn("e", before).where("e is not null and e != d and e != first").select("d", "e").distinct()
-    pairs = to_first.union(to_before).distinct().withColumn("part", F.pmod(F.xxhash64("d"), F.lit(1 << 20)))
+    pairs = checkpointed(to_first.union(to_before).distinct())
     groups = pairs.groupBy("e").agg(F.count(F.lit(1)).alias("m")).withColumn("parts", F.ceil(F.col("m") / spread).cast("int"))
-    pairs = pairs.join(groups, "e").withColumn("part", F.pmod("part", F.col("parts")).cast("int")).select("d", "e", "part")
+    split = small(checkpointed(groups.where("parts > 1").select("e", "parts")))  # first holders with many partners
+    pairs = pairs.join(split, "e", "left").select("d", "e", F.pmod(F.xxhash64("d"), F.coalesce("parts", F.lit(1)).cast("long")).cast("int").alias("part"))
     rows = rows.select(F.struct("doc_id", "key").alias("d"), "hashes", "lengths")
     later = pairs.join(rows, "d").select("e", "part", F.col("d.doc_id").alias("doc_id"), F.col("d.key").alias("key"), F.lit(0).alias("leads"), "hashes", "lengths")
     empty = F.array().cast("array<int>")
