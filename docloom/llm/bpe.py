@@ -130,6 +130,10 @@ class Codec:
         out = [np.array([self.special[p]], np.uint32) if k % 2 else self.segment(p.encode()) for k, p in enumerate(parts) if p]
         return np.concatenate(out) if out else np.array([], np.uint32)
 
+    def forget(self) -> None:
+        """Empty the store: a worker that goes on to other tasks doesn't carry it along."""
+        self.new, self.old, self.held = {}, {}, 0
+
     def decode(self, ids: Iterable[int]) -> str:
         return b"".join(map(self.bytes_of.__getitem__, ids)).decode("utf-8", "replace")
 
@@ -194,6 +198,7 @@ def encode_documents(docs: DataFrame, tokenizer: str) -> DataFrame:
     def run(arrow: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(tokenizer)
         yield from batches(((d, own.encode(t or "").tolist()) for d, t in records(arrow)), _CODES, most_bytes=500_000)
+        own.forget()
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, ids array<int>")
 
@@ -224,5 +229,6 @@ def round_trip_digests(docs: DataFrame, tokenizer: str) -> DataFrame:
                 yield doc_id, len(ids), hashlib.sha256(shown.encode()).hexdigest(), hashlib.sha256(own.decode(ids).encode("utf-8", "surrogatepass")).hexdigest()
 
         yield from batches(rows(), _DIGEST)
+        own.forget()
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
