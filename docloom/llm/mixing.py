@@ -18,6 +18,8 @@ from docloom.llm.common import checkpointed, small
 #: Blocks of each source: a hot source's rows are spread over so many keys.
 BLOCKS = 4096
 WEIGHTS = (5.0, 2.0, 1.0)
+#: Places (source, block, epoch) that are broadcast at most, some 40 MB: beyond, each text travels twice.
+WIDE = 400_000
 
 
 def n_words(text: Column) -> Column:
@@ -152,7 +154,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, ratio: float = 1.
     places = checkpointed(places.select(F.col("_source").alias("_s"), F.col("_block").alias("_b"), "_epoch", "_shard", "_rank", (F.col("_epoch") == F.col("_epochs")).alias("_last"), "_left"))
     there = (F.col("_source") == F.col("_s")) & (F.col("_block") == F.col("_b"))
     out = [*docs.columns, "_shard", "_epoch", "_take", "_rank", "_block"]
-    whole = rows.where(F.col("text").rlike(r"[^\x20\x09-\x0D]")).join(small(places.where("_left is null or not _last")), there)
+    whole = rows.where(F.col("text").rlike(r"[^\x20\x09-\x0D]")).join(small(places.where("_left is null or not _last"), WIDE), there)
     whole = whole.withColumn("_take", size).select(*out)
     part = rows.join(small(places.where("_left is not null and _last").withColumn("_epochs", F.lit(0))), there).withColumn("_size", size)
     part = with_taken(part, seed).where("_taken > 0").withColumn("_take", F.col("_taken"))
@@ -161,6 +163,28 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, ratio: float = 1.
     return whole.union(part).repartition("_shard", "_block").sortWithinPartitions(*local).select(*docs.columns, "_shard", "_epoch", "_take")
 
 
+def mixed_sizes(docs: DataFrame, **options) -> DataFrame:
+    """doc_id, size, source_size, target and taken (words) of each row of `docs`, by drawing the mix.
+
+    `taken` counts the words of the texts that `mix` deals to its shards.  Rows alike in doc_id, source and size are
+    told apart by nothing: what they take together is dealt to one after the other, epoch by epoch.
+    """
+    docs = docs.select("doc_id", "source", "text", n_words(F.col("text")).alias("size"))
+    of = F.coalesce(F.concat(F.lit("0"), F.col("source").cast("string")), F.lit("1")).alias("_s")
+    # A list, as its order counts for the optimizer: with a sum it would leave out the shuffle inside the shards.
+    drawn = mix(docs, **options).groupBy(F.col("doc_id").alias("_id"), of, F.col("size").alias("_z")).agg(F.collect_list(n_words(F.col("text"))).alias("_drawn"))
+    drawn = drawn.select("_id", F.col("_s").alias("_ds"), "_z", F.aggregate("_drawn", F.lit(0).cast("long"), lambda n, x: n + x).alias("_words"))
+    rows = docs.groupBy("doc_id", of, "size").agg(F.count(F.lit(1)).alias("_copies"))
+    own = {k: options[k] for k in ("weights", "ratio") if k in options}
+    sizes = targets(docs.groupBy(of.alias("source")).agg(F.sum("size").alias("source_size")), **own)
+    rows = rows.join(F.broadcast(sizes), F.col("_s") == F.col("source"))
+    rows = rows.join(drawn, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_s") == F.col("_ds")) & (F.col("size") == F.col("_z")), "left")
+    rows = rows.withColumn("_words", F.coalesce("_words", F.lit(0).cast("long"))).withColumn("_k", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_copies") - 1)))
+    once = "greatest(_copies * size, 1)"  # words of one epoch
+    taken = F.expr(f"(_words div {once}) * size + greatest(0, least(size, _words % {once} - _k * size))")
+    return rows.select("doc_id", "size", "source_size", "target", taken.cast("long").alias("taken"))
+
+
 def first_words(text: Column, n: Column) -> Column:
     """The first `n` words of a text, single spaces between."""
     words = F.array_remove(F.split(text, r"[\x20\x09-\x0D]+"), "")
