@@ -1,15 +1,16 @@
 r"""Personal data by a skip-chain conditional random field over fixed base patterns.
 
-Base spans come from four patterns and their checks.  The field then looks at what they leave: its nodes are the
-tokens with a digit or an at sign (every other token is O by its features, so leaving it out changes no
-marginal), its chain potentials join neighbouring nodes, and its skip potentials join a node with the previous
-node of the same key (same digits, or same letters around an at sign) however far away.  Loopy belief
-propagation with the base spans as observed labels spreads an entity's label to its other mentions, such as a
-phone number repeated without its plus sign.  A free node becomes a span if its marginal passes `threshold` and
-it is linked to an observed entity or has an entity's shape.
+Base spans come from four patterns and their checks.  The field then looks at what they leave: its nodes are whole
+mentions (a base span, a run of digit and separator tokens, or a token with a digit or an at sign; every other
+token is O by its features, so leaving it out changes no marginal), its chain potentials join neighbouring nodes,
+and its skip potentials join a node with the previous nodes of the same or a similar key (same digits, or seven and
+more that end the other's, or same letters around an at sign) however far away.  Loopy belief propagation with the
+base spans as observed labels spreads an entity's label to its other mentions, such as a phone number repeated
+without its plus sign.  A free node becomes a span if its marginal passes `threshold` and it is linked to an
+observed entity or has an entity's shape (`shape_of`).
 
 Potentials are trained piece by piece on a bounded sample of documents: unary weights by multinomial logistic
-regression on the base labels, chain and skip potentials by smoothed log ratios of label-pair counts.
+regression on the base labels (phones also as they are written without their country code), chain and skip potentials by smoothed log ratios of label-pair counts.
 """
 
 from __future__ import annotations
@@ -34,6 +35,11 @@ _IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _NODE = re.compile(r"[^\x20\x09-\x0D]*[0-9@][^\x20\x09-\x0D]*")
+#: A token that other tokens of a number may follow, one that may follow, and the most digits of a mention.
+_OPENS, _FOLLOWS, _MOST = re.compile(r"[+(]*[0-9][0-9().-]*(?<![.])"), re.compile(r"\(?[0-9][0-9().-]*[^\x20\x09-\x0DA-Za-z@+0-9]*"), 19
+_NATIONAL = re.compile(r"(?:\([0-9]{2,4}\)[\x20.-]?|[0-9]{2,4}[\x20.-])[0-9]{3,4}[\x20.-][0-9]{3,4}")
+_GROUPS = re.compile(r"[0-9]{4}(?:[\x20.-][0-9]{4}){2}[\x20.-][0-9]{1,7}")
+_COUNTRY = re.compile(r"\+[0-9]{1,3}[\x20.-]?(?=[(0-9])")
 _EDGE = ".,;:!?\"'()[]{}<>*#$%&|="
 
 
@@ -84,11 +90,30 @@ def shown(spans: Iterable[tuple[int, int, int]]) -> str:
 # Labels of the field: 0 is O, 1 + k is KINDS[k].
 LABELS = 1 + len(KINDS)
 _BINS = (1, 4, 7, 9, 13, 20, 41)
-FEATURES = 12 + len(_BINS) + 1
+FEATURES = 14 + len(_BINS) + 1
 #: How much a skip potential counts against the unary ones: mentions alike in seven digits or more seldom differ in kind.
 SKIP_WEIGHT = 2.0
 
 
+def trimmed(text: str, a: int, b: int) -> tuple[int, int]:
+    """The span without punctuation at its ends; a bracket that opens a number stays."""
+    closing = text.rfind(")", a, b)
+    while a < b and text[a] in _EDGE and not (text[a] == "(" and a < closing):
+        a += 1
+    while a < b and text[b - 1] in _EDGE:
+        b -= 1
+    return a, b
+
+
+def shape_of(mention: str) -> int:
+    """The label whose form a mention has though no base pattern need match: grouped cards and phones; else 0."""
+    core = mention[slice(*trimmed(mention, 0, len(mention)))]
+    if _GROUPS.fullmatch(core) and 13 <= len(_digits(core)) <= 19 and luhn(_digits(core)):
+        return 3
+    core = _COUNTRY.sub("", core, count=1)
+    return 4 if 9 <= len(_digits(core)) <= 11 and _NATIONAL.fullmatch(core) else 0
+
+
 def features(token: str, before: str) -> np.ndarray:
     """What a node looks like, and whether the token before it looks like the start of a number."""
     n, x = sum("0" <= c <= "9" for c in token), np.zeros(FEATURES)
@@ -96,12 +121,14 @@ def features(token: str, before: str) -> np.ndarray:
     parts = core.split(".")
     four = len(parts) == 4 and all(p.isascii() and p.isdigit() for p in parts)
     local, at, domain = core.partition("@")
-    x[:12] = (
+    shape = shape_of(token)
+    x[:14] = (
         1, bool(at and local and "." in domain), bool(at), four and all(len(p) <= 3 and int(p) <= 255 for p in parts), four,
-        token.startswith("+"), "(" in token or ")" in token, "-" in core, 13 <= n <= 19 and n == len(core.replace("-", "")) and luhn(_digits(core)),
+        token.startswith("+"), "(" in token or ")" in token, "-" in core, 13 <= n <= 19 and n == len(core.replace("-", "").replace(" ", "")) and luhn(_digits(core)),
         n == len(core), any(c.isalpha() for c in core), before.startswith("+") and before[1:2].isdigit() or before.endswith(")"),
+        shape == 3, shape == 4,
     )
-    x[12 + int(np.searchsorted(_BINS, n, "right"))] = 1
+    x[14 + int(np.searchsorted(_BINS, n, "right"))] = 1
     return x
 
 
@@ -114,29 +141,98 @@ class Nodes:
     skip: np.ndarray  # pairs of a node and the node before it of the same key
 
 
+def mentions_of(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """(start, end, label) of the nodes in order: base spans that don't overlap one before, and runs of what is left."""
+    out: list[tuple[int, int, int]] = []
+    order, known, end = [], set(), 0
+    for kind, a, b in sorted(base, key=lambda s: (s[1], s[0], s[2])):
+        if kind >= 2:
+            known.add(_digits(text[a:b]))
+        if a >= end:
+            order.append((a, b, 1 + kind))
+            end = b
+    at = 0
+    for a, b, label in [*order, (len(text), len(text), 0)]:
+        run: list[tuple[int, int]] = []
+        for m in _NODE.finditer(text, at, a):
+            s, e = m.span()
+            joins = run and s == run[-1][1] + 1 and text[s - 1] == " " and _OPENS.fullmatch(text, *run[-1]) and _FOLLOWS.fullmatch(text, s, e)
+            if run and not joins:
+                out += _cut(text, run, known)
+                run = []
+            run.append((s, e))
+        out += _cut(text, run, known)
+        if label:
+            out.append((a, b, label))
+        at = b
+    return out
+
+
+def _cut(text: str, run: list[tuple[int, int]], known: set[str]) -> list[tuple[int, int, int]]:
+    """A run's mentions: its parts with a known number's digits or their end, else all of it, or its tokens if it is too long for one."""
+    if len(run) < 2:
+        return [(a, b, 0) for a, b in run]
+    digits = [_digits(text[a:b]) for a, b in run]
+    ends = {x[k:] for x in known for k in range(max(1, len(x) - 6))} if known else set()
+    out, left, k = [], [], 0
+
+    def rest() -> None:
+        if left and sum(len(digits[j]) for j in left) <= _MOST:
+            out.append((run[left[0]][0], run[left[-1]][1], 0))
+        else:
+            out.extend(_shaped(text, [run[j] for j in left]))
+        left.clear()
+
+    while k < len(run):
+        joined, hit = "", 0
+        for j in range(k, len(run)):
+            joined += digits[j]
+            if len(joined) > _MOST:
+                break
+            if joined in ends:
+                hit = j + 1
+        if hit:
+            rest()
+            out.append((run[k][0], run[hit - 1][1], 0))
+            k = hit
+        else:
+            left.append(k)
+            k += 1
+    rest()
+    return out
+
+
+def _shaped(text: str, run: list[tuple[int, int]]) -> list[tuple[int, int, int]]:
+    """The tokens of a long run, those joined that have an entity's shape together."""
+    out, k = [], 0
+    while k < len(run):
+        n = next((n for n in (4, 3, 2) if k + n <= len(run) and shape_of(text[run[k][0] : run[k + n - 1][1]])), 1)
+        out.append((run[k][0], run[k + n - 1][1], 0))
+        k += n
+    return out
+
+
 def nodes_of(text: str, base: list[tuple[int, int, int]]) -> Nodes:
-    spans, tokens = [], []
-    for m in _NODE.finditer(text):
-        spans.append(m.span())
-        tokens.append(m[0])
-    order = sorted(base, key=lambda s: (s[1], s[2]))
-    labels, at = [], 0
-    for a, b in spans:
-        while at < len(order) and order[at][2] <= a:
-            at += 1
-        hit = [s[0] for s in order[at : at + 4] if s[1] < b and s[2] > a]
-        labels.append(1 + min(hit) if hit else 0)
-    chain, skip, seen = [], [], {}
-    for k, (a, _) in enumerate(spans):
-        before = tokens[k - 1] if k and a - spans[k - 1][1] == 1 else ""
-        if before:
-            chain.append((k - 1, k))
-        key = key_of(tokens[k])
-        if key:
-            if key in seen:
-                skip.append((seen[key], k))
-            seen[key] = k
-    x = np.array([features(t, tokens[k - 1] if k and spans[k][0] - spans[k - 1][1] == 1 else "") for k, t in enumerate(tokens)]).reshape(-1, FEATURES)
+    found = mentions_of(text, base)
+    spans, labels = [(a, b) for a, b, _ in found], [label for *_, label in found]
+    tokens = [text[a:b] for a, b in spans]
+    before = [tokens[k - 1] if k and spans[k][0] - spans[k - 1][1] == 1 else "" for k in range(len(spans))]
+    chain = [(k - 1, k) for k in range(len(spans)) if before[k]]
+    skip: list[tuple[int, int]] = []
+    same: dict[str, int] = {}
+    longer: dict[str, int] = {}  # an end of a key, to the last node of a key that is longer
+    for k, token in enumerate(tokens):
+        key = key_of(token)
+        if not key:
+            continue
+        # Long tokens hold more than one number, so only a mention's digits are compared by their ends.
+        ends = [key[j:] for j in range(1, len(key) - 6)] if "@" not in key and len(key) <= _MOST else []
+        near = [same.get(key), longer.get(key), next((same[x] for x in ends if x in same), None)]
+        skip += [(j, k) for j in sorted({j for j in near if j is not None})]
+        same[key] = k
+        for x in ends:
+            longer[x] = k
+    x = np.array([features(t, b) for t, b in zip(tokens, before)]).reshape(-1, FEATURES)
     pairs = lambda p: np.array(p, np.int64).reshape(-1, 2)
     return Nodes(spans, labels, x, pairs(chain), pairs(skip))
 
@@ -160,23 +256,23 @@ class Field:
     def spans(self, text: str) -> list[tuple[int, int, int]]:
         """Base and added spans by kind, then start."""
         base = base_spans(text)
-        if not base:  # without an observed entity there is nothing to make consistent
-            return base
         nodes = nodes_of(text, base)
-        if all(nodes.labels) or not len(nodes.skip):
+        if all(nodes.labels):
             return base
         belief = self.marginals(nodes)
         linked = linked_to_entity(nodes)
-        added = []
+        last, added, order, at = 0, [], sorted(base, key=lambda s: s[1]), 0
         for k, label in enumerate(nodes.labels):
             got = int(belief[k].argmax())
-            if not label and got and linked[k] and belief[k, got] >= self.threshold:
-                a, b = nodes.spans[k]
-                core = text[a:b]
-                a += len(core) - len(core.lstrip(_EDGE))
-                b -= len(core) - len(core.rstrip(_EDGE))
-                if a < b and not any(s[1] < b and s[2] > a for s in base):
-                    added.append((got - 1, a, b))
+            if label or not got or belief[k, got] < self.threshold:
+                continue
+            a, b = trimmed(text, *nodes.spans[k])
+            if not (linked[k] or shape_of(text[a:b]) == got):
+                continue
+            while at < len(order) and order[at][1] < b:
+                last, at = max(last, order[at][2]), at + 1
+            if a < b and last <= a:
+                added.append((got - 1, a, b))
         return sorted([*base, *added])
 
     def marginals(self, nodes: Nodes, rounds: int = 12) -> np.ndarray:
@@ -215,10 +311,17 @@ def _logsum(x: np.ndarray, axis: int) -> np.ndarray:
 def linked_to_entity(nodes: Nodes) -> list[bool]:
     """Whether a node shares its key, over any number of skip edges, with a node that a base span covers."""
     root = list(range(len(nodes.spans)))
-    for a, b in nodes.skip.tolist():  # a < b, and each b has one a
-        root[b] = root[a]
-    marked = {root[k] for k, label in enumerate(nodes.labels) if label}
-    return [r in marked for r in root]
+
+    def find(k: int) -> int:
+        while root[k] != k:
+            root[k] = root[root[k]]
+            k = root[k]
+        return k
+
+    for a, b in nodes.skip.tolist():
+        root[find(b)] = find(a)
+    marked = {find(k) for k, label in enumerate(nodes.labels) if label}
+    return [find(k) in marked for k in range(len(root))]
 
 
 def train(texts: Iterable[str], threshold: float = 0.9, steps: int = 300) -> Field:
@@ -232,6 +335,10 @@ def train(texts: Iterable[str], threshold: float = 0.9, steps: int = 300) -> Fie
             y = np.array(nodes.labels)
             xs.append(nodes.x)
             ys.append(y)
+            # Phones without their country code: the base pattern can't label them, as it looks for the plus sign.
+            bare = [_COUNTRY.sub("", text[a:b], count=1) for (a, b), label in zip(nodes.spans, nodes.labels) if label == 4 and shape_of(text[a:b]) == 4]
+            xs.append(np.array([features(t, "") for t in bare]).reshape(-1, FEATURES))
+            ys.append(np.full(len(bare), 4))
             np.add.at(chain, tuple(y[nodes.chain].T), 1)
             both = nodes.skip[(y[nodes.skip] > 0).all(1) | (y[nodes.skip] == 0).all(1)] if len(nodes.skip) else nodes.skip
             np.add.at(skip, tuple(y[both].T), 1)
@@ -269,7 +376,7 @@ def find_personal_data(docs: DataFrame, field: Field) -> DataFrame:
         def rows() -> Iterator[tuple]:
             for doc_id, text in records(arrow):
                 base = base_spans(text or "")
-                spans = field.spans(text) if base else base
+                spans = field.spans(text or "")
                 counts = [sum(s[0] == k for s in base) for k in range(len(KINDS))]
                 yield doc_id, *counts, hashlib.sha256(shown(base).encode()).hexdigest(), shown(spans), len(spans) - len(base)
 
