@@ -6,7 +6,7 @@ and its host's prior.  Host priors come from one grouped aggregation of the text
 smoothed towards its registered domain's, those towards the whole corpus.  A class "und" with a uniform
 likelihood stands for text in no known language; a document is rejected if that class wins.
 
-The trigram models are fitted on a bounded sample of labelled rows (`sample_rows` for each language); all else
+The trigram models are fitted on a bounded sample of labelled rows (`sample_rows` for each language, however many languages); all else
 uses every row and every whole text.
 """
 
@@ -18,7 +18,7 @@ from dataclasses import dataclass, field
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docloom.llm.common import batches, checkpointed, records, small, text_key
@@ -61,24 +61,41 @@ def fit(rows: Iterable[tuple[str, str]]) -> Model:
         if lang and text:
             counts.setdefault(lang, np.zeros(BINS))
             counts[lang] += np.bincount(trigrams(text), minlength=BINS)
+    return _model({lang: (np.arange(BINS), n) for lang, n in counts.items()})
+
+
+def _model(counts: dict[str, tuple[np.ndarray, np.ndarray]]) -> Model:
+    """A model from the bins of each language and how often each occurs."""
     languages = sorted(counts)
-    table = np.zeros((BINS, len(languages) + 1), np.float32)
+    table = np.full((BINS, len(languages) + 1), np.log(UNSEEN * 8 / BINS), np.float32)
     for k, lang in enumerate(languages):
+        bins, n = counts[lang]
         # A share of the uniform likelihood keeps numbers, names and secrets from outweighing the rest.
-        table[:, k] = np.log((1 - UNSEEN) * counts[lang] / max(1.0, counts[lang].sum()) + UNSEEN * 8 / BINS)
+        table[bins, k] = np.log((1 - UNSEEN) * n / max(1.0, n.sum()) + UNSEEN * 8 / BINS)
     table[:, -1] = np.log(8 / BINS)
     return Model(languages, table)
 
 
 def fit_on(docs: DataFrame, sample_rows: int = 400) -> Model:
-    """Fit on about `sample_rows` rows of each label in `lang`, twice as many at most, chosen by a hash of doc_id."""
-    labelled = docs.select("doc_id", F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")).where("lang is not null and text is not null")
-    rows: list[tuple[str, str]] = []
-    for lang, n in labelled.groupBy("lang").count().orderBy("lang").limit(200).collect():
-        share = max(1, n // sample_rows)
-        some = labelled.where((F.col("lang") == lang) & (F.pmod(F.xxhash64("doc_id", F.lit(23)), F.lit(share)) == 0))
-        rows += [tuple(r) for r in some.select("lang", "text").limit(2 * sample_rows).collect()]
-    return fit(rows)
+    """Fit every label in `lang` on about `sample_rows` of its rows, twice as many at most, chosen by a hash of doc_id.
+
+    Trigrams are counted where the rows are; the driver sees one row of counts for each label.
+    """
+    labelled = docs.select("doc_id", F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")).where("lang != '' and text != ''")
+    shares = labelled.groupBy(F.col("lang").alias("_l")).agg(F.greatest(F.lit(1), F.floor(F.count(F.lit(1)) / sample_rows)).alias("_share"))
+    some = labelled.join(small(checkpointed(shares)), F.col("lang") == F.col("_l")).where(F.pmod(F.xxhash64("doc_id", F.lit(23)), F.col("_share")) == 0)
+    turn = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id", F.lit(29)), "doc_id", text_key(F.col("text"))))
+    some = some.select("lang", "text", turn.alias("_turn")).where(F.col("_turn") <= 2 * sample_rows).select("lang", "text")
+
+    def count(rows: pd.DataFrame) -> pd.DataFrame:
+        n = np.zeros(BINS, np.int64)
+        for text in rows["text"]:
+            n += np.bincount(trigrams(text), minlength=BINS)
+        bins = np.flatnonzero(n)
+        return pd.DataFrame({"lang": [rows["lang"].iloc[0]], "bins": [bins], "n": [n[bins]]})
+
+    got = some.groupBy("lang").applyInPandas(count, "lang string, bins array<long>, n array<long>").collect()
+    return _model({r["lang"]: (np.array(r["bins"], np.int64), np.array(r["n"], np.int64)) for r in got})
 
 
 def declared_language(text: Column) -> Column:
@@ -134,16 +151,26 @@ def identify_languages(docs: DataFrame, model: Model, address: str = "source", s
         p = np.exp(x - x.max(1, keepdims=True))
         return pd.Series(list(np.rint(p / p.sum(1, keepdims=True) * 1e6).astype(np.int64)))  # whole numbers: sums don't depend on their order
 
-    with_votes = scored.select("host", votes("ll").alias("v"))
-    hosts = with_votes.groupBy("host").agg(*[F.sum(F.col("v")[k]).alias(f"n{k}") for k in range(n + 1)]).withColumn("domain", domain_of(F.col("host")))
-    hosts = checkpointed(hosts)
-    every = [float(x or 0) / 1e6 for x in hosts.agg(*[F.sum(f"n{k}") for k in range(n + 1)]).first()]
-    corpus = [(x + 1) / (sum(every) + n + 1) for x in every]
-    domains = hosts.groupBy("domain").agg(*[F.sum(f"n{k}").alias(f"d{k}") for k in range(n + 1)])
-    own, above = sum(F.col(f"n{k}") for k in range(n + 1)) / 1e6, sum(F.col(f"d{k}") for k in range(n + 1)) / 1e6
-    by_domain = [(F.col(f"d{k}") / 1e6 + smooth * corpus[k]) / (above + smooth) for k in range(n + 1)]
-    by_host = F.array(*[F.log((F.col(f"n{k}") / 1e6 + smooth * by_domain[k]) / (own + smooth)) for k in range(n + 1)])
-    priors = hosts.join(domains, "domain").select("host", by_host.alias("prior"))
+    # One row for each host and class with votes: the plan's size doesn't depend on the number of languages.
+    counts = checkpointed(scored.select("host", F.posexplode(votes("ll")).alias("k", "n")).where("n > 0").groupBy("host", "k").agg(F.sum("n").alias("n")))
+    every = np.zeros(n + 1)
+    for k, total in counts.groupBy("k").agg(F.sum("n")).collect():
+        every[k] = total / 1e6
+    corpus = (every + 1) / (every.sum() + n + 1)
+    hosts = counts.groupBy("host").agg(F.collect_list(F.struct("k", "n")).alias("own")).withColumn("domain", domain_of(F.col("host")))
+    domains = counts.groupBy(domain_of(F.col("host")).alias("domain"), "k").agg(F.sum("n").alias("n")).groupBy("domain").agg(F.collect_list(F.struct("k", "n")).alias("above"))
+
+    @F.pandas_udf("array<double>")
+    def log_prior(k: pd.Series, votes: pd.Series, domain_k: pd.Series, domain_votes: pd.Series) -> pd.Series:
+        out = []
+        for row in zip(k, votes, domain_k, domain_votes):
+            own, above = np.zeros(n + 1), np.zeros(n + 1)
+            own[row[0]], above[row[2]] = row[1] / 1e6, row[3] / 1e6
+            by_domain = (above + smooth * corpus) / (above.sum() + smooth)
+            out.append(log((own + smooth * by_domain) / (own.sum() + smooth)))
+        return pd.Series(out)
+
+    priors = hosts.join(domains, "domain").select("host", log_prior("own.k", "own.n", "above.k", "above.n").alias("prior"))
 
     def says(trust: float) -> dict[str, np.ndarray]:
         """Log likelihood of a declaration under each class; one of an unknown language says nothing."""
