@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.common import checkpointed, text_key
+from docloom.llm.common import checkpointed, small, text_key
 
 _WORDS = r"[\x20\x09-\x0D]+"
 
@@ -56,36 +56,39 @@ def with_base(docs: DataFrame) -> DataFrame:
 
 
 def lines_above_limit(docs: DataFrame, least_docs: int = 200, host_share: float = 0.02, min_words: int = 3) -> DataFrame:
-    """(doc_id, _host, _key, _pos, _n) of each line whose host has it in more distinct documents than its limit.
+    """(_host, _hash) of each line that a host has in more distinct documents than its limit.
 
     A host's limit is the larger of `least_docs` and `host_share` of its documents.  Lines are counted with
     repeats first, map-side; distinct documents are counted only for the few lines which pass that.
     """
     host, text = F.coalesce(F.col("source").cast("string"), F.lit("")).alias("_host"), F.coalesce(F.col("text").cast("string"), F.lit(""))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), host, text_key(text).alias("_key"), F.posexplode(F.split(text, "\n")).alias("_pos", "_line"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), host, text_key(text).alias("_key"), F.explode(F.split(text, "\n")).alias("_line"))
     rows = rows.where(F.length("_line") >= 2 * min_words - 1)
-    rows = rows.select("doc_id", "_host", "_key", "_pos", line_hash(F.col("_line")).alias("_hash"), F.size(words_of(F.col("_line"))).alias("_n")).where(F.col("_n") >= min_words)
+    rows = rows.where(F.size(words_of(F.col("_line"))) >= min_words).select("doc_id", "_host", "_key", line_hash(F.col("_line")).alias("_hash"))
     often = rows.groupBy("_host", "_hash").agg(F.count(F.lit(1)).alias("_c")).where(F.col("_c") > least_docs).select("_host", "_hash")
-    rows = checkpointed(rows.join(often, ["_host", "_hash"]))  # few lines, and read twice
+    rows = rows.join(often, ["_host", "_hash"])
     own = docs.groupBy(host).agg(F.count(F.lit(1)).alias("_docs"))
-    held = rows.select("doc_id", "_host", "_key", "_hash").distinct().groupBy("_host", "_hash").agg(F.count(F.lit(1)).alias("_held"))
-    above = held.join(own, "_host").where(F.col("_held") > F.greatest(F.lit(least_docs), F.col("_docs") * host_share)).select("_host", "_hash")
-    return rows.join(above, ["_host", "_hash"]).drop("_hash").dropDuplicates(["doc_id", "_host", "_key", "_pos"])
+    held = rows.distinct().groupBy("_host", "_hash").agg(F.count(F.lit(1)).alias("_held"))
+    return held.join(own, "_host").where(F.col("_held") > F.greatest(F.lit(least_docs), F.col("_docs") * host_share)).select("_host", "_hash")
+
+
+def without_lines(text: Column, hashes: Column) -> Column:
+    """`text` without the lines whose hash is among `hashes`; null `hashes` remove none."""
+    return F.when(hashes.isNull(), text).otherwise(F.array_join(F.filter(F.split(text, "\n"), lambda x: ~F.array_contains(hashes, line_hash(x))), "\n"))
 
 
 def quality_rules(docs: DataFrame, least_docs: int = 200, host_share: float = 0.02, min_left: float = 0.3, min_words_left: int = 10) -> DataFrame:
-    """One row per input row: base columns, n_removed_words, kept.
+    """One row per input row: base columns, n_removed_words, kept, and text without the lines above its host's limit.
 
-    kept is false if the base rules fail, or if lines above their host's limit leave fewer than `min_words_left`
-    words or less than `min_left` of them.  A null text is an empty one (0 words: it fails), a null source is the
-    host "".  Rows that repeat doc_id and text are one document for the counts and each get a row; an empty
-    table gives no rows; other columns are ignored.
+    kept is false if the base rules fail, or if the text that is left has fewer than `min_words_left` words or less
+    than `min_left` of them.  A null text is an empty one (0 words: it fails), a null source is the host "".  Rows
+    that repeat doc_id and text are one document for the counts and each get a row; an empty table gives no rows;
+    other columns are ignored.
     """
-    base = with_base(docs)
-    lost = lines_above_limit(docs, least_docs, host_share).groupBy("doc_id", "_key", "_host").agg(F.sum("_n").alias("_lost"))
-    lost = lost.select(F.col("doc_id").alias("_id"), F.col("_key").alias("_k2"), F.col("_host").alias("_h2"), "_lost")
-    full = base.drop("_text").join(lost, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_k2")) & (F.col("_host") == F.col("_h2")), "left")
-    gone = F.least(F.coalesce("_lost", F.lit(0)), F.col("n_words"))
-    left = F.col("n_words") - gone
-    kept = ~F.col("base_failed") & (left >= min_words_left) & (left >= min_left * F.col("n_words"))
-    return full.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", gone.alias("n_removed_words"), kept.alias("kept"))
+    above = checkpointed(lines_above_limit(docs, least_docs, host_share).groupBy("_host").agg(F.collect_list("_hash").alias("_gone")))
+    full = with_base(docs).join(small(above), "_host", "left")
+    full = full.withColumn("text", without_lines(F.col("_text"), F.col("_gone")))
+    left = F.when(F.col("_gone").isNull(), F.col("n_words")).otherwise(F.size(words_of(F.col("text"))).cast("long"))
+    full = full.withColumn("_left", left)
+    kept = ~F.col("base_failed") & (F.col("_left") >= min_words_left) & (F.col("_left") >= min_left * F.col("n_words"))
+    return full.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (F.col("n_words") - F.col("_left")).alias("n_removed_words"), kept.alias("kept"), "text")
