@@ -39,6 +39,43 @@ def small(df: DataFrame, rows: int = 100_000) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def lookup(rows: DataFrame, found: DataFrame, keys: list[str], salt: Column, how: str = "inner", most: int = 100_000, spread: int = 64) -> DataFrame:
+    """`rows` joined with a table that has few rows for each value of `keys`, where one value may be in a third of `rows`.
+
+    The table is broadcast if it has at most `most` rows.  Beyond that it is shuffled, once for each of `spread` parts
+    of a key's rows, which `salt` tells apart.
+    """
+    if found.limit(most + 1).count() <= most:
+        return rows.join(F.broadcast(found), keys, how)
+    parts = F.explode(F.sequence(F.lit(0), F.lit(spread - 1)))
+    rows = rows.withColumn("_part", F.pmod(F.xxhash64(salt), F.lit(spread)).cast("int"))
+    return rows.join(found.withColumn("_part", parts), [*keys, "_part"], how).drop("_part")
+
+
+def counted_join(rows: DataFrame, found: DataFrame, key: str, salt: Column, count: str = "n", hot: int = 10_000) -> DataFrame:
+    """`rows` joined with one row of `found` for each key, which says in `count` how many `rows` the key has.
+
+    Keys of more than `hot` rows meet apart from the others (see `lookup`), so that none has all its rows in one task.
+    """
+    often = found.where(F.col(count) > hot)
+    if often.isEmpty():
+        return rows.join(found, key)
+    names = checkpointed(often.select(key))
+    cold = lookup(rows, names.withColumn("_hot", F.lit(True)), [key], salt, "left").where("_hot is null").drop("_hot")
+    return lookup(rows, often, [key], salt).unionByName(cold.join(found.where(F.col(count) <= hot), key))
+
+
+def packed(docs: DataFrame, **own: Column) -> DataFrame:
+    """The columns of `own`, and in `row` all columns of `docs`: whatever their names, they clash with none."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *[c.alias(name) for name, c in own.items()])
+
+
+def unpacked(df: DataFrame, docs: DataFrame, **new: Column) -> DataFrame:
+    """The columns of `docs` out of `row`, those named in `new` replaced, and the rest of `new` behind them."""
+    kept = [new[c].alias(c) if c in new else F.col("row").getField(c).alias(c) for c in docs.columns]
+    return df.select(*kept, *[c.alias(name) for name, c in new.items() if name not in docs.columns])
+
+
 def batches(rows: Iterable[tuple], schema: pa.Schema, most: int = 2_000, most_bytes: int = 4_000_000) -> Iterator[pa.RecordBatch]:
     """Rows in Arrow batches of bounded size; bytes and strings count with their length."""
     held: list[tuple] = []

@@ -10,18 +10,23 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.common import checkpointed, small, text_key
+from docloom.llm.common import checkpointed, lookup, text_key
 
 _WORDS = r"[\x20\x09-\x0D]+"
+#: A line goes if more documents of its host hold it than either of these.
+LEAST_DOCS, HOST_SHARE = 5, 0.02
+#: Lines above limits that are broadcast at most, of all hosts together.
+MOST_LINES = 500_000
 
 
 def words_of(text: Column) -> Column:
     return F.array_remove(F.split(text, _WORDS), "")
 
 
-def line_hash(line: Column) -> Column:
-    """64 bits of a line without case, digits and runs of white space."""
-    return F.xxhash64(F.regexp_replace(F.regexp_replace(F.lower(F.trim(line)), "[0-9]+", "0"), _WORDS, " "))
+def line_hashes(text: Column) -> Column:
+    """64 bits of each line of a text without case, digits, outer white space and runs of it; 0 for a line without a word."""
+    even = F.regexp_replace(F.regexp_replace(F.lower(text), "[0-9]+", "0"), r"[\x20\x09\x0B-\x0D]+", " ")
+    return F.transform(F.split(even, "\n"), lambda x: F.when(F.trim(x) == "", F.lit(0).cast("long")).otherwise(F.xxhash64(F.trim(x))))
 
 
 def with_base(docs: DataFrame) -> DataFrame:
@@ -55,38 +60,41 @@ def with_base(docs: DataFrame) -> DataFrame:
     return rows.withColumn("base_failed", failed).drop("_pairs", "_starts")
 
 
-def lines_above_limit(docs: DataFrame, least_docs: int = 200, host_share: float = 0.02, min_words: int = 3) -> DataFrame:
+def lines_above_limit(docs: DataFrame, least_docs: int = LEAST_DOCS, host_share: float = HOST_SHARE) -> DataFrame:
     """(_host, _hash) of each line that a host has in more distinct documents than its limit.
 
-    A host's limit is the larger of `least_docs` and `host_share` of its documents.  Lines are counted with
-    repeats first, map-side; distinct documents are counted only for the few lines which pass that.
+    A host's limit is the larger of `least_docs` and `host_share` of its documents.  Lines are first counted once for
+    each row, map-side; rows that repeat a document matter only for the few lines which pass that, so distinct
+    documents are counted for those alone.
     """
     host, text = F.coalesce(F.col("source").cast("string"), F.lit("")).alias("_host"), F.coalesce(F.col("text").cast("string"), F.lit(""))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), host, text_key(text).alias("_key"), F.explode(F.split(text, "\n")).alias("_line"))
-    rows = rows.where(F.length("_line") >= 2 * min_words - 1)
-    rows = rows.where(F.size(words_of(F.col("_line"))) >= min_words).select("doc_id", "_host", "_key", line_hash(F.col("_line")).alias("_hash"))
-    often = rows.groupBy("_host", "_hash").agg(F.count(F.lit(1)).alias("_c")).where(F.col("_c") > least_docs).select("_host", "_hash")
-    rows = rows.join(often, ["_host", "_hash"])
-    own = docs.groupBy(host).agg(F.count(F.lit(1)).alias("_docs"))
-    held = rows.distinct().groupBy("_host", "_hash").agg(F.count(F.lit(1)).alias("_held"))
-    return held.join(own, "_host").where(F.col("_held") > F.greatest(F.lit(least_docs), F.col("_docs") * host_share)).select("_host", "_hash")
+    rows = docs.select(F.col("doc_id").cast("long").alias("_id"), host, text_key(text).alias("_key"), F.explode(F.array_distinct(line_hashes(text))).alias("_hash")).where("_hash != 0")
+    limits = docs.groupBy(host).agg(F.greatest(F.lit(float(least_docs)), F.count(F.lit(1)) * host_share).alias("_limit"))
+    often = rows.groupBy("_host", "_hash").agg(F.count(F.lit(1)).alias("_c")).where(F.col("_c") > least_docs)
+    often = checkpointed(lookup(often, checkpointed(limits), ["_host"], F.col("_hash")).where("_c > _limit").select("_host", "_hash", "_limit"))
+    held = lookup(rows, often, ["_host", "_hash"], F.col("_key")).distinct().groupBy("_host", "_hash").agg(F.count(F.lit(1)).alias("_held"), F.first("_limit").alias("_limit"))
+    return held.where("_held > _limit").select("_host", "_hash")
 
 
-def without_lines(text: Column, hashes: Column) -> Column:
-    """`text` without the lines whose hash is among `hashes`; null `hashes` remove none."""
-    return F.when(hashes.isNull(), text).otherwise(F.array_join(F.filter(F.split(text, "\n"), lambda x: ~F.array_contains(hashes, line_hash(x))), "\n"))
+def without_lines(text: Column, gone: Column) -> Column:
+    """`text` without the lines whose hash is among `gone`; null `gone` removes none."""
+    both = F.arrays_zip(F.split(text, "\n").alias("line"), line_hashes(text).alias("hash"))
+    return F.when(gone.isNull(), text).otherwise(F.array_join(F.transform(F.filter(both, lambda x: ~F.array_contains(gone, x["hash"])), lambda x: x["line"]), "\n"))
 
 
-def quality_rules(docs: DataFrame, least_docs: int = 200, host_share: float = 0.02, min_left: float = 0.3, min_words_left: int = 10) -> DataFrame:
+def quality_rules(docs: DataFrame, least_docs: int = LEAST_DOCS, host_share: float = HOST_SHARE, min_left: float = 0.3, min_words_left: int = 10) -> DataFrame:
     """One row per input row: base columns, n_removed_words, kept, and text without the lines above its host's limit.
 
-    kept is false if the base rules fail, or if the text that is left has fewer than `min_words_left` words or less
-    than `min_left` of them.  A null text is an empty one (0 words: it fails), a null source is the host "".  Rows
-    that repeat doc_id and text are one document for the counts and each get a row; an empty table gives no rows;
-    other columns are ignored.
+    Every line with a word counts, whatever its length.  kept is false if the base rules fail, or if the text that is
+    left has fewer than `min_words_left` words or less than `min_left` of them.  A null text is an empty one (0 words:
+    it fails), a null source is the host "".  Rows that repeat doc_id and text are one document for the counts and each
+    get a row; an empty table gives no rows; other columns are ignored, whatever their names.
     """
-    above = checkpointed(lines_above_limit(docs, least_docs, host_share).groupBy("_host").agg(F.collect_list("_hash").alias("_gone")))
-    full = with_base(docs).join(small(above), "_host", "left")
+    docs = docs.select("doc_id", "text", "source")
+    above = checkpointed(lines_above_limit(docs, least_docs, host_share))
+    few = above.limit(MOST_LINES + 1).count() <= MOST_LINES  # the table that is sent has a bound in lines, not only in hosts
+    above = above.groupBy("_host").agg(F.collect_list("_hash").alias("_gone"))
+    full = lookup(with_base(docs), above, ["_host"], F.col("_key"), "left", 100_000 if few else 0)
     full = full.withColumn("text", without_lines(F.col("_text"), F.col("_gone")))
     left = F.when(F.col("_gone").isNull(), F.col("n_words")).otherwise(F.size(words_of(F.col("text"))).cast("long"))
     full = full.withColumn("_left", left)

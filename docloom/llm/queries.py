@@ -122,12 +122,12 @@ lines AS (
 dup AS (
   SELECT doc_id, count(*) - count(DISTINCT line) AS n FROM lines WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY doc_id),
 normal AS (
-  SELECT doc_id, host, regexp_replace(regexp_replace(lower(trim(line)), '[0-9]+', '0', 'g'), '[\x20\x09-\x0D]+', ' ', 'g') AS h, len(regexp_extract_all(line, '{_WORD}')) AS n
+  SELECT doc_id, host, trim(regexp_replace(regexp_replace(lower(line), '[0-9]+', '0', 'g'), '[\x20\x09-\x0D]+', ' ', 'g')) AS h, len(regexp_extract_all(line, '{_WORD}')) AS n
   FROM lines),
 above AS (
-  SELECT host, h FROM (SELECT host, h, count(DISTINCT doc_id) AS held FROM normal WHERE n >= 3 GROUP BY host, h)
-  JOIN (SELECT host, count(*) AS docs FROM d GROUP BY host) USING (host) WHERE held > greatest(200, docs * 0.02)),
-lost AS (SELECT doc_id, sum(n) AS n FROM normal JOIN above USING (host, h) WHERE n >= 3 GROUP BY doc_id),
+  SELECT host, h FROM (SELECT host, h, count(DISTINCT doc_id) AS held FROM normal WHERE h <> '' GROUP BY host, h)
+  JOIN (SELECT host, count(*) AS docs FROM d GROUP BY host) USING (host) WHERE held > greatest(5, docs * 0.02)),
+lost AS (SELECT doc_id, sum(n) AS n FROM normal JOIN above USING (host, h) GROUP BY doc_id),
 base AS (
   SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words,
          CAST(coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0) AS BIGINT) AS word_chars,
