@@ -1,141 +1,226 @@
 """Line dedup by pairwise alignment.
 
-Overlapping documents are found through the hashes of their lines: a line leads from each document that holds it
-to the first one that does, and a rare line (in at most `rare_docs` documents) also to the nearest one before.
-So a line has at most two pairs for each holder, however many hold it.  Each pair is aligned by patience diff
-(lines that are unique on both sides, their longest increasing run, each anchor extended over equal neighbours),
-and the aligned common blocks are deleted from the later document.
+A block of a document is a run of lines with `min_chars` characters at least (blank lines don't count, white space at
+either end of a line neither).  Each line is held by two least blocks, the one that begins with it and the one that
+ends with it: one and the same for a line that is long enough by itself.  A least block leads from each document that
+holds it to the first one that does, so overlapping documents meet through hashes of rare and frequent lines alike,
+a line has at most two partners, and a run that two documents share can't be missed: it contains a least block of each
+of its lines, whoever their first holders are.
+
+A document is aligned with each of its partners by patience diff: blocks that are unique on both sides and their
+longest increasing run, then the same between neighbouring anchors, where a block may be unique again; where none is,
+its occurrences are counted off.  The lines of aligned blocks are deleted from the later document.  Blocks that this
+leaves, as they stand in another order there, have moved: each is aligned by itself, unless `moved` is false.  So what
+one partner holds goes whatever the order, and no other document that holds it has to be tried: a line is deleted if
+and only if a block of it stands in an earlier document.
 """
 
 from __future__ import annotations
 
 from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+import xxhash
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.common import SPACE, batches, checkpointed, records, small, text_key
-
-
-def line_hashes(text: Column) -> Column:
-    """64-bit hashes of a text's lines without outer white space; 0 stands for a blank line."""
-    lines = F.transform(F.split(F.coalesce(text, F.lit("")), "\n"), lambda x: F.btrim(x, F.lit(SPACE)))
-    return F.transform(lines, lambda x: F.when(x == "", F.lit(0).cast("long")).otherwise(F.xxhash64(x)))
-
-
-def patience(a: list[int], b: list[int]) -> list[tuple[int, int, int]]:
-    """Common blocks (start in a, start in b, length) of two sequences; 0 matches nothing by itself."""
-    once_a, once_b = _once(a), _once(b)
-    anchors = [(i, once_b[x]) for x, i in once_a.items() if x in once_b and x]
-    anchors.sort()
+from docloom.llm.common import SPACE, batches, checkpointed, counted_join, packed, records, text_key, unpacked
+
+_U = np.uint64
+_BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
+_LAST = 2**63 - 1
+_powers: list[np.ndarray] = []
+
+
+def _power(n: int) -> list[np.ndarray]:
+    """Powers of both bases and of their inverses modulo 2 ** 64, at least n of each."""
+    if not _powers or len(_powers[0]) < n:
+        _powers.clear()
+        for base in _BASES:
+            for b in (base, pow(base, -1, 2**64)):
+                x = np.full(max(1024, 2 * n), b, np.uint64)
+                x[0] = 1
+                _powers.append(np.multiply.accumulate(x))
+    return _powers
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> _U(30))) * _U(0xBF58476D1CE4E5B9)
+    return x ^ (x >> _U(27))
+
+
+def least_blocks(text: str, min_chars: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, check, first line, number of lines) of a text's least blocks in order; the last two count blank lines."""
+    at, size, low, high = [], [], [], []
+    for k, line in enumerate(text.split("\n")):
+        line = line.strip(SPACE)
+        if line:
+            x = xxhash.xxh3_128_intdigest(line.encode("utf-8", "surrogatepass"))
+            at.append(k)
+            size.append(len(line))
+            low.append(x & (2**64 - 1))
+            high.append(x >> 64)
+    n = len(at)
+    total = np.concatenate([[0], np.cumsum(size, dtype=np.int64)])
+    if total[-1] < min_chars:
+        return tuple(np.zeros(0, t) for t in (np.int64, np.int32, np.int64, np.int64))  # type: ignore[return-value]
+    stop = np.searchsorted(total, total[:n] + min_chars)  # of the block that begins with each line
+    start = np.searchsorted(total, total[1:] - min_chars, "right") - 1  # of the block that ends with each line
+    ok, ends = stop <= n, total[1:] >= min_chars
+    code = np.unique(np.concatenate([np.arange(n)[ok] * (n + 1) + stop[ok], start[ends] * (n + 1) + np.arange(1, n + 1)[ends]]))
+    start, stop = code // (n + 1), code % (n + 1)
+    power = _power(n + 1)
+    hashes = []
+    for lines, up, down in ((low, power[0], power[1]), (high, power[2], power[3])):
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(np.array(lines, np.uint64) * up[:n])])
+        hashes.append(_mixed((sums[stop] - sums[start]) * down[start] + (stop - start).astype(np.uint64)))
+    where = np.array(at, np.int64)
+    return hashes[0].view(np.int64), (hashes[1] >> _U(33)).astype(np.int32), where[start], where[stop - 1] + 1 - where[start]
+
+
+def patience(a: list[int], b: list[int]) -> list[tuple[int, int]]:
+    """Pairs (i, j), increasing in both, of equal elements a[i] == b[j].
+
+    Elements that are unique in both are anchored by their longest increasing run; the gaps between anchors are aligned
+    by themselves, as more elements are unique there.  Where none is, the n-th occurrence in `a` stands for the n-th in `b`.
+    """
+    out: list[tuple[int, int]] = []
+    gaps = [(0, len(a), 0, len(b))]
+    while gaps:
+        a0, a1, b0, b1 = gaps.pop()
+        if a0 == a1 or b0 == b1:
+            continue
+        in_a, in_b = Counter(a[a0:a1]), Counter(b[b0:b1])
+        at = {b[j]: j for j in range(b0, b1) if in_b[b[j]] == 1}
+        anchors = [(i, at[a[i]]) for i in range(a0, a1) if in_a[a[i]] == 1 and a[i] in at]
+        if not anchors and in_a.keys() & in_b.keys():
+            turns = {x: [] for x in in_a.keys() & in_b.keys()}
+            for j in range(b0, b1):
+                if b[j] in turns:
+                    turns[b[j]].append(j)
+            turn: Counter = Counter()
+            for i in range(a0, a1):
+                if a[i] in turns:
+                    if turn[a[i]] < len(turns[a[i]]):
+                        anchors.append((i, turns[a[i]][turn[a[i]]]))
+                    turn[a[i]] += 1
+        run = increasing(anchors)
+        out += run
+        if run:
+            gaps += [(i + 1, i2, j + 1, j2) for (i, j), (i2, j2) in zip([(a0 - 1, b0 - 1), *run], [*run, (a1, b1)])]
+    return sorted(out)
+
+
+def increasing(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The longest run of `pairs`, in order of their first members, whose second members increase."""
     tops: list[int] = []
     ends: list[int] = []
     back: list[int] = []
-    for k, (_, j) in enumerate(anchors):
+    for k, (_, j) in enumerate(pairs):
         at = bisect_left(tops, j)
         back.append(ends[at - 1] if at else -1)
-        if at == len(tops):
-            tops.append(j)
-            ends.append(k)
-        else:
-            tops[at], ends[at] = j, k
-    chain = []
+        tops[at : at + 1] = [j]
+        ends[at : at + 1] = [k]
+    out = []
     k = ends[-1] if ends else -1
     while k >= 0:
-        chain.append(anchors[k])
+        out.append(pairs[k])
         k = back[k]
-    blocks: list[tuple[int, int, int]] = []
-    low_a = low_b = 0
-    for i, j in reversed(chain):
-        if i < low_a or j < low_b:
-            continue  # inside the block before
-        start_a, start_b = i, j
-        while start_a > low_a and start_b > low_b and a[start_a - 1] == b[start_b - 1]:
-            start_a, start_b = start_a - 1, start_b - 1
-        end_a, end_b = i + 1, j + 1
-        while end_a < len(a) and end_b < len(b) and a[end_a] == b[end_b]:
-            end_a, end_b = end_a + 1, end_b + 1
-        blocks.append((start_a, start_b, end_a - start_a))
-        low_a, low_b = end_a, end_b
-    return blocks
-
-
-def _once(x: list[int]) -> dict[int, int]:
-    at: dict[int, int] = {}
-    for k, v in enumerate(x):
-        at[v] = -1 if v in at else k
-    return {v: k for v, k in at.items() if k >= 0}
+    return out[::-1]
+
 
+def aligned(met: list[tuple[int, int, int]], moved: bool) -> set[int]:
+    """The lines of a document that one partner holds: `met` has (first line here, first line there, lines) of the shared blocks.
 
+    A block stands for an element of both sequences; it may be at several places here, and is at its first one there.
+    """
+    met = sorted(set(met))
+    a = [there for _, there, _ in met]  # a block is named by its place there
+    found = [i for i, _ in patience(a, sorted(set(a)))]
+    gone = {k for i in found for k in range(met[i][0], met[i][0] + met[i][2])}
+    if moved:
+        for here, there, n in met:
+            if not gone.issuperset(range(here, here + n)):
+                gone.update(range(here, here + n))
+    return gone
+
+
+_BLOCKS = pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), ("h", pa.list_(pa.int64())), ("c", pa.list_(pa.int32())), ("at", pa.list_(pa.int32())), ("lines", pa.list_(pa.int32()))])
 _CUT = pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), ("lines", pa.list_(pa.int32()))])
 
 
-def _align(min_chars: int):
+def _blocks(min_chars: int):
     def run(arrow: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows() -> Iterator[tuple]:
-            first: list[int] = []
-            for doc_id, key, leads, hashes, lengths in records(arrow, 64):
-                if leads:
-                    first = hashes
-                    continue
-                cut = [k for _, start, n in patience(first, hashes) if sum(lengths[start : start + n]) >= min_chars for k in range(start, start + n)]
-                if cut:
-                    yield doc_id, key, cut
+            for doc_id, key, text in records(arrow):
+                own = least_blocks(text or "", min_chars)
+                if len(own[0]):
+                    yield doc_id, key, *[x.tolist() for x in own]
+
+        yield from batches(rows(), _BLOCKS)
+
+    return run
+
+
+def _align(moved: bool):
+    def run(arrow: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def rows() -> Iterator[tuple]:
+            for doc_id, key, first, here, there, lines in records(arrow, 64):
+                partners: dict[int, list[tuple[int, int, int]]] = {}
+                for e, *block in zip(first, here, there, lines):
+                    partners.setdefault(e, []).append(tuple(block))
+                gone: set[int] = set()
+                for met in partners.values():
+                    gone |= aligned(met, moved)
+                yield doc_id, key, sorted(gone)
 
         yield from batches(rows(), _CUT)
 
     return run
 
 
-def aligned_lines(docs: DataFrame, rare_docs: int = 100, min_line: int = 8, min_chars: int = 32, spread: int = 256) -> DataFrame:
+def aligned_lines(docs: DataFrame, min_chars: int = 32, moved: bool = True) -> DataFrame:
     """(doc_id, key, lines): the line numbers to delete from each document that has any.
 
-    `min_line` is the least length of a line that leads to another document, `min_chars` that of a deleted block.
-    A first holder's lines travel once for each `spread` of its partners, so neither a line that many documents
-    hold nor a long document meets all its partners in one task.
+    Blocks are told apart by 95 bits.  All that travels is a few numbers for each line, whatever documents hold it: a
+    frequent line sends each of its holders to one partner, and a document gathers its own blocks only.
     """
     text = F.col("text").cast("string")
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1)).alias("doc_id"), text_key(text).alias("key"), line_hashes(text).alias("hashes"), F.transform(F.split(F.coalesce(text, F.lit("")), "\n"), lambda x: F.length(F.trim(x))).alias("lengths"))
-    rows = checkpointed(rows.dropDuplicates(["doc_id", "key"]))
-    long = F.array_distinct(F.transform(F.filter(F.arrays_zip("hashes", "lengths"), lambda z: (z["lengths"] >= min_line) & (z["hashes"] != 0)), lambda z: z["hashes"]))
-    held = rows.select(F.struct("doc_id", "key").alias("d"), F.explode(long).alias("h"))
-    shared = held.groupBy("h").agg(F.min("d").alias("first"), F.max("d").alias("last"), F.count(F.lit(1)).alias("n")).where("first != last")
-    shared = checkpointed(shared.select("h", "first", "n"))
-    # Holders of a frequent line meet it apart from the others, so that no window has to have them in one task.
-    often = small(shared.where(f"n > {int(rare_docs)}").select("h", "first"))
-    rare = held.join(often, "h", "left_anti").repartition("h").join(shared.where(f"n <= {int(rare_docs)}"), "h")
-    to_first = held.join(often, "h").select("d", "first").union(rare.select("d", "first")).where("d != first").select("d", F.col("first").alias("e")).distinct()
-    before = F.lag("d").over(Window.partitionBy("h").orderBy("d"))
-    to_before = rare.withColumn("e", before).where("e is not null and e != d and e != first").select("d", "e").distinct()
-    pairs = checkpointed(to_first.union(to_before).distinct())
-    groups = pairs.groupBy("e").agg(F.count(F.lit(1)).alias("m")).withColumn("parts", F.ceil(F.col("m") / spread).cast("int"))
-    split = small(checkpointed(groups.where("parts > 1").select("e", "parts")))  # first holders with many partners
-    pairs = pairs.join(split, "e", "left").select("d", "e", F.pmod(F.xxhash64("d"), F.coalesce("parts", F.lit(1)).cast("long")).cast("int").alias("part"))
-    rows = rows.select(F.struct("doc_id", "key").alias("d"), "hashes", "lengths")
-    later = pairs.join(rows, "d").select("e", "part", F.col("d.doc_id").alias("doc_id"), F.col("d.key").alias("key"), F.lit(0).alias("leads"), "hashes", "lengths")
-    empty = F.array().cast("array<int>")
-    earlier = groups.join(rows.withColumnRenamed("d", "e"), "e").select("e", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("e.doc_id").alias("doc_id"), F.col("e.key").alias("key"), F.lit(1).alias("leads"), "hashes", empty.alias("lengths"))
-    met = later.union(earlier).repartition("e", "part").sortWithinPartitions("e", "part", F.desc("leads"))
-    cut = met.select("doc_id", "key", "leads", "hashes", "lengths").mapInArrow(_align(min_chars), "doc_id long, key long, lines array<int>")
-    return cut.select("doc_id", "key", F.explode("lines").alias("line")).groupBy("doc_id", "key").agg(F.collect_set("line").alias("lines"))
-
-
-def dedup_lines(docs: DataFrame, **parameters: int) -> DataFrame:
-    """The rows of `docs` with `text` without the deleted lines, and `_n_lines` and `_n_removed`.
+    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("doc_id"), text_key(text).alias("key"), text.alias("text"))
+    kinds = "doc_id long, key long, h array<long>, c array<int>, at array<int>, lines array<int>"
+    blocks = checkpointed(rows.mapInArrow(_blocks(min_chars), kinds))
+    held = blocks.select("doc_id", "key", F.explode(F.arrays_zip("h", "c", "at", "lines")).alias("b"))
+    held = held.select(F.struct("doc_id", "key").alias("d"), F.struct("b.h", "b.c").alias("block"), F.col("b.at").alias("here"), "b.lines")
+    shared = held.groupBy("block").agg(F.min(F.struct("d", "here")).alias("first"), F.max("d").alias("last"), F.count(F.lit(1)).alias("n")).where("first.d != last")
+    shared = checkpointed(shared.select("block", F.col("first.d").alias("e"), F.col("first.here").alias("there"), "n"))
+    met = counted_join(held, shared, "block", F.col("d")).where("d != e")
+    # A partner is named by a hash: within one document, partners are few enough to be told apart by 64 bits.
+    met = met.groupBy("d").agg(F.collect_list(F.struct(F.xxhash64("e").alias("e"), "here", "there", "lines")).alias("b"))
+    cut = met.select("d.doc_id", "d.key", "b.e", "b.here", "b.there", "b.lines").mapInArrow(_align(moved), "doc_id long, key long, lines array<int>")
+    return cut
+
+
+def dedup_lines(docs: DataFrame, **parameters) -> DataFrame:
+    """The rows of `docs` with `text` without the deleted lines, and `_n_lines`, `_n_removed` and `_n_left`.
 
     Earlier means a smaller doc_id (null last), then a smaller hash of the text; rows alike in both are one document
-    and are treated alike.  A line stays in the first document that holds it.  Null texts stay null; an empty text
-    is one blank line; an empty table gives no rows; other columns are carried through.
+    and are treated alike.  A line stays in the first document that holds it.  Blank lines go with the lines on both
+    sides of them.  `_n_left` counts the characters that are left, without white space.  Null texts stay null; an empty
+    text is one blank line; texts of fewer than `min_chars` characters stay; an empty table gives no rows; other columns
+    are carried through, but for those named like the three results.
     """
     cut = aligned_lines(docs.select("doc_id", "text"), **parameters)
-    cut = cut.select(F.col("doc_id").alias("_id"), F.col("key").alias("_key"), F.sort_array("lines").alias("_cut"))
-    rows = docs.withColumns({"_own": F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1)), "_hash": text_key(F.col("text").cast("string"))})
-    rows = rows.join(cut, (F.col("_own") == F.col("_id")) & (F.col("_hash") == F.col("_key")), "left")
-    lines = F.split(F.col("text").cast("string"), "\n")
+    cut = cut.select(F.col("doc_id").alias("own"), F.col("key").alias("hash"), F.col("lines").alias("cut"))
+    text = F.col("text").cast("string")
+    rows = packed(docs, own=F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)), hash=text_key(text), lines=F.split(text, "\n"))
+    rows = rows.join(cut, ["own", "hash"], "left")
     # A set of line numbers as runs between them: the k-th piece is what stands between two deleted lines.
-    edges = F.concat(F.array(F.lit(-1)), F.col("_cut"), F.array(F.size(lines)))
-    kept = F.flatten(F.transform(F.sequence(F.lit(1), F.size("_cut") + 1), lambda k: F.slice(F.col("_lines"), F.element_at("_edges", k) + 2, F.element_at("_edges", k + 1) - F.element_at("_edges", k) - 1)))
-    rows = rows.withColumns({"_lines": lines, "_edges": edges}).withColumn("text", F.when(F.col("_cut").isNull(), F.col("text").cast("string")).otherwise(F.array_join(kept, "\n")))
-    return rows.select(*docs.columns, F.coalesce(F.size("_lines"), F.lit(0)).alias("_n_lines"), F.coalesce(F.size("_cut"), F.lit(0)).alias("_n_removed"))
+    rows = rows.withColumn("edges", F.concat(F.array(F.lit(-1)), "cut", F.array(F.size("lines"))))
+    kept = F.flatten(F.transform(F.sequence(F.lit(1), F.size("cut") + 1), lambda k: F.slice(F.col("lines"), F.element_at("edges", k) + 2, F.element_at("edges", k + 1) - F.element_at("edges", k) - 1)))
+    text = F.col("row.text").cast("string")
+    rows = rows.withColumn("text", F.when(F.col("cut").isNull(), text).otherwise(F.array_join(kept, "\n")))
+    left = F.length(F.translate(F.coalesce("text", F.lit("")), SPACE, "")).cast("long")
+    return unpacked(rows, docs, text=F.col("text"), _n_lines=F.coalesce(F.size("lines"), F.lit(0)), _n_removed=F.coalesce(F.size("cut"), F.lit(0)), _n_left=left)

@@ -169,11 +169,76 @@ def test_components_of_a_chain_and_a_star(spark):
     assert {r["node"]["doc_id"]: r["root"]["doc_id"] for r in got} == {**{k: 1 for k in range(2, 13)}, **{k: 100 for k in range(101, 130)}}
 
 
-def test_patience_blocks():
-    assert line_dedup.patience([1, 2, 3, 4], [9, 1, 2, 3, 8]) == [(0, 1, 3)]
-    assert line_dedup.patience([1, 1, 2, 1], [1, 2, 1, 5]) == [(1, 0, 3)]
-    assert line_dedup.patience([], [1]) == line_dedup.patience([0, 0], [0, 0]) == []
-    assert line_dedup.patience([1, 2, 3], [3, 2, 1])[0][2] == 1
+def test_patience_recurses_between_anchors():
+    pairs = line_dedup.patience([1, 2, 3, 4], [9, 1, 2, 3, 8])
+    assert pairs == [(0, 1), (1, 2), (2, 3)]
+    assert line_dedup.patience([1, 5, 2, 3, 5, 4], [1, 30, 5, 31, 2, 3, 32, 5, 33, 4]) == [(0, 0), (1, 2), (2, 4), (3, 5), (4, 7), (5, 9)]
+    assert line_dedup.patience([7, 7, 7], [7, 8, 7]) == [(0, 0), (1, 2)]
+    assert line_dedup.patience([], [1]) == [] and len(line_dedup.patience([1, 2, 3], [3, 2, 1])) == 1
+    rnd = random.Random(2)
+    for _ in range(50):
+        a, b = ([rnd.randrange(12) for _ in range(rnd.randrange(30))] for _ in range(2))
+        got = line_dedup.patience(a, b)
+        assert all(a[i] == b[j] for i, j in got) and all(x[0] < y[0] and x[1] < y[1] for x, y in zip(got, got[1:]))
+
+
+def brute_lines(docs, min_chars=32):
+    """doc_id -> numbers of the lines that stand in a run of lines, long enough, which an earlier document holds: all pairs compared."""
+    shown = {d: [(k, x) for k, line in enumerate((t or "").split("\n")) if (x := line.strip(" \t\n\x0b\x0c\r"))] for d, t in docs}
+    out = {}
+    for d in shown:
+        gone = set()
+        for e in shown:
+            if e >= d:
+                continue
+            a, b = shown[e], shown[d]
+            width = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+            for i in range(len(a)):
+                for j in range(len(b)):
+                    if a[i][1] == b[j][1]:
+                        width[i + 1][j + 1] = n = width[i][j] + 1
+                        if sum(len(b[j - k][1]) for k in range(n)) >= min_chars:
+                            gone |= set(range(b[j - n + 1][0], b[j][0] + 1))
+        out[d] = gone
+    return out
+
+
+@pytest.mark.parametrize("seed", [0, 1])
+def test_deleted_lines_are_those_of_all_pairs(spark, seed):
+    """Short lines, of which each is in many documents and whose first holders differ, blocks that move and repeat, blank lines."""
+    rnd = random.Random(seed)
+    lines = [f"short line nr {k:02d}" for k in range(20 if seed else 60)] + ["", " \t", "-" * 40]
+    blocks = [[rnd.choice(lines) for _ in range(rnd.choice([2, 3]))] for _ in range(60)]
+    docs = [(d, "\n".join(x + rnd.choice(["", "\r", "  "]) for _ in range(rnd.randrange(1, 6)) for x in [*rnd.choice(blocks), f"own {d} {rnd.random()}"])) for d in range(140)]
+    got = {r["doc_id"]: set(r["lines"]) for r in line_dedup.aligned_lines(spark.createDataFrame(docs, "doc_id long, text string").repartition(3)).collect()}
+    want = brute_lines(docs)
+    assert {d: x for d, x in want.items() if x} == {d: x for d, x in got.items() if x} and sum(map(len, want.values())) > 300
+
+
+def test_blocks_in_another_order_go_unless_asked_not_to(spark):
+    a, b, c = (f"a line that is long enough to be a block: {x}" for x in "abc")
+    df = spark.createDataFrame([(1, f"{a}\n{b}\n{c}"), (2, f"{c}\nown\n{a}\n{b}")], "doc_id long, text string")
+    text = lambda **p: {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(df, **p).collect()}
+    assert text() == {1: f"{a}\n{b}\n{c}", 2: "own"} and text(moved=False)[2] == f"{c}\nown"
+
+
+def test_long_documents_and_hot_lines_stay_linear(spark):
+    import time
+
+    hot = "a line that every one of the documents holds somewhere"
+    rows = [(d, f"own {d}\n{hot}") for d in range(20_000)] + [(30_000, "\n".join(f"line {k} of a long document, long enough" for k in range(60_000)))]
+    rows += [(30_001, "\n".join(f"line {k} of a long document, long enough" for k in reversed(range(60_000))))]
+    began = time.perf_counter()
+    got = line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string").repartition(8))
+    assert got.agg({"_n_removed": "sum"}).first()[0] == 19_999 + 60_000 and time.perf_counter() - began < 90
+
+
+def test_columns_of_any_name_are_carried(spark):
+    names = ["_cut", "_id", "_key", "_own", "_hash", "_lines", "row", "cut", "own", "hash", "lines", "edges", "a.b", "_n_lines"]
+    line = "a line that is long enough to be deleted"
+    df = spark.createDataFrame([(1, line, *names), (2, f"{line}\nown", *names)], "doc_id long, text string, " + ", ".join(f"`{n}` string" for n in names))
+    got = {r["doc_id"]: r for r in line_dedup.dedup_lines(df).collect()}
+    assert got[2]["text"] == "own" and all(got[2][n] == n for n in names[:-1]) and got[2]["_n_lines"] == 2
 
 
 def test_lines_of_the_later_document_go(spark):
