@@ -3,8 +3,8 @@
 A text is cut where a rolling hash of its last bytes has low bits zero, so documents that share a passage share
 its chunks wherever the passage stands.  Each distinct chunk is encoded once per task (a bounded store keeps what
 was used last) and its ids are reused.  A cut can split a pre-token, so every join is repaired: the text between
-the nearest safe boundary before and after the cut is encoded anew and put in place, and the window widens until
-the ids on both sides agree with it at a token boundary.  A boundary is safe where white space follows
+the nearest safe boundary before and after the cut is encoded anew and put in place; where a chunk's ids
+don't end at such a boundary, what stands between two of them is encoded instead of reused.  A boundary is safe where white space follows
 something else: no pre-token spans it and what follows doesn't depend on what stands before.
 
 Ids are those of the vocabulary's own library; the reuse changes no id.
@@ -12,10 +12,10 @@ Ids are those of the vocabulary's own library; the reuse changes no id.
 
 from __future__ import annotations
 
-import base64
 import hashlib
 import json
 import re
+from bisect import bisect_right
 from collections.abc import Iterable, Iterator
 from functools import cache
 from pathlib import Path
@@ -31,7 +31,6 @@ from docloom.llm.common import batches, records
 CUT_BITS, LEAST, WINDOW = 10, 256, 16
 #: Bytes of chunk text that one task keeps, in two generations.
 STORE_BYTES = 24_000_000
-_SAFE = re.compile(r"(?<=\S)(?=\s)")
 _GPT2 = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 
@@ -43,6 +42,7 @@ class Codec:
         from tokenizers import Tokenizer
 
         spec = json.loads(Path(path).read_text(encoding="utf-8"))
+        refuse_others(spec)
         vocab, added = spec["model"]["vocab"], {t["content"]: t["id"] for t in spec["added_tokens"]}
         to_byte = {c: b for b, c in _byte_chars().items()}
         self.bytes_of = [b""] * (1 + max([*vocab.values(), *added.values()]))
@@ -90,40 +90,29 @@ class Codec:
         return got
 
     def segment(self, data: bytes) -> np.ndarray:
-        """Ids of UTF-8 text without special tokens: its chunks' ids with every join repaired."""
+        """Ids of UTF-8 text without special tokens: its chunks' ids with every join repaired.  Linear in the text."""
         cuts = cut_points(data)
         if not cuts:
             return self.chunk(data)
-        edges = [0, *cuts, len(data)]
         out: list[np.ndarray] = []
-        ids, ends, base = self._with_ends(data, 0, edges[1])
-        for k in range(1, len(edges) - 1):
-            right, right_ends, _ = self._with_ends(data, edges[k], edges[k + 1])
-            low, cut, high = base, edges[k], edges[k + 1]
-            a, b = last_safe(data, low, cut), first_safe(data, cut, high)
-            while True:
-                i = 0 if a is None else int(np.searchsorted(ends, a - base, "right"))
-                j = len(right) if b is None else int(np.searchsorted(right_ends, b - cut, "right"))
-                if (a is not None and (i == 0 or ends[i - 1] != a - base)):
-                    a = last_safe(data, low, a)
-                elif b is not None and (j == 0 or right_ends[j - 1] != b - cut):
-                    b = first_safe(data, b + 1, high)
-                else:
-                    break
-            start, stop = base if a is None else a, high if b is None else b
-            middle = np.array(self.plain(data[start:stop].decode()), np.uint32)
-            if b is None:  # nothing of the right chunk stands by itself: it joins what is still open
-                ids = np.concatenate([ids[:i], middle])
-                ends = np.cumsum(self.lengths[ids])
-            else:
-                out += [ids[:i], middle]
-                ids, ends, base = right[j:], right_ends[j:] - (b - cut), b
-        out.append(ids)
+        at = 0  # what stands before is encoded
+        for start, stop in [*repairs(data, cuts), (len(data), len(data))]:
+            if start > at:
+                # No cut lies between two repairs, so what does is part of one chunk.
+                k = bisect_right(cuts, at)
+                low, high = cuts[k - 1] if k else 0, cuts[k] if k < len(cuts) else len(data)
+                ids = self.chunk(data[low:high])
+                ends = np.concatenate([[0], np.cumsum(self.lengths[ids])])
+                i, j = np.searchsorted(ends, (at - low, start - low)).tolist()
+                agrees = ends[i] == at - low and j < len(ends) and ends[j] == start - low
+                out.append(ids[i:j] if agrees else self.ids(data[at:start]))  # else no reuse: the boundaries are safe all the same
+            if stop > start:
+                out.append(self.ids(data[start:stop]))
+            at = stop
         return np.concatenate(out)
 
-    def _with_ends(self, data: bytes, start: int, stop: int) -> tuple[np.ndarray, np.ndarray, int]:
-        ids = self.chunk(data[start:stop])
-        return ids, np.cumsum(self.lengths[ids]), start
+    def ids(self, data: bytes) -> np.ndarray:
+        return np.array(self.plain(data.decode()), np.uint32)
 
     def encode(self, text: str) -> np.ndarray:
         parts = self.split.split(text) if self.split and any(s in text for s in self.special) else [text]
@@ -138,6 +127,19 @@ class Codec:
         return b"".join(map(self.bytes_of.__getitem__, ids)).decode("utf-8", "replace")
 
 
+def refuse_others(spec: dict) -> None:
+    """ValueError for a tokenizer file that isn't modelled here: its ids would be wrong silently."""
+    model, pre, decoder = spec["model"], spec.get("pre_tokenizer") or {}, spec.get("decoder") or {}
+    asked = {
+        "model": model.get("type", "BPE") == "BPE", "normalizer": not spec.get("normalizer"),
+        "pre_tokenizer": pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space", True), "decoder": decoder.get("type") == "ByteLevel",
+        **{k: not model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges")},
+        "added_tokens": not any(t.get(k) for t in spec["added_tokens"] for k in ("single_word", "lstrip", "rstrip", "normalized")),
+    }
+    if wrong := [k for k, ok in asked.items() if not ok]:
+        raise ValueError(f"only plain byte-level BPE files are read; this one differs in {', '.join(wrong)}")
+
+
 def _byte_chars() -> dict[int, str]:
     """The printable character that stands for each byte in byte-level vocabularies."""
     shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -161,23 +163,26 @@ def cut_points(data: bytes) -> list[int]:
     return out
 
 
-_SPACES = frozenset(b"\t\n\x0b\x0c\r ")
-
+_IS_SPACE = np.zeros(256, bool)
+_IS_SPACE[[9, 10, 11, 12, 13, 32]] = True
 
-def last_safe(data: bytes, low: int, high: int) -> int | None:
-    """The last offset in (low, high) where ASCII white space follows an ASCII byte that isn't white space."""
-    for at in range(high - 1, low, -1):
-        if data[at] in _SPACES and 32 < data[at - 1] < 127:
-            return at
-    return None
 
+def repairs(data: bytes, cuts: list[int]) -> list[tuple[int, int]]:
+    """The stretches to encode anew: from the last safe boundary before each cut to the first after it, joined where they meet.
 
-def first_safe(data: bytes, low: int, high: int) -> int | None:
-    """The first such offset in (low, high)."""
-    for at in range(low + 1, high):
-        if data[at] in _SPACES and 32 < data[at - 1] < 127:
-            return at
-    return None
+    Safe is where ASCII white space follows an ASCII byte that isn't white space.  Text without such a place is one
+    stretch, so it is encoded once, not once for each cut.
+    """
+    x = np.frombuffer(data, np.uint8)
+    safe = np.concatenate([[0], np.flatnonzero(_IS_SPACE[x[1:]] & (x[:-1] > 32) & (x[:-1] < 127)) + 1, [len(data)]])
+    starts, stops = safe[np.searchsorted(safe, cuts) - 1], safe[np.searchsorted(safe, cuts, "right")]
+    out: list[tuple[int, int]] = []
+    for start, stop in zip(starts.tolist(), stops.tolist()):
+        if out and start <= out[-1][1]:
+            out[-1] = (out[-1][0], stop)
+        else:
+            out.append((start, stop))
+    return out
 
 
 @cache
