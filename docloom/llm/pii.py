@@ -6,11 +6,13 @@ token is O by its features, so leaving it out changes no marginal), its chain po
 and its skip potentials join a node with the previous nodes of the same or a similar key (same digits, or seven and
 more that end the other's, or same letters around an at sign) however far away.  Loopy belief propagation with the
 base spans as observed labels spreads an entity's label to its other mentions, such as a phone number repeated
-without its plus sign.  A free node becomes a span if its marginal passes `threshold` and it is linked to an
-observed entity or has an entity's shape (`shape_of`).
+without its plus sign.  A free node becomes a span if its marginal passes `threshold`, and by nothing else.
 
-Potentials are trained piece by piece on a bounded sample of documents: unary weights by multinomial logistic
-regression on the base labels (phones also as they are written without their country code), chain and skip potentials by smoothed log ratios of label-pair counts.
+Potentials are learned on a bounded sample of documents.  Base spans are observed labels, and so is O for a node that
+neither has an entity's form nor hangs together with a base span by skip edges; the patterns can't tell what the other
+nodes are, so their labels are latent and expectation-maximisation fills them in: unary weights by multinomial logistic
+regression on observed and expected labels (phones also as they are written without their country code), chain and
+skip potentials by smoothed log ratios of expected counts of label pairs, those that disagree included.
 """
 
 from __future__ import annotations
@@ -18,7 +20,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +36,8 @@ _EMAIL_LEFT = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz012
 _IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-_NODE = re.compile(r"[^\x20\x09-\x0D]*[0-9@][^\x20\x09-\x0D]*")
+# Tokens are matched whole and searched then, so that one long token is read once.
+_TOKEN, _MARK = re.compile(r"[^\x20\x09-\x0D]++"), re.compile("[0-9@]")
 #: A token that other tokens of a number may follow, one that may follow, and the most digits of a mention.
 _OPENS, _FOLLOWS, _MOST = re.compile(r"[+(]*[0-9][0-9().-]*(?<![.])"), re.compile(r"\(?[0-9][0-9().-]*[^\x20\x09-\x0DA-Za-z@+0-9]*"), 19
 _NATIONAL = re.compile(r"(?:\([0-9]{2,4}\)[\x20.-]?|[0-9]{2,4}[\x20.-])[0-9]{3,4}[\x20.-][0-9]{3,4}")
@@ -91,8 +94,8 @@ def shown(spans: Iterable[tuple[int, int, int]]) -> str:
 LABELS = 1 + len(KINDS)
 _BINS = (1, 4, 7, 9, 13, 20, 41)
 FEATURES = 14 + len(_BINS) + 1
-#: How much a skip potential counts against the unary ones: mentions alike in seven digits or more seldom differ in kind.
-SKIP_WEIGHT = 2.0
+#: What is known of linked mentions beforehand, worth PRIOR pairs: both are the same, but for a share DIFFER.  ROUNDS of expectation-maximisation.
+PRIOR, DIFFER, ROUNDS = 20.0, 0.001, 4
 
 
 def trimmed(text: str, a: int, b: int) -> tuple[int, int]:
@@ -154,8 +157,10 @@ def mentions_of(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int,
     at = 0
     for a, b, label in [*order, (len(text), len(text), 0)]:
         run: list[tuple[int, int]] = []
-        for m in _NODE.finditer(text, at, a):
+        for m in _TOKEN.finditer(text, at, a):
             s, e = m.span()
+            if not _MARK.search(text, s, e):
+                continue
             joins = run and s == run[-1][1] + 1 and text[s - 1] == " " and _OPENS.fullmatch(text, *run[-1]) and _FOLLOWS.fullmatch(text, s, e)
             if run and not joins:
                 out += _cut(text, run, known)
@@ -259,24 +264,21 @@ class Field:
         nodes = nodes_of(text, base)
         if all(nodes.labels):
             return base
-        belief = self.marginals(nodes)
-        linked = linked_to_entity(nodes)
+        belief = self.marginals(nodes)[0]
         last, added, order, at = 0, [], sorted(base, key=lambda s: s[1]), 0
         for k, label in enumerate(nodes.labels):
             got = int(belief[k].argmax())
             if label or not got or belief[k, got] < self.threshold:
                 continue
             a, b = trimmed(text, *nodes.spans[k])
-            if not (linked[k] or shape_of(text[a:b]) == got):
-                continue
             while at < len(order) and order[at][1] < b:
                 last, at = max(last, order[at][2]), at + 1
             if a < b and last <= a:
                 added.append((got - 1, a, b))
         return sorted([*base, *added])
 
-    def marginals(self, nodes: Nodes, rounds: int = 12) -> np.ndarray:
-        """Loopy sum-product in log space over chain and skip edges; observed labels are fixed."""
+    def marginals(self, nodes: Nodes, rounds: int = 12) -> tuple[np.ndarray, np.ndarray]:
+        """Beliefs of the nodes, and of the label pairs of the edges (chain, then skip), by loopy sum-product in log space; observed labels are fixed."""
         own = nodes.x @ self.unary
         fixed = np.array(nodes.labels)
         own[fixed > 0] = -1e3
@@ -285,22 +287,26 @@ class Field:
         table = np.concatenate([np.repeat(self.chain[None], len(nodes.chain), 0), np.repeat(self.skip[None], len(nodes.skip), 0)])
         # Each edge carries a message both ways: 0 .. E-1 forward, E .. 2E-1 back.
         src, dst = np.concatenate([edges[:, 0], edges[:, 1]]), np.concatenate([edges[:, 1], edges[:, 0]])
-        table = np.concatenate([table, table.transpose(0, 2, 1)])
+        both = np.concatenate([table, table.transpose(0, 2, 1)])
         back = np.concatenate([np.arange(len(edges)) + len(edges), np.arange(len(edges))])
         sent = np.zeros((len(src), LABELS))
-        for _ in range(rounds):
+
+        def gathered() -> np.ndarray:
             total = own.copy()
             for c in range(LABELS):
                 total[:, c] += np.bincount(dst, sent[:, c], len(own))
-            new = _logsum((total[src] - sent[back])[:, :, None] + table, 1)
+            return total
+
+        for _ in range(rounds if len(edges) else 0):
+            new = _logsum((gathered()[src] - sent[back])[:, :, None] + both, 1)
             new -= _logsum(new, 1)[:, None]
             if np.abs(new - sent).max(initial=0) < 1e-4:
                 break
             sent = 0.5 * sent + 0.5 * new
-        total = own.copy()
-        for c in range(LABELS):
-            total[:, c] += np.bincount(dst, sent[:, c], len(own))
-        return np.exp(total - _logsum(total, 1)[:, None])
+        total, n = gathered(), len(edges)
+        pairs = (total[src[:n]] - sent[n:])[:, :, None] + (total[dst[:n]] - sent[:n])[:, None, :] + table
+        pairs = np.exp(pairs - _logsum(_logsum(pairs, 2), 1)[:, None, None]) if n else np.zeros((0, LABELS, LABELS))
+        return np.exp(total - _logsum(total, 1)[:, None]), pairs
 
 
 def _logsum(x: np.ndarray, axis: int) -> np.ndarray:
@@ -308,8 +314,8 @@ def _logsum(x: np.ndarray, axis: int) -> np.ndarray:
     return (top + np.log(np.exp(x - top).sum(axis, keepdims=True))).squeeze(axis)
 
 
-def linked_to_entity(nodes: Nodes) -> list[bool]:
-    """Whether a node shares its key, over any number of skip edges, with a node that a base span covers."""
+def latent(text: str, nodes: Nodes) -> np.ndarray:
+    """Which nodes may be entities that no base pattern sees: those of an entity's form, and those that share a key, over any number of skip edges, with a base span."""
     root = list(range(len(nodes.spans)))
 
     def find(k: int) -> int:
@@ -321,44 +327,74 @@ def linked_to_entity(nodes: Nodes) -> list[bool]:
     for a, b in nodes.skip.tolist():
         root[find(b)] = find(a)
     marked = {find(k) for k, label in enumerate(nodes.labels) if label}
-    return [find(k) in marked for k in range(len(root))]
+    return np.array([not label and (find(k) in marked or shape_of(text[slice(*nodes.spans[k])]) > 0) for k, label in enumerate(nodes.labels)], bool)
+
+
+def _regression(x: np.ndarray, target: np.ndarray, weights: np.ndarray, steps: int) -> np.ndarray:
+    """Multinomial logistic regression on soft labels; rows alike in `x` are counted together."""
+    x, kinds = np.unique(x, axis=0, return_inverse=True)
+    share = np.zeros((len(x), LABELS))
+    np.add.at(share, kinds.reshape(-1), target)
+    share /= share.sum()
+    rows = share.sum(1, keepdims=True)
+    for _ in range(steps):
+        score = x @ weights
+        weights = weights + 2.0 * (x.T @ (share - rows * np.exp(score - _logsum(score, 1)[:, None])) - 1e-4 * weights)
+    return weights
 
 
 def train(texts: Iterable[str], threshold: float = 0.9, steps: int = 300) -> Field:
     """A field from the base labels of a sample of texts; with an empty sample it adds nothing that isn't linked."""
-    xs, ys = [], []
-    chain, skip = np.ones((LABELS, LABELS)), np.full((LABELS, LABELS), 0.05)
-    skip[np.arange(LABELS), np.arange(LABELS)] = 5.0
+    observed, open_ = [], []
+    chain, skip = np.ones((LABELS, LABELS)), np.zeros((LABELS, LABELS))
+    one = np.eye(LABELS)
     for text in texts:
         nodes = nodes_of(text, base_spans(text))
-        if nodes.spans:
-            y = np.array(nodes.labels)
-            xs.append(nodes.x)
-            ys.append(y)
-            # Phones without their country code: the base pattern can't label them, as it looks for the plus sign.
-            bare = [_COUNTRY.sub("", text[a:b], count=1) for (a, b), label in zip(nodes.spans, nodes.labels) if label == 4 and shape_of(text[a:b]) == 4]
-            xs.append(np.array([features(t, "") for t in bare]).reshape(-1, FEATURES))
-            ys.append(np.full(len(bare), 4))
-            np.add.at(chain, tuple(y[nodes.chain].T), 1)
-            both = nodes.skip[(y[nodes.skip] > 0).all(1) | (y[nodes.skip] == 0).all(1)] if len(nodes.skip) else nodes.skip
-            np.add.at(skip, tuple(y[both].T), 1)
-    weights = np.zeros((FEATURES, LABELS))
-    if xs:
-        x, y = np.concatenate(xs), np.concatenate(ys)
-        kinds, counts = np.unique(np.concatenate([x, y[:, None]], 1), axis=0, return_counts=True)  # equal rows once
-        x, target, share = kinds[:, :-1], np.eye(LABELS)[kinds[:, -1].astype(int)], (counts / counts.sum())[:, None]
-        for _ in range(steps):
-            score = x @ weights
-            p = np.exp(score - _logsum(score, 1)[:, None])
-            weights += 2.0 * (x.T @ (share * (target - p)) - 1e-4 * weights)
+        if not nodes.spans:
+            continue
+        y, hidden = np.array(nodes.labels), latent(text, nodes)
+        observed.append((nodes.x[~hidden], one[y[~hidden]]))
+        # Phones without their country code: the base pattern can't label them, as it looks for the plus sign.
+        bare = [_COUNTRY.sub("", text[a:b], count=1) for (a, b), label in zip(nodes.spans, nodes.labels) if label == 4 and shape_of(text[a:b]) == 4]
+        observed.append((np.array([features(t, "") for t in bare]).reshape(-1, FEATURES), one[np.full(len(bare), 4)]))
+        if hidden.any():
+            open_.append((nodes, hidden))
+        for counts, edges in ((chain, nodes.chain), (skip, nodes.skip)):
+            edges = edges[~hidden[edges].any(1)]
+            np.add.at(counts, tuple(y[edges].T), 1)
     ratio = lambda n: np.log(n / n.sum()) - np.log(n.sum(1) / n.sum())[:, None] - np.log(n.sum(0) / n.sum())[None]
-    # Skip potentials are ratios of smoothed conditionals; agreement always pays.
-    return Field(weights, ratio(chain + chain.T) / 2, SKIP_WEIGHT * ratio(skip + skip.T), threshold)
-
 
-def train_on(docs: DataFrame, rows: int = 1_000, threshold: float = 0.9) -> Field:
-    """Train on at most 2 * `rows` whole documents, chosen by a hash of doc_id among those with a digit or an at sign."""
-    some = docs.select("doc_id", "text").where(F.col("text").rlike("[0-9@]"))
+    def linked(n: np.ndarray, seen: np.ndarray) -> np.ndarray:
+        """Log ratio of a label's share among the mentions linked to a label and among all nodes, both ways alike."""
+        share, n = (seen + 1) / (seen + 1).sum(), n + n.T
+        given = (n + PRIOR * ((1 - DIFFER) * one + DIFFER * share)) / (n.sum(1, keepdims=True) + PRIOR)
+        got = np.log(given) - np.log(share)
+        return (got + got.T) / 2
+
+    field = Field(np.zeros((FEATURES, LABELS)), ratio(chain + chain.T), linked(skip, sum((y.sum(0) for _, y in observed), np.zeros(LABELS))), threshold)
+    if not observed:
+        return field
+    x, target = (np.concatenate(z) for z in zip(*observed))
+    field.unary = _regression(x, target, field.unary, steps)
+    for turn in range(ROUNDS if open_ else 0):
+        more_chain, more_skip, expected = chain.copy(), skip.copy(), []
+        for nodes, hidden in open_:
+            # At first a latent node's own look counts for nothing: the pattern's O isn't evidence against its links.
+            belief, pairs = field.marginals(nodes if turn else replace(nodes, x=np.where(hidden[:, None], 0.0, nodes.x)))
+            expected.append((nodes.x[hidden], belief[hidden]))
+            touched = hidden[np.concatenate([nodes.chain, nodes.skip])].any(1)
+            n = len(nodes.chain)
+            more_chain += pairs[:n][touched[:n]].sum(0)
+            more_skip += pairs[n:][touched[n:]].sum(0)
+        x2, target2 = (np.concatenate(z) for z in zip(*expected))
+        field.chain, field.skip = ratio(more_chain + more_chain.T), linked(more_skip, target.sum(0) + target2.sum(0))
+        field.unary = _regression(np.concatenate([x, x2]), np.concatenate([target, target2]), field.unary, steps // 3)
+    return field
+
+
+def train_on(docs: DataFrame, rows: int = 1_000, threshold: float = 0.9, most_chars: int = 50_000) -> Field:
+    """Train on at most 2 * `rows` whole documents, chosen by a hash of doc_id among those with a digit or an at sign and of `most_chars` characters at most."""
+    some = docs.select("doc_id", "text").where(F.col("text").rlike("[0-9@]") & (F.length("text") <= most_chars))
     return train((r[0] for r in sample_rows(some, rows, F.col("doc_id")).select("text").collect()), threshold)
 
 
