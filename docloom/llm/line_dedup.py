@@ -215,8 +215,8 @@ def dedup_lines(docs: DataFrame, **parameters) -> DataFrame:
     cut = aligned_lines(docs.select("doc_id", "text"), **parameters)
     cut = cut.select(F.col("doc_id").alias("own"), F.col("key").alias("hash"), F.col("lines").alias("cut"))
     text = F.col("text").cast("string")
-    rows = packed(docs, own=F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)), hash=text_key(text), lines=F.split(text, "\n"))
-    rows = rows.join(cut, ["own", "hash"], "left")
+    rows = packed(docs, own=F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)), hash=text_key(text))
+    rows = rows.join(cut, ["own", "hash"], "left").withColumn("lines", F.split(F.col("row.text").cast("string"), "\n"))
     # A set of line numbers as runs between them: the k-th piece is what stands between two deleted lines.
     rows = rows.withColumn("edges", F.concat(F.array(F.lit(-1)), "cut", F.array(F.size("lines"))))
     kept = F.flatten(F.transform(F.sequence(F.lit(1), F.size("cut") + 1), lambda k: F.slice(F.col("lines"), F.element_at("edges", k) + 2, F.element_at("edges", k + 1) - F.element_at("edges", k) - 1)))
