@@ -1,13 +1,15 @@
 """Language identification by Bayesian evidence fusion.
 
 For each document four independent pieces of evidence are added in log space: the text's likelihood under
-character-trigram models, the language that its markup declares, the language that its address suffix suggests,
-and its host's prior.  Host priors come from one grouped aggregation of the text posteriors: a host's counts are
-smoothed towards its registered domain's, those towards the whole corpus.  A class "und" with a uniform
-likelihood stands for text in no known language; a document is rejected if that class wins.
-
-The trigram models are fitted on a bounded sample of labelled rows (`sample_rows` for each language, however many languages); all else
-uses every row and every whole text.
+character-trigram models, the language that its markup declares, its address suffix, and its host's prior.  The last
+three come from grouped aggregations of the text posteriors over the whole corpus.  A host's counts are smoothed towards
+its registered domain's, those towards the corpus.  What a declaration or a suffix says is its share among the documents
+of each language; a declaration is taken to be right nine times in ten before any document is seen (`trust`, worth
+`smooth` documents), of a suffix nothing is known beforehand.  A class "und" with a uniform likelihood stands for text
+in no known language; a document is rejected if that class wins.
+
+The trigram models are fitted on a bounded sample of labelled rows (`sample_rows` for each language, however many
+languages); all else uses every row and every whole text.
 """
 
 from __future__ import annotations
@@ -21,13 +23,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from docloom.llm.common import batches, checkpointed, records, small, text_key
+from docloom.llm.common import batches, checkpointed, lookup, packed, records, small, text_key, unpacked
 
 BINS = 1 << 16
 UND = "und"
 UNSEEN = 0.3
-#: Address suffixes that suggest a language.
-SUFFIXES = {"de": "de", "at": "de", "fr": "fr", "es": "es", "mx": "es", "ar": "es", "uk": "en", "us": "en", "au": "en", "it": "it", "pt": "pt", "br": "pt", "nl": "nl"}
 _LETTERS = np.array([1, 0x9E3779B1, 0x85EBCA77], np.uint32)
 
 
@@ -87,20 +87,25 @@ def fit_on(docs: DataFrame, sample_rows: int = 400) -> Model:
     turn = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id", F.lit(29)), "doc_id", text_key(F.col("text"))))
     some = some.select("lang", "text", turn.alias("_turn")).where(F.col("_turn") <= 2 * sample_rows).select("lang", "text")
 
-    def count(rows: pd.DataFrame) -> pd.DataFrame:
-        n = np.zeros(BINS, np.int64)
-        for text in rows["text"]:
-            n += np.bincount(trigrams(text), minlength=BINS)
-        bins = np.flatnonzero(n)
-        return pd.DataFrame({"lang": [rows["lang"].iloc[0]], "bins": [bins], "n": [n[bins]]})
+    schema = pa.schema([("lang", pa.string()), ("bin", pa.int32()), ("n", pa.int64())])
+
+    def count(arrow: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts: dict[str, np.ndarray] = {}
+        for lang, text in records(arrow, 16):
+            counts.setdefault(lang, np.zeros(BINS, np.int64))
+            counts[lang] += np.bincount(trigrams(text), minlength=BINS)
+        for lang, n in counts.items():
+            bins = np.flatnonzero(n)
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(bins), pa.string()), pa.array(bins, pa.int32()), pa.array(n[bins])], schema=schema)
 
-    got = some.groupBy("lang").applyInPandas(count, "lang string, bins array<long>, n array<long>").collect()
-    return _model({r["lang"]: (np.array(r["bins"], np.int64), np.array(r["n"], np.int64)) for r in got})
+    got = some.mapInArrow(count, "lang string, bin int, n long").groupBy("lang", "bin").agg(F.sum("n").alias("n")).groupBy("lang").agg(F.collect_list(F.struct("bin", "n")).alias("x")).collect()
+    return _model({r["lang"]: (np.array([x["bin"] for x in r["x"]], np.int64), np.array([x["n"] for x in r["x"]], np.int64)) for r in got})
 
 
 def declared_language(text: Column) -> Column:
     """The language that the first lang attribute of an html or body tag declares, or null."""
-    got = F.regexp_extract(text, r"(?i)<(?:html|body)\b[^>]{0,500}?\b(?:xml:)?lang\s*=\s*[\"']?([a-z]{2,3})", 1)
+    tags = F.array_join(F.regexp_extract_all(text, F.lit(r"(?i)<(?:html|body)\b([^<>]*+)>"), 1), " ")
+    got = F.regexp_extract(tags, r"(?i)(?:^|[\s\"'])(?:xml:)?lang\s*=\s*[\"']?([a-z]{2,3})(?![a-z])", 1)
     return F.when(text.contains("<"), F.nullif(F.lower(got), F.lit("")))
 
 
@@ -114,34 +119,54 @@ def domain_of(host: Column) -> Column:
     return F.regexp_extract(host, r"([^.]*\.[^.]*|[^.]*)$", 1)
 
 
-def suffix_language(host: Column) -> Column:
-    suffix = F.regexp_extract(host, r"\.([a-z]{2})$", 1)
-    return F.coalesce(*[F.when(suffix == s, F.lit(lang)) for s, lang in SUFFIXES.items()])
+def suffix_of(host: Column) -> Column:
+    """The two-letter suffix of a host, or null."""
+    return F.nullif(F.regexp_extract(host, r"\.([a-z]{2})$", 1), F.lit(""))
 
 
 _SCORED = pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), ("host", pa.string()), ("declared", pa.string()), ("suffix", pa.string()), ("ll", pa.list_(pa.float64()))])
 
 
-def identify_languages(docs: DataFrame, model: Model, address: str = "source", smooth: float = 20.0, trust_declared: float = 0.9, trust_suffix: float = 0.7) -> DataFrame:
-    """doc_id, key (hash of the text), lang_pred, confidence, declared, suffix_lang, kept: one row per input row.
+def says(votes: dict[str, np.ndarray], languages: list[str], trust: float | None, smooth: float) -> dict[str, np.ndarray]:
+    """Log likelihood of each sign (a declared code, a suffix) under each class, from the votes of the documents that have it.
+
+    A class's shares of signs are smoothed towards what is known beforehand: the sign's share in the corpus, and if
+    `trust` is given, that much for the sign that names the language itself.
+    """
+    if not votes:
+        return {}
+    every = sum(votes.values())
+    out = {}
+    for sign, own in votes.items():
+        share = own.sum() / every.sum()
+        known = np.full(len(languages) + 1, share)
+        if trust is not None:
+            known[:-1] = [trust if x == sign else (1 - trust) * share for x in languages]
+        out[sign] = np.log((own + smooth * known) / (every + smooth))
+    return out
+
+
+def identify_languages(docs: DataFrame, model: Model, address: str = "source", smooth: float = 20.0, trust: float = 0.9) -> DataFrame:
+    """doc_id, key (hash of the text), lang_pred, confidence, declared, suffix, kept: one row per input row.
 
     Null and empty texts have no evidence of their own and are rejected ("und"), as is text whose trigrams fit no
     language better than chance; ties go to the first language in order.  Without a fitted language nothing can be
     rejected: lang_pred is null and kept true.  A null address is the host "".  Repeated rows repeat; an empty
-    table gives no rows; other columns are ignored.
+    table gives no rows; other columns are ignored.  The driver sees the counts of declared codes and of suffixes, of
+    two and three letters, so 18,252 at most, and one of each class; hosts stay where they are.
     """
     n = len(model.languages)
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     host = host_of(F.col(address).cast("string"))
-    plain = F.when(text.contains("<"), F.regexp_replace(text, r"</?[A-Za-z][^<>]*>", " ")).otherwise(text)
+    plain = F.when(text.contains("<"), F.regexp_replace(text, r"</?[A-Za-z][^<>]*+>", " ")).otherwise(text)
 
     def score(arrow: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from batches(((*row[:5], model.likelihoods(row[5]).tolist()) for row in records(arrow)), _SCORED)
 
-    rows = docs.select(F.col("doc_id").cast("long"), text_key(text).alias("key"), host.alias("host"), declared_language(text).alias("declared"), suffix_language(host).alias("suffix"), plain.alias("text"))
+    rows = docs.select(F.col("doc_id").cast("long"), text_key(text).alias("key"), host.alias("host"), declared_language(text).alias("declared"), suffix_of(host).alias("suffix"), plain.alias("text"))
     scored = rows.mapInArrow(score, "doc_id long, key long, host string, declared string, suffix string, ll array<double>")
     if not n:
-        return scored.select("doc_id", "key", F.lit(None).cast("string").alias("lang_pred"), F.lit(0.0).alias("confidence"), "declared", F.col("suffix").alias("suffix_lang"), F.lit(True).alias("kept"))
+        return scored.select("doc_id", "key", F.lit(None).cast("string").alias("lang_pred"), F.lit(0.0).alias("confidence"), "declared", "suffix", F.lit(True).alias("kept"))
     scored = checkpointed(scored)
     languages, log = model.languages, np.log
 
@@ -149,15 +174,26 @@ def identify_languages(docs: DataFrame, model: Model, address: str = "source", s
     def votes(ll: pd.Series) -> pd.Series:
         x = np.stack(ll.to_numpy())
         p = np.exp(x - x.max(1, keepdims=True))
-        return pd.Series(list(np.rint(p / p.sum(1, keepdims=True) * 1e6).astype(np.int64)))  # whole numbers: sums don't depend on their order
+        p /= p.sum(1, keepdims=True)
+        p[~x.any(1)] = 0  # a text without trigrams has no vote
+        return pd.Series(list(np.rint(p * 1e6).astype(np.int64)))  # whole numbers: sums don't depend on their order
 
     # One row for each host and class with votes: the plan's size doesn't depend on the number of languages.
-    counts = checkpointed(scored.select("host", F.posexplode(votes("ll")).alias("k", "n")).where("n > 0").groupBy("host", "k").agg(F.sum("n").alias("n")))
+    cast = scored.select("host", "declared", "suffix", F.posexplode(votes("ll")).alias("k", "n")).where("n > 0")
+    counts = checkpointed(cast.groupBy("host", "declared", "suffix", "k").agg(F.sum("n").alias("n")))
+
+    def seen(sign: str) -> dict[str, np.ndarray]:
+        out: dict[str, np.ndarray] = {}
+        for x, k, total in counts.where(F.col(sign).isNotNull()).groupBy(sign, "k").agg(F.sum("n")).collect():
+            out.setdefault(x, np.zeros(n + 1))[k] = total / 1e6
+        return out
+
+    by_markup, by_suffix = says(seen("declared"), languages, trust, smooth), says(seen("suffix"), languages, None, smooth)
     every = np.zeros(n + 1)
     for k, total in counts.groupBy("k").agg(F.sum("n")).collect():
         every[k] = total / 1e6
     corpus = (every + 1) / (every.sum() + n + 1)
-    hosts = counts.groupBy("host").agg(F.collect_list(F.struct("k", "n")).alias("own")).withColumn("domain", domain_of(F.col("host")))
+    hosts = counts.groupBy("host", "k").agg(F.sum("n").alias("n")).groupBy("host").agg(F.collect_list(F.struct("k", "n")).alias("own")).withColumn("domain", domain_of(F.col("host")))
     domains = counts.groupBy(domain_of(F.col("host")).alias("domain"), "k").agg(F.sum("n").alias("n")).groupBy("domain").agg(F.collect_list(F.struct("k", "n")).alias("above"))
 
     @F.pandas_udf("array<double>")
@@ -170,17 +206,11 @@ def identify_languages(docs: DataFrame, model: Model, address: str = "source", s
             out.append(log((own + smooth * by_domain) / (own.sum() + smooth)))
         return pd.Series(out)
 
-    priors = hosts.join(domains, "domain").select("host", log_prior("own.k", "own.n", "above.k", "above.n").alias("prior"))
-
-    def says(trust: float) -> dict[str, np.ndarray]:
-        """Log likelihood of a declaration under each class; one of an unknown language says nothing."""
-        return {x: log(np.array([trust if y == x else (1 - trust) / max(1, n - 1) for y in languages] + [1 / n])) for x in languages}
-
-    by_markup, by_suffix = says(trust_declared), says(trust_suffix)
+    priors = checkpointed(lookup(hosts, domains, ["domain"], F.col("host")).select("host", log_prior("own.k", "own.n", "above.k", "above.n").alias("prior")))
 
     @F.pandas_udf("lang_pred string, confidence double")
     def fuse(ll: pd.Series, prior: pd.Series, declared: pd.Series, suffix: pd.Series) -> pd.DataFrame:
-        x = np.stack(ll.to_numpy()) + np.stack(prior.to_numpy())
+        x = np.stack(ll.to_numpy()) + np.stack([log(corpus) if p is None else p for p in prior])
         for k, (d, s) in enumerate(zip(declared, suffix)):
             if d in by_markup:
                 x[k] += by_markup[d]
@@ -188,16 +218,17 @@ def identify_languages(docs: DataFrame, model: Model, address: str = "source", s
                 x[k] += by_suffix[s]
         p = np.exp(x - x.max(1, keepdims=True))
         p /= p.sum(1, keepdims=True)
-        p[np.stack(ll.to_numpy()).any(1) == 0] = [0] * n + [1]  # no text at all
+        p[~np.stack(ll.to_numpy()).any(1)] = [0] * n + [1]  # no text at all
         return pd.DataFrame({"lang_pred": [[*languages, UND][k] for k in p.argmax(1)], "confidence": p.max(1).round(4)})
 
-    fused = scored.join(small(priors), "host").withColumn("got", fuse("ll", "prior", "declared", "suffix"))
-    return fused.select("doc_id", "key", "got.lang_pred", "got.confidence", "declared", F.col("suffix").alias("suffix_lang"), (F.col("got.lang_pred") != UND).alias("kept"))
+    fused = lookup(scored, priors, ["host"], F.col("key"), "left").withColumn("got", fuse("ll", "prior", "declared", "suffix"))
+    return fused.select("doc_id", "key", "got.lang_pred", "got.confidence", "declared", "suffix", (F.col("got.lang_pred") != UND).alias("kept"))
 
 
 def keep_known(docs: DataFrame, sample_rows: int = 400) -> DataFrame:
-    """The rows of `docs`, unchanged, whose language is known."""
+    """The rows of `docs`, unchanged whatever their columns' names, whose language is known."""
     verdicts = identify_languages(docs, fit_on(docs, sample_rows))
-    gone = verdicts.where(~F.col("kept")).select(F.col("doc_id").alias("_id"), F.col("key").alias("_key")).distinct()
-    gone = small(checkpointed(gone))
-    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_id")) & (text_key(F.col("text")) == F.col("_key")), "left_anti")
+    last = F.lit(2**63 - 1)
+    gone = checkpointed(verdicts.where(~F.col("kept")).select(F.coalesce("doc_id", last).alias("own"), F.col("key").alias("hash")).distinct())
+    rows = packed(docs, own=F.coalesce(F.col("doc_id").cast("long"), last), hash=text_key(F.col("text").cast("string")))
+    return unpacked(lookup(rows, gone, ["own", "hash"], F.col("hash"), "left_anti"), docs)

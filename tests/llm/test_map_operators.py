@@ -9,7 +9,7 @@ import zlib
 import numpy as np
 import pytest
 
-from docloom.llm import bpe, chat_format, language_id, media, pii
+from docloom.llm import bpe, chat_format, common, language_id, media, pii
 from docloom.llm.queries import tokenizer_path
 
 TEXTS = [None, "", " ", "a", "word " * 3000, "é日本😀 x", "<|endoftext|> a<|endoftext|>", "\n\n  \t", "x" * 5000, "it's 12 o'clock\x85 "]
@@ -180,16 +180,69 @@ def test_languages_on_held_out_text(spark):
 
 
 def test_declared_language_and_suffix_move_close_calls(spark):
-    model = language_id.fit([("en", "aa bb " * 50), ("de", "aa bb " * 50)])
-    rows = [(1, "aa bb", "a.org"), (2, '<html lang="de">aa bb', "a.org"), (3, "aa bb", "http://x.de/p"), (4, "<html lang='zz'>aa bb", "a.org")]
+    model = language_id.fit([("en", "aa bb " * 50 + "cc " * 50), ("de", "aa bb " * 50 + "dd " * 50)])
+    rows = [(1, "aa bb", "a.org"), (2, '<html class=x lang="de">aa bb', "a.org"), (4, "<html lang='zz'>aa bb", "a.org")]
+    rows += [(10 + k, "dd dd dd" if k % 2 else "cc cc cc", f"http://x{k}.{'de' if k % 2 else 'uk'}/p") for k in range(60)] + [(3, "aa bb", "http://y.de/p")]
     got = {r["doc_id"]: r for r in language_id.identify_languages(spark.createDataFrame(rows, "doc_id long, text string, source string"), model).collect()}
-    assert got[2]["declared"] == "de" and got[2]["lang_pred"] == "de" and got[3]["suffix_lang"] == "de" and got[3]["lang_pred"] == "de" and got[4]["declared"] == "zz"
+    assert got[2]["declared"] == "de" and got[2]["lang_pred"] == "de" and got[4]["declared"] == "zz"
+    assert got[3]["suffix"] == "de" and got[3]["lang_pred"] == "de" and got[3]["confidence"] > 0.7
+
+
+@pytest.mark.parametrize("many", [False, True])
+def test_fusion_equals_plain_sums(spark, many, monkeypatch):
+    """Votes, shares of signs, smoothed priors and their sum, from the likelihoods up; hosts broadcast and dealt out."""
+    rnd = random.Random(6)
+    model = language_id.fit([(x, speech(x, rnd, 300)) for x in ("en", "de", "fr")])
+    langs, rows = [*model.languages, "und"], []
+    for k in range(120):
+        text = speech(rnd.choice(("en", "de", "fr")), rnd, rnd.choice((1, 2, 20))) if k % 17 else ""
+        mark = rnd.choice(["", "", "", "<html lang=de> ", "<BODY xml:lang='fr-CA'>", "<html lang=xx>"])
+        rows.append((k, mark + text, rnd.choice(["http://a.x.de/1", "b.x.de", "c.fr/z", "https://u:p@d.org:8/", "plain", None])))
+    if many:
+        monkeypatch.setattr(language_id, "lookup", lambda rows, found, keys, salt, how="inner", **_: common.lookup(rows, found, keys, salt, how, most=0))
+    got = {r["doc_id"]: r for r in language_id.identify_languages(spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3), model).collect()}
+    votes, like, host, said = {}, {}, {}, {}
+    for k, text, address in rows:
+        plain = re.sub(r"</?[A-Za-z][^<>]*>", " ", text) if "<" in text else text
+        like[k] = model.likelihoods(plain)
+        p = np.exp(like[k] - like[k].max())
+        votes[k] = np.rint(p / p.sum() * 1e6) / 1e6 if len(language_id.trigrams(plain)) else np.zeros(4)
+        host[k] = {"http://a.x.de/1": "a.x.de", "b.x.de": "b.x.de", "c.fr/z": "c.fr", "https://u:p@d.org:8/": "d.org", "plain": "plain", None: ""}[address]
+        said[k] = ("de" if "lang=de" in text else "fr" if "fr-CA" in text else "xx" if "lang=xx" in text else None, host[k][-2:] if host[k][-3:-2] == "." else None)
+    total = sum(votes.values())
+    corpus = (total + 1) / (total.sum() + 4)
+    for k, *_ in rows:
+        domain = ".".join(host[k].split(".")[-2:])
+        above = sum(votes[j] for j in votes if ".".join(host[j].split(".")[-2:]) == domain)
+        own = sum(votes[j] for j in votes if host[j] == host[k])
+        x = like[k] + np.log((own + 20 * (above + 20 * corpus) / (above.sum() + 20)) / (own.sum() + 20))
+        for part, trust in ((0, 0.9), (1, None)):
+            if sign := said[k][part]:
+                every = sum(votes[j] for j in votes if said[j][part])
+                mine = sum(votes[j] for j in votes if said[j][part] == sign)
+                share = mine.sum() / every.sum()
+                known = [trust if trust and y == sign else (1 - trust) * share if trust and y != "und" else share for y in langs]
+                x = x + np.log((mine + 20 * np.array(known)) / (every + 20))
+        p = np.exp(x - x.max())
+        p = p / p.sum() if like[k].any() else np.array([0, 0, 0, 1.0])
+        assert (got[k]["declared"], got[k]["suffix"]) == said[k]
+        assert got[k]["lang_pred"] == langs[int(p.argmax())] and abs(got[k]["confidence"] - p.max()) < 1e-4
+
+
+def test_unclosed_tags_take_linear_time(spark):
+    import time
+
+    began = time.perf_counter()
+    df = spark.createDataFrame([(1, "<html " * 300_000, "h")], "doc_id long, text string, source string")
+    assert language_id.identify_languages(df, language_id.fit([("en", "the and")])).count() == 1 and time.perf_counter() - began < 30
 
 
 def test_known_rows_stay_as_they_are(spark):
     rnd = random.Random(4)
     rows = [(k, speech("en" if k % 2 else "fr", rnd, 30), "en" if k % 2 else "fr", "h") for k in range(40)] + [(50, None, "en", None), (1, "", "fr", "h")]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    clash = df.selectExpr("*", *[f"1 as `{x}`" for x in ("own", "hash", "row", "key", "_id", "_key", "_part", "a.b")])
+    assert language_id.keep_known(clash).columns == clash.columns and language_id.keep_known(clash).count() == 40
     assert sorted(map(tuple, language_id.keep_known(df).collect())) == sorted(rows[:40])
 
 
