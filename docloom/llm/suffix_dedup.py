@@ -15,7 +15,9 @@ and neighbouring strings mostly share it, so that one stretch of text (a context
    buckets of several suffixes are sorted.  It answers, where a string starts in a smaller document, in which.
 5. Blocks mark the bytes that such strings cover.
 
-Contexts count as equal by 80 bits of independent hashes of theirs; where contexts differ, bytes are compared.
+Step 2 takes contexts for different where 32 bits differ.  Before anything is removed for an equal context, 112 bits of
+it have to agree, so that of 10 ** 13 contexts a pair is taken for equal wrongly with a chance of 1 in 10 ** 8; all
+other strings are compared byte by byte, by refinement.
 """
 
 from __future__ import annotations
@@ -30,11 +32,13 @@ from pyspark.sql import functions as F
 
 from docloom.llm.common import text_key
 
-LENGTH, GRAM = 50, 32
+LENGTH, GRAM = 50, 24
 #: A key with several contexts in so many blocks is hot: its strings are dealt one by one.
 HOT_BLOCKS = 64
 #: Bytes of contexts that are refined at once (those of one key stay together), and of text that is hashed at once.
 REFINE_BYTES, HASH_BYTES = 1_000_000, 1 << 16
+#: Bytes of text in a block.
+BLOCK_BYTES = 8_000_000
 ALONE, ONE_CONTEXT, SEVERAL, HOT = range(4)
 _U = np.uint64
 _BASE, _INVERSE = 0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 2**64)
@@ -105,6 +109,20 @@ def unpack(data: bytes) -> np.ndarray:
     return np.repeat(np.arange(first, first + n).astype(np.uint64) << _U(32), counts) | np.frombuffer(data, np.uint32, -1, 8 + 4 * n)
 
 
+def pack_ids(ids: np.ndarray) -> bytes:
+    """Ids as what they have above the least, in four bytes each where that is enough."""
+    low = int(ids.min())
+    above = (ids.view(np.uint64) - _U(low % 2**64)).astype(np.uint64)
+    kind = np.uint32 if int(above.max()) < 2**32 else np.uint64
+    return np.array([low, np.dtype(kind).itemsize], np.int64).tobytes() + above.astype(kind).tobytes()
+
+
+def unpack_ids(data: bytes) -> np.ndarray:
+    low, size = np.frombuffer(data, np.int64, 2).tolist()
+    above = np.frombuffer(data, np.uint32 if size == 4 else np.uint64, -1, 16).astype(np.uint64)
+    return (above + _U(low % 2**64)).view(np.int64)
+
+
 def refine_buckets(contexts: list[bytes], docs: np.ndarray) -> list[np.ndarray]:
     """For each context, for each of its LENGTH-byte strings, the smallest of `docs` whose context holds that string."""
     sizes = np.array([len(c) for c in contexts], np.int64)
@@ -136,7 +154,7 @@ def refine_buckets(contexts: list[bytes], docs: np.ndarray) -> list[np.ndarray]:
 
 
 def _no_runs() -> tuple[np.ndarray, ...]:
-    return tuple(np.zeros(0, t) for t in (np.uint64, np.uint32, np.int64, np.int32, np.int32))
+    return tuple(np.zeros(0, t) for t in (np.uint64, np.uint64, np.int64, np.int32, np.int32))
 
 
 class Block:
@@ -170,7 +188,8 @@ class Block:
         lead[1:] = (key[1:] != key[:-1]) | (fingerprint[1:] != fingerprint[:-1])
         self.entry = np.flatnonzero(lead)
         self.width = np.diff(np.append(self.entry, len(key)))
-        self.keys, self.fingerprints = key[self.entry], fingerprint[self.entry]
+        self.keys, fingerprint = key[self.entry], fingerprint[self.entry]
+        self.fingerprints, self.checks = (fingerprint >> _U(32)).astype(np.uint32), fingerprint.astype(np.uint32)
         self.cuts = np.searchsorted(shard_of(self.keys, shards), np.arange(shards + 1))
 
     def _runs(self, start: int, sizes: np.ndarray, doc: int) -> tuple[np.ndarray, ...]:
@@ -187,10 +206,10 @@ class Block:
         up, down = _powers(len(data) + 1)
         total = np.zeros(len(data) + 1, np.uint64)
         np.cumsum((np.frombuffer(data, np.uint8) + _U(1)) * up[: len(data)], out=total[1:])
-        fingerprint = _mix((total[high - 1 + LENGTH] - total[low]) * down[low]) >> _U(32)
+        fingerprint = _mix((total[high - 1 + LENGTH] - total[low]) * down[low])
         key = ((keys[low] ^ (keys[low] >> _U(31))) * _U(0xBF58476D1CE4E5B9)) >> _U(16)
         owner = doc + np.repeat(np.arange(len(sizes)), sizes)[low]
-        return key, fingerprint.astype(np.uint32), low + start, (high - low).astype(np.int32), owner.astype(np.int32)
+        return key, fingerprint, low + start, (high - low).astype(np.int32), owner.astype(np.int32)
 
     def by_shard(self) -> Iterable[tuple[int, int, int]]:
         """(shard, first entry, end of entries) of each shard that has entries."""
@@ -289,7 +308,7 @@ def _send_contexts(shards: int):
         for s, (x, y) in enumerate(zip(cuts, cuts[1:])):
             if y > x:
                 own = b.single[x:y]
-                out.append((s, b.number, pack(b.keys[own]), b.ids[b.doc[b.entry[own]]].tobytes(), None, None))
+                out.append((s, b.number, pack(b.keys[own]), pack_ids(b.ids[b.doc[b.entry[own]]]), None, b.checks[own].tobytes()))
         texts, keys, least, _ = b.contexts()
         for s, own in enumerate(_by_shard(keys, shards)):
             if len(own):
@@ -300,27 +319,32 @@ def _send_contexts(shards: int):
     return run
 
 
-def _answer_contexts(table: pa.Table) -> pa.Table:
-    """Kind 1: entries of one context that start in a smaller document; kind 2: where strings of a context do."""
-    rows = table.to_pylist()
-    out = []
-    single = [r for r in rows if r["sizes"] is None]
-    if single:
-        parts = [unpack(r["keys"]) for r in single]
-        _, inverse = np.unique(np.concatenate(parts), return_inverse=True)
-        docs = np.concatenate([np.frombuffer(r["docs"], np.int64) for r in single])
-        least = np.full(len(docs), np.iinfo(np.int64).max)
-        np.minimum.at(least, inverse, docs)
-        low, at = least[inverse], 0
-        for r, p in zip(single, parts):
-            hit = np.flatnonzero(low[at : at + len(p)] < docs[at : at + len(p)])
-            if len(hit):
-                out.append((r["block"], r["shard"], 1, hit.astype(np.uint32).tobytes(), low[at + hit].tobytes()))
-            at += len(p)
-    return _table(out + _answer_several([r for r in rows if r["sizes"] is not None]), _ANSWER)
-
-
-def _answer_several(rows: list[dict]) -> list[tuple]:
+def _answer_contexts(refined: bool):
+    def run(table: pa.Table) -> pa.Table:
+        """Kind 1: entries of one context that start in a smaller document; kind 2: where strings of a context do."""
+        rows = table.to_pylist()
+        out = []
+        single = [r for r in rows if r["sizes"] is None]
+        if single:
+            parts = [unpack(r["keys"]) for r in single]
+            keys, checks = np.concatenate(parts), np.concatenate([np.frombuffer(r["data"], np.uint32) for r in single])
+            docs = np.concatenate([unpack_ids(r["docs"]) for r in single])
+            order = np.lexsort((docs, checks, keys))
+            lead = np.ones(len(order), bool)
+            lead[1:] = (keys[order][1:] != keys[order][:-1]) | (checks[order][1:] != checks[order][:-1])
+            low, at = np.empty(len(docs), np.int64), 0
+            low[order] = docs[order][np.flatnonzero(lead)][np.cumsum(lead) - 1]
+            for r, p in zip(single, parts):
+                hit = np.flatnonzero(low[at : at + len(p)] < docs[at : at + len(p)])
+                if len(hit):
+                    out.append((r["block"], r["shard"], 1, hit.astype(np.uint32).tobytes(), low[at + hit].tobytes()))
+                at += len(p)
+        return _table(out + _answer_several([r for r in rows if r["sizes"] is not None], refined), _ANSWER)
+
+    return run
+
+
+def _answer_several(rows: list[dict], refined: bool) -> list[tuple]:
     asked, least, text, keys = [], [], [], []
     number: dict[bytes, int] = {}
     for r in rows:
@@ -343,7 +367,7 @@ def _answer_several(rows: list[dict]) -> list[tuple]:
     key, low = np.array(keys, np.uint64), np.array(least, np.int64)
     order = np.argsort(key, kind="stable")
     start, stop = runs(key[order])
-    many = [(a, b) for a, b in zip(start.tolist(), stop.tolist()) if b - a > 1]
+    many = [(a, b) for a, b in zip(start.tolist(), stop.tolist()) if b - a > 1 and refined]
     parts: dict[int, np.ndarray] = {}
     batch: list[int] = []
     size = 0
@@ -418,23 +442,27 @@ def _mark(shards: int):
     return run
 
 
-def remove_repeats(docs: DataFrame, blocks: int | None = None, hot_blocks: int = HOT_BLOCKS) -> DataFrame:
+def remove_repeats(docs: DataFrame, blocks: int | None = None, hot_blocks: int = HOT_BLOCKS, refined: bool = True) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept (bytes), spans (start, stop, ...): one row per input row.
 
     Removed is each byte covered by a 50-byte string that also starts in a document with a smaller doc_id; rows
     that share a doc_id are no reason to remove anything from each other.  A null doc_id is larger than all others;
     a null text is an empty one; texts under 50 bytes stay whole; an empty table gives no rows; other columns are
-    ignored.  `blocks` bounds the memory of a task: about the input's bytes divided by it, times fifteen.
+    ignored.  A block has about BLOCK_BYTES, more only if one document has: so a task's memory, some fifteen times
+    that, doesn't grow with the input.  `blocks` sets their number instead.  Without `refined`, strings that contexts of
+    one key have in common are missed unless the contexts are equal: it shows what refinement decides.
     """
     spark = docs.sparkSession
-    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    blocks, shards = blocks or 2 * tasks, tasks
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     last = 2**63 - 1
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    held = 0 if blocks else docs.agg(F.coalesce(F.sum(F.octet_length(text).cast("long")), F.lit(0))).first()[0]
+    blocks = blocks or max(2 * tasks, -(-held // BLOCK_BYTES))
+    tasks = shards = max(tasks, -(-blocks // 2))
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(last)).alias("doc_id"), F.encode(text, "UTF-8").alias("data"), F.pmod(F.xxhash64("doc_id", text_key(text)), F.lit(blocks)).alias("block"))
     rows = rows.repartition(tasks, "block")
-    answers = rows.groupBy("block").applyInArrow(_send_keys(shards), KEYS).groupBy("shard").applyInArrow(_answer_keys(hot_blocks), ANSWER)
+    answers = rows.groupBy("block").applyInArrow(_send_keys(shards), KEYS).repartition(tasks, "shard").groupBy("shard").applyInArrow(_answer_keys(hot_blocks), ANSWER)
     asked = rows.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_send_contexts(shards), ASK)
-    told = asked.groupBy("shard").applyInArrow(_answer_contexts, ANSWER)
+    told = asked.repartition(tasks, "shard").groupBy("shard").applyInArrow(_answer_contexts(refined), ANSWER)
     marked = rows.groupBy("block").cogroup(answers.union(told).groupBy("block")).applyInArrow(_mark(shards), RESULT)
     return marked.withColumn("doc_id", F.nullif("doc_id", F.lit(last)))

@@ -57,6 +57,21 @@ def test_repeats_match_brute_force(spark, hot):
     assert Counter((2**63 - 1 if r["doc_id"] is None else r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], hashlib.sha256(r["kept"]).hexdigest()) for r in got) == brute_repeats(docs)
 
 
+def test_refinement_decides_on_the_tables(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = lambda **p: {(r["doc_id"], r["n_removed"], r["n_spans"]) for r in suffix_dedup.remove_repeats(docs, **p).collect()}
+    whole, without = rows(), rows(refined=False)
+    assert sum(x[1] for x in whole) > sum(x[1] for x in without) + 10_000
+    shown = docs.select("doc_id", "text").collect()
+    assert Counter({x: 1 for x in whole}) == Counter((d, removed, spans) for d, _, removed, spans, _ in brute_repeats([tuple(r) for r in shown]))
+
+
+def test_packed_ids_return():
+    for ids in ([5], [2**63 - 1, 0, -7], list(range(10)), [-(2**63), 2**63 - 1], [2**63 - 1, 2**63 - 3]):
+        x = np.array(ids, np.int64)
+        assert (suffix_dedup.unpack_ids(suffix_dedup.pack_ids(x)) == x).all()
+
+
 def test_repeats_of_an_empty_table(spark):
     assert suffix_dedup.remove_repeats(spark.createDataFrame([], SCHEMA)).count() == 0
 
