@@ -6,12 +6,13 @@ level that w cuts, the points above w are thinned out.  A point belongs to a ran
 value is its first point.  Two documents agree in a register with probability sum(min) / sum(max) of their
 counts.  Points are made in order of time and only while they can still be first in some register.
 
-Documents whose bands agree are candidates.  Texts with equal multisets are one node beforehand.  In a bucket of
-at most SMALL_BUCKET nodes all pairs are compared.  In a larger one each node is compared with the bucket's leader.
-Where nodes outside the leader's class are left, those are compared with all nodes of the buckets that have this
-leader, in blocks which give a spanning forest of the links they find.  So every pair with a common band is compared
-on the exact multisets or is in one class by other links; classes are the connected components.  A pair of similarity
-0.8 has no common band with a chance of 3 in 100,000.
+Documents are linked if a band of theirs agrees and the exact multisets have the similarity; classes are the connected
+components of all such links.  Texts with equal multisets are one node beforehand.  In a bucket of at most SMALL_BUCKET
+nodes all pairs are compared.  In a larger one each node is compared with the bucket's leader.  Where nodes outside the
+leader's class are left, those are compared with all nodes of the buckets that have this leader, in blocks which give a
+spanning forest of the links they find.  So every pair with a common band is compared or is in one class by other links:
+the classes don't depend on SMALL_BUCKET, which only says what is cheaper.  A pair of similarity 0.8 has no common band
+with a chance of 3 in 100,000.
 """
 
 from __future__ import annotations
@@ -24,13 +25,16 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.common import batches, checkpointed, records, small, text_key
+from docloom.llm.common import batches, checkpointed, counted_join, packed, records, small, text_key, unpacked
 
 WORDS = 5
 BANDS, ROWS = 26, 5
 SMALL_BUCKET = 8
+_NODE = "struct<doc_id:bigint,key:bigint>"
 #: Up to so many (two nodes of 16 bytes) are broadcast to the texts.
 FEW_PAIRS = 50_000
+#: With more links than this, a node of very many of them is looked for.
+HUBS = 1_000_000
 #: Nodes on either side of a block.
 BLOCK = 512
 _U = np.uint64
@@ -156,7 +160,6 @@ def sketches(docs: DataFrame) -> DataFrame:
 
 
 _SIM = pa.schema([("d", pa.struct([("doc_id", pa.int64()), ("key", pa.int64())])), ("e", pa.struct([("doc_id", pa.int64()), ("key", pa.int64())])), ("similarity", pa.float64())])
-_NODE = "struct<doc_id:bigint,key:bigint>"
 
 
 def _compare(arrow: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -172,7 +175,11 @@ def _compare(arrow: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def similarities(pairs: DataFrame, texts: DataFrame, spread: int = 256) -> DataFrame:
-    """(d, e, similarity) of (d, e) pairs: e's text travels once for each `spread` of its partners."""
+    """(d, e, similarity) of (d, e) pairs: e's text travels once for each `spread` of its partners.
+
+    A pair that repeats gives as many rows; one without words on a side has similarity 0; a node that `texts` lacks, or a
+    null one, gives no row; no pairs give no rows.
+    """
     few = pairs.limit(FEW_PAIRS + 1).count() <= FEW_PAIRS  # a few pairs go to the texts, not the texts to them
     hint = F.broadcast if few else (lambda x: x)
     pairs = hint(pairs.select("d", "e"))
@@ -188,7 +195,8 @@ def components(links: DataFrame) -> DataFrame:
     """(node, root) of each node in `links` (d, e): the smallest node of its connected component.
 
     Alternating large-star and small-star rounds, each a grouped minimum and a join, until nothing changes; every
-    round is checkpointed.
+    round is checkpointed.  A link that repeats counts once, one of a node to itself for nothing; nulls don't occur;
+    without links there are no rows.  A node of very many links meets them in several tasks.
     """
     edges = checkpointed(links.select(F.greatest("d", "e").alias("u"), F.least("d", "e").alias("v")).where("u != v").distinct())
     before = None
@@ -198,8 +206,9 @@ def components(links: DataFrame) -> DataFrame:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
         before = state
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.min("u")).alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        low = both.groupBy("u").agg(F.least(F.min("v"), F.min("u")).alias("m"), F.count(F.lit(1)).alias("n"))
+        met = counted_join(both, low, "u", F.col("v")) if state[0] > HUBS else both.join(low, "u")
+        large = met.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v")))
         edges = checkpointed(small.where("u != v").distinct())
@@ -211,10 +220,13 @@ def buckets(rows: DataFrame) -> DataFrame:
     The leader is the node with the most company over all its buckets: of a family of copies, one near their origin.
     """
     shared = rows.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    rows = checkpointed(rows.join(shared, "h"))
+    rows = checkpointed(counted_join(rows, checkpointed(shared), "h", F.col("d")).select("d", "h", "n"))
     company = rows.groupBy("d").agg(F.sum("n").alias("company"))
-    leader = rows.where(f"n > {SMALL_BUCKET}").join(company, "d").groupBy("h").agg(F.min(F.struct(-F.col("company"), F.col("d").alias("d"))).alias("x")).select("h", F.col("x.d").alias("e"))
-    return checkpointed(rows.join(leader, "h", "left").select("d", "h", "n", "e"))
+    large = rows.where(f"n > {SMALL_BUCKET}")
+    leader = large.join(company, "d").groupBy("h").agg(F.min(F.struct(-F.col("company"), F.col("d").alias("d"))).alias("x"), F.max("n").alias("held"))
+    led = counted_join(large, checkpointed(leader.select("h", "held", F.col("x.d").alias("e"))), "h", F.col("d"), "held")
+    few = rows.where(f"n <= {SMALL_BUCKET}").select("d", "h", "n", F.lit(None).cast(_NODE).alias("e"))
+    return checkpointed(few.union(led.select("d", "h", "n", "e")))
 
 
 _PAIR = pa.struct([("doc_id", pa.int64()), ("key", pa.int64())])
@@ -227,6 +239,7 @@ def _forest(threshold: float):
         d, asks = table.column("d").to_pylist(), table.column("asks").to_numpy()
         root = table.column("root").to_pylist()
         sets = [_occurrences(*shingles(t)) for t in table.column("text").to_pylist()]
+        bands = np.array(table.column("bands").to_pylist(), np.int64).reshape(len(d), -1)
         other = np.flatnonzero(asks == 0).tolist()
         sizes = np.array([len(sets[k]) for k in other], np.int64)
         items, place = np.unique(np.concatenate([sets[k] for k in other] or [np.zeros(0, np.uint64)]), return_inverse=True)
@@ -239,12 +252,14 @@ def _forest(threshold: float):
             return r
 
         left, right = [], []
+        theirs = bands[other]
         for k in np.flatnonzero(asks == 1).tolist() if other else ():
             own = np.zeros(len(items), bool)
             at = np.minimum(np.searchsorted(items, sets[k]), len(items) - 1)
             own[at[items[at] == sets[k]]] = True
             shared = np.add.reduceat(own[place], starts, dtype=np.int64)
-            for j in np.flatnonzero(shared / (sizes + len(sets[k]) - shared) >= threshold).tolist():
+            near = np.flatnonzero(shared / (sizes + len(sets[k]) - shared) >= threshold)
+            for j in near[(theirs[near] == bands[k]).any(1)].tolist():
                 a, b = find(root[k]), find(root[other[j]])
                 if a != b:
                     up[a] = b
@@ -279,7 +294,7 @@ def links_between_classes(large: DataFrame, roots: DataFrame, texts: DataFrame,
     own, every = lambda n: F.pmod("hash", F.col(n).cast("long")).cast("int"), lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     asks = rows.where("asks").select("e", "d", "root", own("asking").alias("i"), every("held").alias("j"), F.lit(1).alias("asks"))
     met = rows.select("e", "d", "root", every("asking").alias("i"), own("held").alias("j"), F.lit(0).alias("asks"))
-    rows = asks.union(met).join(texts, "d").select("e", "i", "j", "asks", "d", "root", "text")
+    rows = asks.union(met).join(texts, "d").select("e", "i", "j", "asks", "d", "root", "text", "bands")
     return rows.groupBy("e", "i", "j").applyInArrow(_forest(threshold), f"d {_NODE}, e {_NODE}").distinct()
 
 
@@ -297,7 +312,7 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     heads = nodes.groupBy("bag").agg(F.min(F.struct("d", "bands")).alias("x")).select("bag", "x.d", "x.bands")
     held = buckets(heads.select("d", F.explode("bands").alias("h")))
     texts = rows.select(F.struct("doc_id", "key").alias("d"), "text")
-    texts = checkpointed(texts.join(held.select("d").distinct(), "d").dropDuplicates(["d"]))
+    texts = checkpointed(texts.join(heads.select("d", "bands").join(held.select("d").distinct(), "d"), "d").dropDuplicates(["d"]))
     few, large = held.where(f"n <= {SMALL_BUCKET}").select("h", "d"), held.where(f"n > {SMALL_BUCKET}")
     pairs = few.join(few.withColumnRenamed("d", "e"), "h").where("e < d").select("d", "e")
     pairs = checkpointed(pairs.union(large.where("d != e").select("d", "e")).distinct())
@@ -314,9 +329,9 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
 
 
 def drop_near_duplicates(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
-    """One row of each class, the one with the smallest doc_id, unchanged; texts without words all stay, once each."""
+    """One row of each class, the one with the smallest doc_id, unchanged whatever its columns' names; texts without words all stay, once each."""
+    last = F.lit(2**63 - 1)
     first = near_duplicates(docs.select("doc_id", "text"), threshold).where(F.col("doc_id").eqNullSafe(F.col("class_id")) & (F.col("key") == F.col("class_key")))
-    first = first.select(F.coalesce("doc_id", F.lit(2**63 - 1)).alias("_id"), F.col("key").alias("_key"))
-    rows = docs.withColumns({"_own": F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1)), "_hash": text_key(F.col("text").cast("string"))})
-    rows = rows.join(first, (F.col("_own") == F.col("_id")) & (F.col("_hash") == F.col("_key")), "left_semi")
-    return rows.dropDuplicates(["_own", "_hash"]).select(*docs.columns)
+    first = first.select(F.coalesce("doc_id", last).alias("own"), F.col("key").alias("hash"))
+    rows = packed(docs, own=F.coalesce(F.col("doc_id").cast("long"), last), hash=text_key(F.col("text").cast("string")))
+    return unpacked(rows.join(first, ["own", "hash"], "left_semi").dropDuplicates(["own", "hash"]), docs)

@@ -7,7 +7,9 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from docloom.llm import line_dedup, near_dup, suffix_dedup
+from pyspark.sql import functions as F
+
+from docloom.llm import common, line_dedup, near_dup, suffix_dedup
 
 SCHEMA = "doc_id long, text string, source string"
 
@@ -169,12 +171,65 @@ def test_classes_of_wandering_families_are_whole(spark, monkeypatch):
     assert {r["doc_id"]: r["class_id"] for r in got} == dict(enumerate(root))
 
 
+@pytest.mark.parametrize("bucket", [1, 3, 10_000])
+def test_classes_dont_depend_on_the_bucket_size(spark, monkeypatch, bucket):
+    """Links need a common band, however pairs meet: with few bands many similar pairs have none."""
+    rnd = random.Random(13)
+    docs, d = [], 0
+    for _ in range(12):
+        base = words(rnd, 60)
+        for _ in range(12):
+            own = list(base)
+            for _ in range(rnd.choice([1, 3, 4])):
+                own[rnd.randrange(60)] = "new" + str(rnd.random())
+            docs.append((d, " ".join(own)))
+            d += 1
+    bags = [near_dup.shingles(t) for _, t in docs]
+    bands = [near_dup.bag_min_hash(*b).reshape(near_dup.BANDS, near_dup.ROWS) for b in bags]
+    root = list(range(d))
+    for i in range(d):
+        for j in range(i):
+            if root[i] != root[j] and near_dup.weighted_jaccard(bags[i], bags[j]) >= 0.6 and (bands[i] == bands[j]).all(1).any():
+                low, high = sorted((root[i], root[j]))
+                root = [low if r == high else r for r in root]
+    monkeypatch.setattr(near_dup, "SMALL_BUCKET", bucket)
+    got = near_dup.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string"), threshold=0.6).collect()
+    assert {r["doc_id"]: r["class_id"] for r in got} == dict(enumerate(root))
+
+
+def test_recall_of_similar_pairs_on_the_tables(spark):
+    """All pairs of similarity 0.8 at sf0.01 are in one class."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    shown = docs.selectExpr("doc_id", "coalesce(text, '') as text").collect()
+    bags = {r["doc_id"]: near_dup.shingles(r["text"]) for r in shown}
+    by: dict = {}
+    for d, (items, _) in bags.items():
+        for x in items.tolist():
+            by.setdefault(x, []).append(d)
+    pairs = {(a, b) for held in by.values() for k, a in enumerate(held) for b in held[:k]}
+    near = [(a, b) for a, b in pairs if near_dup.weighted_jaccard(bags[a], bags[b]) >= 0.8]
+    of = {r["doc_id"]: r["class_id"] for r in near_dup.near_duplicates(docs).collect()}
+    assert len(near) > 50 and all(of[a] == of[b] for a, b in near)
+
+
+def test_hot_keys_meet_in_several_tasks(spark):
+    rows = spark.createDataFrame([(k, 1 if k < 900 else k) for k in range(1000)], "d long, h long")
+    found = rows.groupBy("h").count().withColumnRenamed("count", "n")
+    for most in (100_000, 0):
+        joined = common.lookup(rows, found, ["h"], F.col("d"), most=most)
+        assert sorted(map(tuple, joined.select("d", "n").collect())) == [(k, 900 if k < 900 else 1) for k in range(1000)]
+    assert sorted(map(tuple, common.counted_join(rows, found, "h", F.col("d"), hot=100).select("d", "n").collect())) == [(k, 900 if k < 900 else 1) for k in range(1000)]
+
+
 def test_dropping_keeps_one_of_each_class_and_other_columns(spark):
     rnd = random.Random(3)
     base = words(rnd, 60)
     near = base[:30] + ["other"] + base[31:]
     docs = [(1, " ".join(base), "a"), (2, " ".join(near), "b"), (3, " ".join(words(rnd, 60)), "c"), (3, None, "d"), (4, " ".join(base), "e"), (1, " ".join(base), "a")]
-    got = near_dup.drop_near_duplicates(spark.createDataFrame(docs, "doc_id long, text string, e string").withColumnRenamed("e", "h"))
+    df = spark.createDataFrame(docs, "doc_id long, text string, e string").withColumnRenamed("e", "h")
+    clash = df.selectExpr("*", *[f"1 as `{x}`" for x in ("own", "hash", "row", "key", "_id", "_key", "_own", "_hash", "a.b")])
+    assert near_dup.drop_near_duplicates(clash).columns == clash.columns and near_dup.drop_near_duplicates(clash).count() == 3
+    got = near_dup.drop_near_duplicates(df)
     assert sorted((r["doc_id"], r["h"]) for r in got.collect()) == [(1, "a"), (3, "c"), (3, "d")]
 
 
