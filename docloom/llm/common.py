@@ -65,9 +65,10 @@ def counted_join(rows: DataFrame, found: DataFrame, key: str, salt: Column, coun
     return lookup(rows, often, [key], salt).unionByName(cold.join(found.where(F.col(count) <= hot), key))
 
 
-def packed(docs: DataFrame, **own: Column) -> DataFrame:
-    """The columns of `own`, and in `row` all columns of `docs`: whatever their names, they clash with none."""
-    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *[c.alias(name) for name, c in own.items()])
+def packed(docs: DataFrame, without: tuple[str, ...] = (), **own: Column) -> DataFrame:
+    """The columns of `own`, and in `row` the columns of `docs` but for `without`: whatever their names, they clash with none."""
+    row = F.struct(F.lit(0).alias(""), *[F.col(f"`{c}`") for c in docs.columns if c not in without])
+    return docs.select(row.alias("row"), *[c.alias(name) for name, c in own.items()])
 
 
 def unpacked(df: DataFrame, docs: DataFrame, **new: Column) -> DataFrame:

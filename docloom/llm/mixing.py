@@ -13,7 +13,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from docloom.llm.common import checkpointed, small
+from docloom.llm.common import checkpointed, lookup, packed, small, unpacked
 
 #: Blocks of each source: a hot source's rows are spread over so many keys.
 BLOCKS = 4096
@@ -82,85 +82,95 @@ def _hypergeometric(rng: np.random.Generator, good: int, bad: int, draws: int) -
     return int(np.clip(round(rng.normal(mean, spread)), max(0, draws - bad), min(good, draws)))
 
 
-def dealt(docs: DataFrame, source: str, seed: int) -> DataFrame:
-    """`docs` with `_source` and `_block`."""
+def dealt(docs: DataFrame, source: str, seed: int, **own: Column) -> DataFrame:
+    """All columns of `docs` but the text in `row`, with `text`, `source`, `block`, `doc_id` and `own`."""
     block = F.conv(F.substring(shuffled("doc_id", seed=seed), 1, 3), 16, 10).cast("int")
-    return docs.withColumns({"_source": F.coalesce(F.concat(F.lit("0"), F.col(source).cast("string")), F.lit("1")), "_block": block})
+    return packed(docs, ("text",), text=F.col("text"), doc_id=F.col("doc_id"), source=F.coalesce(F.concat(F.lit("0"), F.col(source).cast("string")), F.lit("1")), block=block, **own)
 
 
 def block_plan(rows: DataFrame, weights: tuple[float, ...], ratio: float, seed: int) -> DataFrame:
-    """(_s, _b, _bsize, _source_size, _target, _epochs, _left) of each block: `_left` words go to it and those after it."""
-    blocks = rows.groupBy("_source", "_block").agg(F.sum("_size").alias("_bsize"))
-    sizes = targets(blocks.groupBy(F.col("_source").alias("source")).agg(F.sum("_bsize").alias("source_size")), weights, ratio)
-    blocks = blocks.join(sizes, F.col("_source") == F.col("source")).drop("source")
+    """(source, block, bsize, source_size, target, epochs, left) of each block: `left` words go to it and those after it."""
+    blocks = rows.groupBy("source", "block").agg(F.sum("size").alias("bsize"))
+    sizes = targets(blocks.groupBy("source").agg(F.sum("bsize").alias("source_size")), weights, ratio)
+    blocks = blocks.join(sizes, "source")
     full = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
-    blocks = blocks.withColumn("_epochs", full).withColumn("_rest", F.round(F.col("target")).cast("long") - F.col("_epochs") * F.col("source_size"))
-    order = Window.partitionBy("_source").orderBy(shuffled("_block", seed=seed + 1), "_block").rowsBetween(Window.unboundedPreceding, -1)
-    blocks = blocks.withColumn("_left", F.col("_rest") - F.coalesce(F.sum("_bsize").over(order), F.lit(0)))
-    return blocks.select(F.col("_source").alias("_s"), F.col("_block").alias("_b"), "_bsize", F.col("source_size").alias("_source_size"), F.col("target").alias("_target"), "_epochs", "_left")
+    blocks = blocks.withColumn("epochs", full).withColumn("rest", F.round(F.col("target")).cast("long") - F.col("epochs") * F.col("source_size"))
+    order = Window.partitionBy("source").orderBy(shuffled("block", seed=seed + 1), "block").rowsBetween(Window.unboundedPreceding, -1)
+    return blocks.withColumn("left", F.col("rest") - F.coalesce(F.sum("bsize").over(order), F.lit(0))).drop("rest")
 
 
 def with_taken(rows: DataFrame, seed: int) -> DataFrame:
-    """`rows` with `_taken`: full epochs, and of the partial one what is left when a document's turn in its block comes."""
-    inside = Window.partitionBy("_source", "_block").orderBy(shuffled("doc_id", seed=seed + 2), "doc_id", "_size").rowsBetween(Window.unboundedPreceding, -1)
-    before = F.coalesce(F.sum("_size").over(inside), F.lit(0))
-    part = F.greatest(F.lit(0), F.least(F.col("_size"), F.col("_left") - F.col("_before")))
-    return rows.withColumn("_before", before).withColumn("_taken", (F.col("_epochs") * F.col("_size") + part).cast("long")).drop("_before")
+    """`rows` (source, block, doc_id, size, epochs, left) with `taken`: full epochs, and of the partial one what is left when a document's turn in its block comes.
+
+    Turns are in order of a hash.  A block is dealt into parts by the hash's first digits, whose words are summed first,
+    so that no window has more than one part of a block: 1 / 4096 of it.
+    """
+    turn = shuffled("doc_id", seed=seed + 2)
+    rows = rows.withColumn("turn", turn).withColumn("part", F.substring("turn", 1, 3))
+    sums = rows.groupBy("source", "block", "part").agg(F.sum("size").alias("psize"))
+    earlier = Window.partitionBy("source", "block").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select("source", "block", "part", F.coalesce(F.sum("psize").over(earlier), F.lit(0)).alias("parts_before"))
+    inside = Window.partitionBy("source", "block", "part").orderBy("turn", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    before = F.col("parts_before") + F.coalesce(F.sum("size").over(inside), F.lit(0))
+    rows = rows.join(sums, ["source", "block", "part"]).withColumn("before", before)
+    part = F.greatest(F.lit(0), F.least(F.col("size"), F.col("left") - F.col("before")))
+    return rows.withColumn("taken", (F.col("epochs") * F.col("size") + part).cast("long")).drop("before", "parts_before", "turn", "part")
 
 
 def plan_mix(docs: DataFrame, size: Column, source: str = "source", weights: tuple[float, ...] = WEIGHTS, ratio: float = 1.5, seed: int = 11) -> DataFrame:
-    """The rows of `docs` with `_size`, `_source`, `_block`, `_source_size`, `_target` and `_taken`.
+    """The rows of `docs` with `_size`, `_source_size`, `_target` and `_taken`.
 
     `_taken` is how many words the mix takes of the document, repeats counted: full epochs of its size, and what
     the partial epoch takes of it.  Null sources are a source of their own; documents without words take none;
-    rows alike in doc_id and size are told apart by nothing and may stand in either order.
+    rows alike in doc_id and size are told apart by nothing and may stand in either order.  An empty table gives no
+    rows.  Columns of `docs` may have any name; those named like a result are replaced.
     """
-    rows = dealt(docs.withColumn("_size", size), source, seed)
-    blocks = block_plan(rows, weights, ratio, seed)
-    rows = rows.join(blocks, (F.col("_source") == F.col("_s")) & (F.col("_block") == F.col("_b")))
-    return with_taken(rows, seed).drop("_s", "_b", "_bsize", "_left", "_epochs")
+    rows = dealt(docs, source, seed, size=size)
+    rows = with_taken(rows.join(block_plan(rows, weights, ratio, seed), ["source", "block"]), seed)
+    return unpacked(rows, docs, text=F.col("text"), _size=F.col("size"), _source_size=F.col("source_size"), _target=F.col("target"), _taken=F.col("taken"))
 
 
 def shard_quotas(drawn: DataFrame, shards: int, seed: int) -> DataFrame:
-    """(_qs, _shard, _from, _to): each shard's run of every source's drawn blocks, from the splitting tree.
+    """(source, shard, first, stop): each shard's run of every source's drawn blocks, from the splitting tree.
 
     `drawn` has each (source, epoch, block) of which the plan takes words.  The driver sees one count for each
     source; the table has one row for each source and shard.
     """
     spark = drawn.sparkSession
-    counts = {r["_source"]: r["n"] for r in drawn.groupBy("_source").agg(F.count(F.lit(1)).alias("n")).collect()}
+    counts = {r["source"]: r["n"] for r in drawn.groupBy("source").agg(F.count(F.lit(1)).alias("n")).collect()}
     sources = sorted(counts)
     table = np.cumsum(splitting_tree(np.array([counts[s] for s in sources], np.int64), shards, seed), axis=0)
     rows = [(s, k, int(table[k - 1, j]) if k else 0, int(table[k, j])) for j, s in enumerate(sources) for k in range(shards)]
-    return spark.createDataFrame(rows, "_qs string, _shard int, _from long, _to long")
+    return spark.createDataFrame(rows, "source string, shard int, first long, stop long")
 
 
 def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, ratio: float = 1.5, shards: int = 16, seed: int = 11) -> DataFrame:
     """The mixed corpus: the rows of `docs`, as often as drawn, with `_shard`, `_epoch` and `_take` (words).
 
-    A document of which the mix takes only the first words has its text cut after them.  Within a shard rows are in
-    a permuted order of blocks, permuted again inside each block.  Texts are dealt out once, to their shards: all
-    of a block is taken or none, but for the one block of each source in which its words run out.
+    A document of which the mix takes only the first words has its text cut after them, white space and lines as they
+    were.  Within a shard rows are in a permuted order of blocks, permuted again inside each block.  Texts are dealt out
+    once, to their shards: all of a block is taken or none, but for the one block of each source in which its words run
+    out.  Null texts have no words and are never drawn; null sources are a source of their own; rows that repeat are
+    drawn each; an empty table gives no rows.  Columns of `docs` may have any name; those named like a result are replaced.
     """
     rows, size = dealt(docs, "source", seed), n_words(F.col("text"))
-    blocks = checkpointed(block_plan(rows.select("_source", "_block", size.alias("_size")), weights, ratio, seed)).where("_bsize > 0")
-    runs_out = "_left > 0 and _left < _bsize"
-    epochs = F.col("_epochs") + F.when(F.col("_left") > 0, 1).otherwise(0)
-    drawn = checkpointed(blocks.where(epochs > 0).select(F.col("_s").alias("_source"), F.explode(F.sequence(F.lit(0).cast("long"), epochs.cast("long") - 1)).alias("_epoch"), F.col("_b").alias("_block"), F.expr(f"if({runs_out}, _left, null)").alias("_left"), "_epochs"))
-    quotas = shard_quotas(drawn, shards, seed)
-    rank = Window.partitionBy("_source").orderBy(shuffled("_epoch", "_block", seed=seed + 3), "_epoch", "_block")
-    places = drawn.withColumn("_rank", F.row_number().over(rank) - 1)
-    places = places.join(quotas, (F.col("_source") == F.col("_qs")) & (F.col("_rank") >= F.col("_from")) & (F.col("_rank") < F.col("_to")))
-    places = checkpointed(places.select(F.col("_source").alias("_s"), F.col("_block").alias("_b"), "_epoch", "_shard", "_rank", (F.col("_epoch") == F.col("_epochs")).alias("_last"), "_left"))
-    there = (F.col("_source") == F.col("_s")) & (F.col("_block") == F.col("_b"))
-    out = [*docs.columns, "_shard", "_epoch", "_take", "_rank", "_block"]
-    whole = rows.where(F.col("text").rlike(r"[^\x20\x09-\x0D]")).join(small(places.where("_left is null or not _last"), WIDE), there)
-    whole = whole.withColumn("_take", size).select(*out)
-    part = rows.join(small(places.where("_left is not null and _last").withColumn("_epochs", F.lit(0))), there).withColumn("_size", size)
-    part = with_taken(part, seed).where("_taken > 0").withColumn("_take", F.col("_taken"))
-    part = part.withColumn("text", F.when(F.col("_take") < F.col("_size"), first_words(F.col("text"), F.col("_take"))).otherwise(F.col("text"))).select(*out)
-    local = [F.col("_shard"), shuffled("_rank", "_shard", seed=seed + 4), shuffled("doc_id", "_epoch", seed=seed + 5)]
-    return whole.union(part).repartition("_shard", "_block").sortWithinPartitions(*local).select(*docs.columns, "_shard", "_epoch", "_take")
+    blocks = checkpointed(block_plan(rows.select("source", "block", size.alias("size")), weights, ratio, seed)).where("bsize > 0")
+    epochs = F.col("epochs") + F.when(F.col("left") > 0, 1).otherwise(0)
+    drawn = checkpointed(blocks.where(epochs > 0).select("source", F.explode(F.sequence(F.lit(0).cast("long"), epochs.cast("long") - 1)).alias("epoch"), "block", F.expr("if(left > 0 and left < bsize, left, null)").alias("left"), "epochs"))
+    quotas = shard_quotas(drawn, shards, seed).withColumnRenamed("source", "of")
+    rank = Window.partitionBy("source").orderBy(shuffled("epoch", "block", seed=seed + 3), "epoch", "block")
+    places = drawn.withColumn("rank", F.row_number().over(rank) - 1)
+    places = places.join(quotas, (F.col("source") == F.col("of")) & (F.col("rank") >= F.col("first")) & (F.col("rank") < F.col("stop")))
+    places = checkpointed(places.select("source", "block", "epoch", "shard", "rank", (F.col("epoch") == F.col("epochs")).alias("last"), "left"))
+    out = ["row", "doc_id", "text", "shard", "epoch", "take", "rank", "block"]
+    whole = rows.where(F.col("text").rlike(r"[^\x20\x09-\x0D]")).join(small(places.where("left is null or not last"), WIDE), ["source", "block"])
+    whole = whole.withColumn("take", size).select(*out)
+    part = rows.join(small(places.where("left is not null and last").withColumn("epochs", F.lit(0))), ["source", "block"]).withColumn("size", size)
+    part = with_taken(part, seed).where("taken > 0").withColumn("take", F.col("taken"))
+    part = part.withColumn("text", F.when(F.col("take") < F.col("size"), first_words(F.col("text"), F.col("take"))).otherwise(F.col("text"))).select(*out)
+    local = [F.col("shard"), shuffled("rank", "shard", seed=seed + 4), shuffled("doc_id", "epoch", seed=seed + 5)]
+    mixed = whole.union(part).repartition("shard", "block").sortWithinPartitions(*local)
+    return unpacked(mixed, docs, text=F.col("text"), _shard=F.col("shard"), _epoch=F.col("epoch"), _take=F.col("take"))
 
 
 def mixed_sizes(docs: DataFrame, **options) -> DataFrame:
@@ -169,23 +179,22 @@ def mixed_sizes(docs: DataFrame, **options) -> DataFrame:
     `taken` counts the words of the texts that `mix` deals to its shards.  Rows alike in doc_id, source and size are
     told apart by nothing: what they take together is dealt to one after the other, epoch by epoch.
     """
-    docs = docs.select("doc_id", "source", "text", n_words(F.col("text")).alias("size"))
-    of = F.coalesce(F.concat(F.lit("0"), F.col("source").cast("string")), F.lit("1")).alias("_s")
+    docs = docs.select("doc_id", F.coalesce(F.concat(F.lit("0"), F.col("source").cast("string")), F.lit("1")).alias("of"), "source", "text", n_words(F.col("text")).alias("size"))
     # A list, as its order counts for the optimizer: with a sum it would leave out the shuffle inside the shards.
-    drawn = mix(docs, **options).groupBy(F.col("doc_id").alias("_id"), of, F.col("size").alias("_z")).agg(F.collect_list(n_words(F.col("text"))).alias("_drawn"))
-    drawn = drawn.select("_id", F.col("_s").alias("_ds"), "_z", F.aggregate("_drawn", F.lit(0).cast("long"), lambda n, x: n + x).alias("_words"))
-    rows = docs.groupBy("doc_id", of, "size").agg(F.count(F.lit(1)).alias("_copies"))
+    drawn = mix(docs, **options).groupBy(F.col("doc_id").alias("id"), "of", "size").agg(F.collect_list(n_words(F.col("text"))).alias("drawn"))
+    drawn = drawn.select("id", "of", "size", F.aggregate("drawn", F.lit(0).cast("long"), lambda n, x: n + x).alias("words"))
+    rows = docs.groupBy("doc_id", "of", "size").agg(F.count(F.lit(1)).alias("copies"))
     own = {k: options[k] for k in ("weights", "ratio") if k in options}
-    sizes = targets(docs.groupBy(of.alias("source")).agg(F.sum("size").alias("source_size")), **own)
-    rows = rows.join(F.broadcast(sizes), F.col("_s") == F.col("source"))
-    rows = rows.join(drawn, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_s") == F.col("_ds")) & (F.col("size") == F.col("_z")), "left")
-    rows = rows.withColumn("_words", F.coalesce("_words", F.lit(0).cast("long"))).withColumn("_k", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_copies") - 1)))
-    once = "greatest(_copies * size, 1)"  # words of one epoch
-    taken = F.expr(f"(_words div {once}) * size + greatest(0, least(size, _words % {once} - _k * size))")
+    sizes = targets(docs.groupBy(F.col("of").alias("source")).agg(F.sum("size").alias("source_size")), **own).withColumnRenamed("source", "of")
+    rows = lookup(rows, checkpointed(sizes), ["of"], F.col("doc_id")).withColumnRenamed("of", "s").withColumnRenamed("size", "z")
+    rows = rows.join(drawn, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("s") == F.col("of")) & (F.col("z") == F.col("size")), "left").drop("size", "of")
+    rows = rows.withColumnRenamed("z", "size").withColumn("words", F.coalesce("words", F.lit(0).cast("long"))).withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)))
+    once = "greatest(copies * size, 1)"  # words of one epoch
+    taken = F.expr(f"(words div {once}) * size + greatest(0, least(size, words % {once} - k * size))")
     return rows.select("doc_id", "size", "source_size", "target", taken.cast("long").alias("taken"))
 
 
 def first_words(text: Column, n: Column) -> Column:
-    """The first `n` words of a text, single spaces between."""
-    words = F.array_remove(F.split(text, r"[\x20\x09-\x0D]+"), "")
-    return F.array_join(F.slice(words, F.lit(1), F.greatest(n, F.lit(1)).cast("int")), " ")
+    """A text as far as the end of its n-th word."""
+    pieces = F.split(text, r"(?<=[^\x20\x09-\x0D])(?=[\x20\x09-\x0D])")  # each but the last ends with a word
+    return F.array_join(F.slice(pieces, F.lit(1), F.greatest(n, F.lit(1)).cast("int")), "")

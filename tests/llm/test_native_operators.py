@@ -79,6 +79,34 @@ def test_mixed_rows_are_the_plan(spark):
     assert mixing.mix(df.limit(0), shards=4).count() == mixing.mix(df.where("text is null"), shards=4).count() == 0
 
 
+def test_cut_texts_keep_their_lines_and_columns_any_name(spark):
+    names = ["row", "size", "s", "of", "block", "left", "rank", "shard", "turn", "before", "_source", "_block", "_size", "_s", "_left", "_take", "a.b", "epoch"]
+    text = " one\n\ntwo\tthree\x0b four  "
+    rows = [(k, text, f"s{k % 2}", *range(len(names))) for k in range(61)]
+    df = spark.createDataFrame(rows, SCHEMA + ", " + ", ".join(f"`{n}` int" for n in names))
+    got = mixing.mix(df, shards=3).collect()
+    cut = [r for r in got if r["_take"] < 4]
+    assert cut and all(r["text"] == {1: " one", 2: " one\n\ntwo", 3: " one\n\ntwo\tthree"}[r["_take"]] for r in cut)
+    assert all(r[n] == k for r in got for k, n in enumerate(names) if n != "_take") and all(r["text"] == text for r in got if r["_take"] == 4)
+    assert mixing.plan_mix(df, mixing.n_words(F.col("text"))).count() == 61
+
+
+def test_quotas_of_the_tree_decide_the_shards(spark, monkeypatch):
+    """With other quotas other documents are in the shards: the registered query draws by the tree."""
+    df = spark.createDataFrame(corpus(3, 200), SCHEMA)
+    shards = lambda: Counter((r["doc_id"], r["_shard"]) for r in mixing.mix(df, shards=4).collect())
+    usual = shards()
+    calls = []
+    tree = mixing.splitting_tree
+    monkeypatch.setattr(mixing, "splitting_tree", lambda *a: calls.append(a) or tree(*a)[::-1])
+    assert shards() != usual and calls
+    calls.clear()
+    mixing.mixed_sizes(df).count()
+    assert calls
+    monkeypatch.setattr(mixing, "splitting_tree", lambda counts, n, seed: np.zeros((n, len(counts)), np.int64))
+    assert mixing.mixed_sizes(df).agg(F.sum("taken")).first()[0] == 0
+
+
 def features(text):
     words = re.findall(r"[^\x20\x09-\x0D]+", text)
     grams = defaultdict(list)
