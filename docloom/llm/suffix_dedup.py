@@ -458,7 +458,8 @@ def remove_repeats(docs: DataFrame, blocks: int | None = None, hot_blocks: int =
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     held = 0 if blocks else docs.agg(F.coalesce(F.sum(F.octet_length(text).cast("long")), F.lit(0))).first()[0]
     blocks = blocks or max(2 * tasks, -(-held // BLOCK_BYTES))
-    tasks = shards = max(tasks, -(-blocks // 2))
+    tasks = max(tasks, -(-blocks // 2))
+    shards = 3 * tasks  # several for each task, so that tasks are alike
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(last)).alias("doc_id"), F.encode(text, "UTF-8").alias("data"), F.pmod(F.xxhash64("doc_id", text_key(text)), F.lit(blocks)).alias("block"))
     rows = rows.repartition(tasks, "block")
     answers = rows.groupBy("block").applyInArrow(_send_keys(shards), KEYS).repartition(tasks, "shard").groupBy("shard").applyInArrow(_answer_keys(hot_blocks), ANSWER)
