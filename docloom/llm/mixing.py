@@ -144,17 +144,17 @@ def shard_quotas(drawn: DataFrame, shards: int, seed: int) -> DataFrame:
     return spark.createDataFrame(rows, "source string, shard int, first long, stop long")
 
 
-def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, ratio: float = 1.5, shards: int = 16, seed: int = 11) -> DataFrame:
+def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, ratio: float = 1.5, shards: int = 16, seed: int = 11, size: Column | None = None) -> DataFrame:
     """The mixed corpus: the rows of `docs`, as often as drawn, with `_shard`, `_epoch` and `_take` (words).
 
     A document of which the mix takes only the first words has its text cut after them, white space and lines as they
     were.  Within a shard rows are in a permuted order of blocks, permuted again inside each block.  Texts are dealt out
     once, to their shards: all of a block is taken or none, but for the one block of each source in which its words run
     out.  Null texts have no words and are never drawn; null sources are a source of their own; rows that repeat are
-    drawn each; an empty table gives no rows.  Columns of `docs` may have any name; those named like a result are replaced.
+    drawn each; an empty table gives no rows.  Columns of `docs` may have any name; those named like a result are replaced.  `size` is a text's number of words, where `docs` has it already.
     """
-    rows, size = dealt(docs, "source", seed), n_words(F.col("text"))
-    blocks = checkpointed(block_plan(rows.select("source", "block", size.alias("size")), weights, ratio, seed)).where("bsize > 0")
+    rows = dealt(docs, "source", seed, size=n_words(F.col("text")) if size is None else size)
+    blocks = checkpointed(block_plan(rows, weights, ratio, seed)).where("bsize > 0")
     epochs = F.col("epochs") + F.when(F.col("left") > 0, 1).otherwise(0)
     drawn = checkpointed(blocks.where(epochs > 0).select("source", F.explode(F.sequence(F.lit(0).cast("long"), epochs.cast("long") - 1)).alias("epoch"), "block", F.expr("if(left > 0 and left < bsize, left, null)").alias("left"), "epochs"))
     quotas = shard_quotas(drawn, shards, seed).withColumnRenamed("source", "of")
@@ -163,9 +163,9 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, ratio: float = 1.
     places = places.join(quotas, (F.col("source") == F.col("of")) & (F.col("rank") >= F.col("first")) & (F.col("rank") < F.col("stop")))
     places = checkpointed(places.select("source", "block", "epoch", "shard", "rank", (F.col("epoch") == F.col("epochs")).alias("last"), "left"))
     out = ["row", "doc_id", "text", "shard", "epoch", "take", "rank", "block"]
-    whole = rows.where(F.col("text").rlike(r"[^\x20\x09-\x0D]")).join(small(places.where("left is null or not last"), WIDE), ["source", "block"])
-    whole = whole.withColumn("take", size).select(*out)
-    part = rows.join(small(places.where("left is not null and last").withColumn("epochs", F.lit(0))), ["source", "block"]).withColumn("size", size)
+    whole = rows.where("size > 0").join(small(places.where("left is null or not last"), WIDE), ["source", "block"])
+    whole = whole.withColumn("take", F.col("size")).select(*out)
+    part = rows.join(small(places.where("left is not null and last").withColumn("epochs", F.lit(0))), ["source", "block"])
     part = with_taken(part, seed).where("taken > 0").withColumn("take", F.col("taken"))
     part = part.withColumn("text", F.when(F.col("take") < F.col("size"), first_words(F.col("text"), F.col("take"))).otherwise(F.col("text"))).select(*out)
     local = [F.col("shard"), shuffled("rank", "shard", seed=seed + 4), shuffled("doc_id", "epoch", seed=seed + 5)]
@@ -181,11 +181,11 @@ def mixed_sizes(docs: DataFrame, **options) -> DataFrame:
     """
     docs = docs.select("doc_id", F.coalesce(F.concat(F.lit("0"), F.col("source").cast("string")), F.lit("1")).alias("of"), "source", "text", n_words(F.col("text")).alias("size"))
     # A list, as its order counts for the optimizer: with a sum it would leave out the shuffle inside the shards.
-    drawn = mix(docs, **options).groupBy(F.col("doc_id").alias("id"), "of", "size").agg(F.collect_list(n_words(F.col("text"))).alias("drawn"))
+    drawn = mix(docs, size=F.col("size"), **options).groupBy(F.col("doc_id").alias("id"), "of", "size").agg(F.collect_list(n_words(F.col("text"))).alias("drawn"))
     drawn = drawn.select("id", "of", "size", F.aggregate("drawn", F.lit(0).cast("long"), lambda n, x: n + x).alias("words"))
-    rows = docs.groupBy("doc_id", "of", "size").agg(F.count(F.lit(1)).alias("copies"))
+    rows = checkpointed(docs.groupBy("doc_id", "of", "size").agg(F.count(F.lit(1)).alias("copies")))
     own = {k: options[k] for k in ("weights", "ratio") if k in options}
-    sizes = targets(docs.groupBy(F.col("of").alias("source")).agg(F.sum("size").alias("source_size")), **own).withColumnRenamed("source", "of")
+    sizes = targets(rows.groupBy(F.col("of").alias("source")).agg(F.sum(F.col("size") * F.col("copies")).alias("source_size")), **own).withColumnRenamed("source", "of")
     rows = lookup(rows, checkpointed(sizes), ["of"], F.col("doc_id")).withColumnRenamed("of", "s").withColumnRenamed("size", "z")
     rows = rows.join(drawn, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("s") == F.col("of")) & (F.col("z") == F.col("size")), "left").drop("size", "of")
     rows = rows.withColumnRenamed("z", "size").withColumn("words", F.coalesce("words", F.lit(0).cast("long"))).withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)))

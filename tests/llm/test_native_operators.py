@@ -158,6 +158,8 @@ def test_pipeline_keeps_clean_documents(spark, tmp_path):
     say = lambda n: " ".join("".join(rnd.choice(stems) for _ in range(3)) + str(rnd.randrange(1000)) for _ in range(n))
     rows = [(k, "\n".join(say(12) for _ in range(4)), "en", f"s{k % 2}", 1) for k in range(40)]
     rows += [(50, rows[3][1], "en", "s0", 1), (51, rows[4][1] + "\nend", "en", "s1", 1), (52, None, "en", "s0", 0)]
+    own = [say(12) for _ in range(4)]
+    rows += [(53, "\n".join([*rows[5][1].split("\n"), *own]), "en", "s1", 1)]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     df.write.parquet(f"{tmp_path}/documents.parquet")
     docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
@@ -168,5 +170,17 @@ def test_pipeline_keeps_clean_documents(spark, tmp_path):
         seen.append(docs)
     ids = [{r["doc_id"] for r in d.select("doc_id").collect()} for d in seen]
     assert all(d.columns == corpus_pipeline.COLUMNS for d in seen[:-1])
-    assert ids[0] == {*range(40), 50, 51} and ids[1] == {*range(40), 51} and {*range(40)} <= ids[2] and ids[4] <= ids[2]
+    # 50 is a copy and 51 all but one; of 53, half stands elsewhere.
+    assert ids[0] == {*range(40), 50, 51, 53} and ids[1] == ids[2] == {*range(40), 53} and ids[4] <= ids[2]
+    assert seen[1].where("doc_id = 53").first()["text"] == "\n".join(own)
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == seen[-1].count()
+
+
+def test_pipeline_leaves_only_its_last_folder(spark, tmp_path):
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    df = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    got = corpus_pipeline.run(spark, str(tmp_path))
+    assert got.count() == 0
+    folder = got.inputFiles()[0].rpartition("/")[0] if got.inputFiles() else None
+    assert folder is None or folder.endswith("4-bpe")
