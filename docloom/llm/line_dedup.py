@@ -204,13 +204,13 @@ def aligned_lines(docs: DataFrame, min_chars: int = 32, moved: bool = True) -> D
 
 
 def dedup_lines(docs: DataFrame, **parameters) -> DataFrame:
-    """The rows of `docs` with `text` without the deleted lines, and `_n_lines`, `_n_removed` and `_n_left`.
+    """The rows of `docs` with `text` without the deleted lines, and `_n_lines`, `_n_removed`, `_n_chars` and `_n_left`.
 
     Earlier means a smaller doc_id (null last), then a smaller hash of the text; rows alike in both are one document
     and are treated alike.  A line stays in the first document that holds it.  Blank lines go with the lines on both
-    sides of them.  `_n_left` counts the characters that are left, without white space.  Null texts stay null; an empty
+    sides of them.  `_n_chars` counts the text's characters without white space, `_n_left` those that are left.  Null texts stay null; an empty
     text is one blank line; texts of fewer than `min_chars` characters stay; an empty table gives no rows; other columns
-    are carried through, but for those named like the three results.
+    are carried through, but for those named like the four results.
     """
     cut = aligned_lines(docs.select("doc_id", "text"), **parameters)
     cut = cut.select(F.col("doc_id").alias("own"), F.col("key").alias("hash"), F.col("lines").alias("cut"))
@@ -222,5 +222,5 @@ def dedup_lines(docs: DataFrame, **parameters) -> DataFrame:
     kept = F.flatten(F.transform(F.sequence(F.lit(1), F.size("cut") + 1), lambda k: F.slice(F.col("lines"), F.element_at("edges", k) + 2, F.element_at("edges", k + 1) - F.element_at("edges", k) - 1)))
     text = F.col("row.text").cast("string")
     rows = rows.withColumn("text", F.when(F.col("cut").isNull(), text).otherwise(F.array_join(kept, "\n")))
-    left = F.length(F.translate(F.coalesce("text", F.lit("")), SPACE, "")).cast("long")
-    return unpacked(rows, docs, text=F.col("text"), _n_lines=F.coalesce(F.size("lines"), F.lit(0)), _n_removed=F.coalesce(F.size("cut"), F.lit(0)), _n_left=left)
+    solid = lambda c: F.length(F.translate(F.coalesce(c, F.lit("")), SPACE, "")).cast("long")
+    return unpacked(rows, docs, text=F.col("text"), _n_lines=F.coalesce(F.size("lines"), F.lit(0)), _n_removed=F.coalesce(F.size("cut"), F.lit(0)), _n_chars=solid(text), _n_left=solid(F.col("text")))
