@@ -18,10 +18,18 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return language_id.keep_known(docs).select(*COLUMNS)
 
 
+#: A document goes if no more than this share of its characters is left: the rest stands in earlier documents.
+DEPLETED = 0.2
+
+
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that align with an earlier document go, and documents of which nothing is left."""
-    out = line_dedup.dedup_lines(docs)
-    return out.where(r"_n_removed = 0 or text rlike '[^\\x20\\x09-\\x0D]'").selectExpr("doc_id", "text", "lang", "source", "case when _n_removed = 0 then n_chars else cast(length(text) as bigint) end as n_chars")
+    """Lines that align with an earlier document go, and so do documents of which that leaves a fifth or less.
+
+    They are copies of what stands earlier, exact or near: what is left of a near copy resembles nothing, so the next
+    stage couldn't know it.
+    """
+    out = line_dedup.dedup_lines(docs).where(f"_n_removed = 0 or _n_left > {DEPLETED} * _n_chars")
+    return out.selectExpr("doc_id", "text", "lang", "source", "case when _n_removed = 0 then n_chars else cast(length(text) as bigint) end as n_chars")
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,17 +53,29 @@ STAGES = [("language_id", identify_language), ("line_dedup", dedup_lines), ("nea
 ORACLE_SQL = None
 
 
+def _remove(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages over `documents`; each result is written to the shared folder and read again."""
+    """The stages over `documents`; each result is written to the shared folder and read again.
+
+    A stage's folder is removed once the next stage is written; the last one holds the rows that are returned and is
+    left, in a folder `pipeline-...` of spark.checkpoint.dir, to whoever reads them.  Nulls, ties, repeated rows and
+    empty tables are as each stage's operator states; an empty `documents` gives no rows.
+    """
     shared = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if shared is None:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a shared folder")
         shared = tempfile.mkdtemp(prefix="docloom-pipeline-")
     folder = f"{shared}/pipeline-{uuid.uuid4().hex}"
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for k, (name, stage) in enumerate(STAGES):
         out = f"{folder}/{k}-{name}"
         stage(spark, docs, sf_dir).write.parquet(out)
-        docs = spark.read.parquet(out)
+        if before:
+            _remove(spark, before)
+        docs, before = spark.read.parquet(out), out
     return docs
