@@ -4,6 +4,18 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+# Words, names and phrases that have to be these for equal results, as texts.
+HEADING_WORDS = ("الفصل", "الباب", "المبحث", "المطلب", "المسألة", "تمهيد", "مقدمة", "خاتمة", "الفرع", "الجزء")
+ORDINALS = ("أولاً", "ثانياً", "ثالثاً", "رابعاً", "خامساً", "سادساً", "سابعاً", "ثامناً", "تاسعاً", "عاشراً")
+NOISE_ELEMENTS = ("script", "style", "noscript", "svg", "iframe", "header", "footer", "nav")
+CONTENT_TYPES = ("text/html", "application/xhtml+xml")
+REFUSAL = "المعلومات المتوفرة لا تجيب عن السؤال مباشرة."
+NO_RESULTS = "لا تتوفر معلومات كافية للإجابة."
+ABSTENTIONS = ("المعلومات المتوفرة لا تجيب عن السؤال مباشرة", "لا تتوفر معلومات كافية للإجابة")
+SOURCES_HEADER = "### 📚 المصادر المستخدمة:"
+VERDICT_PARTS = ("faithfulness", "relevance", "correctness", "fluency")
+# End of the fixed values.
+
 
 @dataclass(frozen=True)
 class Site:
@@ -17,17 +29,17 @@ class Site:
     selectors: tuple[tuple[str, str, str], ...] = (("", "id", "PageContent"), ("", "class", "main-text"), ("article", "", ""), ("main", "", ""))
     #: Path prefixes whose quoted .aspx links count, in any case.
     script_paths: tuple[str, ...] = ()
-    content_types: tuple[str, ...] = ("application/xhtml+xml", "text/html")
+    content_types: tuple[str, ...] = CONTENT_TYPES
 
 
 @dataclass(frozen=True)
 class Phrases:
     """Fixed texts of the answering plan."""
 
-    refusal: str = "المعلومات المتوفرة لا تجيب عن السؤال مباشرة."
-    no_results: str = "لا تتوفر معلومات كافية للإجابة."
-    sources_header: str = "### 📚 المصادر المستخدمة:"
-    abstain: tuple[str, ...] = ("المعلومات المتوفرة لا تجيب عن السؤال مباشرة", "لا تتوفر معلومات كافية للإجابة")
+    refusal: str = REFUSAL
+    no_results: str = NO_RESULTS
+    sources_header: str = SOURCES_HEADER
+    abstain: tuple[str, ...] = ABSTENTIONS
     greeting: str = "مرحبا، اكتب سؤالك."
     apology: str = "تعذر إكمال الطلب."
     instructions: str = "أجب بالاعتماد على المقاطع التالية وحدها، واذكر رقم المقطع بين قوسين مربعين، وقل إنك لا تعرف إذا لم تجد الجواب فيها."

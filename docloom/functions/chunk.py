@@ -1,11 +1,11 @@
-"""Heading-aware greedy chunking as a left fold over an array."""
+"""Heading-aware greedy chunking: a left fold over the lengths of a text's units gives the cuts, slices the chunks."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from docloom.functions.text import bounded_sentences, is_blank, is_heading
+from docloom.functions.text import bounded_sentences, is_blank, is_heading, let
 
 
 def chunks(text: Column, size: int = 300, max_sentence: int = 150, overlap: int = 0) -> Column:
@@ -16,19 +16,29 @@ def chunks(text: Column, size: int = 300, max_sentence: int = 150, overlap: int
     """
     if overlap:
         return _with_overlap(text, size, max_sentence, overlap)
-    state = "struct<out:array<string>,cur:string,n:int>"
-    start = F.struct(F.array().cast("array<string>").alias("out"), F.lit(None).cast("string").alias("cur"), F.lit(0).alias("n")).cast(state)
-    flushed = lambda a: F.when(a["cur"].isNull(), a["out"]).otherwise(F.array_append(a["out"], a["cur"]))
+    units = bounded_sentences(text, max_sentence)
+    return F.when(is_blank(text), F.array().cast("array<string>")).otherwise(let(units, lambda u: let(_starts(u, size), lambda at: _cut(u, at))))
+
+
+def _starts(units: Column, size: int) -> Column:
+    """Where chunks begin, from 1, and behind the last unit: a fold over lengths and heading flags only."""
+    sizes = F.transform(units, lambda x: F.struct(F.length(x).alias("n"), is_heading(x).alias("heading")))
+    state = "struct<at:array<int>,n:int,k:int>"
+    start = F.struct(F.array().cast("array<int>").alias("at"), F.lit(0).alias("n"), F.lit(1).alias("k")).cast(state)
 
     def step(a: Column, x: Column) -> Column:
-        heading, size_x = is_heading(x), F.length(x)
-        fits = a["n"] + size_x + F.when(a["cur"].isNull(), 0).otherwise(1) <= size
-        opened = F.struct(flushed(a).alias("out"), x.alias("cur"), (size_x + F.when(heading, 1).otherwise(0)).alias("n")).cast(state)
-        joined = F.struct(a["out"].alias("out"), F.when(a["cur"].isNull(), x).otherwise(F.concat(a["cur"], F.lit(" "), x)).alias("cur"), (a["n"] + size_x + F.when(a["cur"].isNull(), 0).otherwise(1)).alias("n")).cast(state)
-        return F.when(heading | ~fits, opened).otherwise(joined)
+        grown = a["n"] + x["n"] + F.when(a["k"] == 1, 0).otherwise(1)
+        opens = (a["k"] == 1) | x["heading"] | (grown > size)
+        n = F.when(x["heading"], x["n"] + 1).when(grown > size, x["n"]).otherwise(grown)
+        return F.struct(F.when(opens, F.array_append(a["at"], a["k"])).otherwise(a["at"]).alias("at"), n.alias("n"), (a["k"] + 1).alias("k")).cast(state)
 
-    packed = F.aggregate(bounded_sentences(text, max_sentence), start, step, flushed)
-    return F.when(is_blank(text), F.array().cast("array<string>")).otherwise(packed)
+    return F.aggregate(sizes, start, step, lambda a: F.array_append(a["at"], a["k"]))
+
+
+def _cut(units: Column, at: Column) -> Column:
+    """The units from each start to the next, joined by spaces."""
+    stretch = lambda s, k: F.array_join(F.slice(units, s, F.element_at(at, k + 2) - s), " ")
+    return F.transform(F.slice(at, F.lit(1), F.size(at) - 1), stretch)
 
 
 def _with_overlap(text: Column, size: int, max_sentence: int, overlap: int) -> Column:

@@ -9,11 +9,11 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from docloom.config import NOISE_ELEMENTS as NOISE
 from docloom.config import SITE, Site
 from docloom.functions.text import strip
 from docloom.functions.urls import canonical, is_internal, resolve
 
-NOISE = ("footer", "header", "iframe", "nav", "noscript", "script", "style", "svg")
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 
 

@@ -7,7 +7,7 @@ import time
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from docloom.config import PHRASES, Phrases
+from docloom.config import PHRASES, VERDICT_PARTS, Phrases
 from docloom.functions.citations import abstained, citation_validity, parse_references, reference
 from docloom.functions.text import strip
 from docloom.operators.answer import complete, ordered
@@ -62,7 +62,7 @@ def parse_verdict(raw: Column) -> Column:
     whole = F.when(F.try_parse_json(text).isNotNull(), text).otherwise(F.regexp_extract(text, r"(?s)\{.*\}", 0))
     verdict = F.from_json(whole, VERDICT, {"mode": "PERMISSIVE"})
     keys = F.coalesce(F.json_object_keys(F.when(F.try_parse_json(whole).isNotNull(), whole)), F.array().cast("array<string>"))
-    missing = F.array_except(F.array(*map(F.lit, ("faithfulness", "relevance", "correctness", "fluency"))), keys)
+    missing = F.array_except(F.array(*map(F.lit, VERDICT_PARTS)), keys)
     error = F.when(F.try_parse_json(F.nullif(whole, F.lit(""))).isNull(), "verdict isn't JSON").when(F.size(missing) > 0, F.concat(F.lit("verdict lacks "), F.element_at(missing, 1)))
     return F.struct(F.when(error.isNull(), verdict).alias("verdict"), F.coalesce(error, F.lit("")).alias("error"))
 

@@ -85,8 +85,13 @@ def _score(sent, k: int, digits: int, qid: str, id_: str):
 
 
 def first_of_each(rows: DataFrame, keys: list[str], order: str = "pos") -> DataFrame:
-    """The first row by `order` for each value of the keys; rows with a null order come last."""
-    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(F.asc_nulls_last(order)))
+    """The first row by `order` for each value of the keys; rows with a null order come last.
+
+    Texts are grouped by 256 bits of them, so a group's key is short whatever the text.
+    """
+    texts = {f.name for f in rows.schema.fields if f.dataType.typeName() == "string"}
+    short = [F.unhex(F.sha2(F.col(k), 256)) if k in texts else F.col(k) for k in keys]
+    rank = F.row_number().over(Window.partitionBy(*short).orderBy(F.asc_nulls_last(order)))
     return rows.withColumn("_rank", rank).where("_rank = 1").drop("_rank")
 
 

@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-from docloom.config import PHRASES
-from docloom.functions.text import HEADING_WORDS
+from docloom.config import HEADING_WORDS, NOISE_ELEMENTS, PHRASES
 from docloom.plans.queries import ARABIC, CELLS, LATIN, VERDICTS
 
 _KEEP = r"[^0-9\x{0600}-\x{06FF}\s.,!?/-]"
@@ -169,8 +168,6 @@ ORACLES: dict[str, str] = {
     "judge_parse": f"SELECT CAST(k AS BIGINT) AS k, CASE WHEN k < 3 THEN 5.0::DOUBLE END AS score, k < 3 AS ok FROM range({len(VERDICTS)}) t(k)",
 }
 
-_NOISE = "footer header iframe nav noscript script style svg".split()
-
 
 def _plain(t: str) -> str:
     piece = "x"
@@ -181,7 +178,7 @@ def _plain(t: str) -> str:
 
 def _clean() -> str:
     page = "html"
-    for tag in _NOISE:
+    for tag in NOISE_ELEMENTS:
         page = rf"regexp_replace({page}, '(?is)<{tag}\b[^>]*>.*?</{tag}\s*>', '', 'g')"
     return rf"regexp_replace({page}, '(?s)<!--.*?-->|<![^>]*>', '', 'g')"
 

@@ -51,15 +51,22 @@ def normalize_text(spark: SparkSession, sf: str) -> DataFrame:
     return documents(spark, sf).select("doc_id", t.alias("t")).select("doc_id", F.length("t").cast("long").alias("n"), F.md5("t").alias("digest"))
 
 
+def _once(rows: DataFrame, name: str, value: Column) -> DataFrame:
+    """`rows` with a column that no filter above is moved below, so that it's computed once; rows where it's null go."""
+    return rows.select("*", F.explode(F.array(value)).alias(name)).where(F.col(name).isNotNull())
+
+
 def arabic_letter_gate(spark: SparkSession, sf: str) -> DataFrame:
-    t = F.col("text")
-    return documents(spark, sf).where(T.length_gate(t, 15) & T.letter_gate(t, 10)).select("doc_id", T.letters(t).cast("long").alias("letters"))
+    count = lambda t: F.when(T.length_gate(t, 15), T.let(T.letters(t), lambda n: F.when(n >= 10, n)))
+    rows = _once(table(spark, sf, "documents").select("doc_id", "text"), "letters", T.let(arabic(F.col("text")), count))
+    return rows.select("doc_id", F.col("letters").cast("long").alias("letters"))
 
 
 def arabic_ratio_filter(spark: SparkSession, sf: str) -> DataFrame:
     """Half of the documents have two letters mapped only, so their share is near the limit."""
-    raw = table(spark, sf, "documents").select("doc_id", F.when(F.col("doc_id") % 2 == 0, arabic(F.col("text"))).otherwise(F.translate("text", "ei", "اب")).alias("text"))
-    return raw.where(T.is_arabic(F.col("text"))).select("doc_id")
+    text = F.when(F.col("doc_id") % 2 == 0, arabic(F.col("text"))).otherwise(F.translate("text", "ei", "اب"))
+    rows = _once(table(spark, sf, "documents").select("doc_id", "text"), "passed", T.let(text, lambda t: F.when(T.is_arabic(t), True)))
+    return rows.select("doc_id")
 
 
 def split_sentences(spark: SparkSession, sf: str) -> DataFrame:
