@@ -33,8 +33,8 @@ SMALL_BUCKET = 8
 _NODE = "struct<doc_id:bigint,key:bigint>"
 #: Up to so many (two nodes of 16 bytes) are broadcast to the texts.
 FEW_PAIRS = 50_000
-#: With more links than this, nodes of more than HUB links are looked for, to meet them in several tasks.
-LINKS, HUB = 10_000, 1_000
+#: Nodes of more links than this meet them in several tasks.
+HUB = 1_000
 #: Nodes on either side of a block.
 BLOCK = 512
 _U = np.uint64
@@ -207,7 +207,7 @@ def components(links: DataFrame) -> DataFrame:
         before = state
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.min("u")).alias("m"), F.count(F.lit(1)).alias("n"))
-        met = counted_join(both, checkpointed(low), "u", F.col("v"), hot=HUB) if state[0] > LINKS else both.join(low, "u")
+        met = counted_join(both, checkpointed(low), "u", F.col("v"), hot=HUB) if state[0] > HUB else both.join(low, "u")
         large = met.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v")))
