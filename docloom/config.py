@@ -42,7 +42,14 @@ class Phrases:
     abstain: tuple[str, ...] = ABSTENTIONS
     greeting: str = "مرحبا، اكتب سؤالك."
     apology: str = "تعذر إكمال الطلب."
-    instructions: str = "أجب بالاعتماد على المقاطع التالية وحدها، واذكر رقم المقطع بين قوسين مربعين، وقل إنك لا تعرف إذا لم تجد الجواب فيها."
+    instructions: str = (
+        "أنت مساعد يجيب عن الأسئلة بالاعتماد على المقاطع المعطاة وحدها. التزم بما يلي: "
+        "خذ كل معلومة من المقاطع، ولا تزد عليها شيئا من عندك ولا من خارج سياقها. "
+        "اجمع بين المقاطع إذا تكاملت. "
+        "اذكر بعد كل معلومة رقم مقطعها بين قوسين مربعين مثل [1]، ولا تذكر مصدرا غير ما في المقاطع ولا رقما لم تأخذ منه. "
+        "خذ من المقاطع ذات النص العربي دون غيرها. "
+        f"إذا لم تجب المقاطع عن السؤال فقل: {REFUSAL} وإذا لم تجد فيها جوابا فقل إنه لا تتوفر لديك معلومات."
+    )
 
 
 SITE, PHRASES = Site(), Phrases()

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -9,7 +11,8 @@ from docloom.config import PHRASES, Phrases
 from docloom.functions.text import strip
 from docloom.functions.urls import canonical_stripped
 
-_ZEROS = "٠۰०০０"
+#: The zero of every script that has decimal digits; the other nine follow it.
+_ZEROS = "".join(chr(k) for k in range(0x80, 0x110000) if unicodedata.decimal(chr(k), None) == 0)
 _DIGITS = "".join(chr(ord(z) + k) for z in _ZEROS for k in range(10))
 
 

@@ -78,13 +78,24 @@ def render_sources(answer: Column, labels: Column, phrases: Phrases = PHRASES) -
     return F.when(F.size(cited) > 0, F.concat(answer, F.lit(f"\n\n{phrases.sources_header}\n"), F.array_join(shown, ""))).otherwise(answer)
 
 
-def answer_questions(questions: DataFrame, ranked: DataFrame, client: LLMClient, phrases: Phrases = PHRASES) -> DataFrame:
-    """(qid, question, full_answer, answer, sources_text, contexts, sources, error): questions without results are refused."""
+def answer_questions(questions: DataFrame, ranked: DataFrame, client: LLMClient, phrases: Phrases = PHRASES, empty: str | None = None) -> DataFrame:
+    """(qid, question, full_answer, answer, sources_text, contexts, sources, error): questions without results get `empty`, by default the refusal."""
     rows = questions.select("qid", "question").join(assemble(ranked), "qid", "left")
     asked = rows.where("context is not null").withColumn("got", complete(client, prompt(F.col("question"), F.col("context"), phrases)))
     asked = asked.withColumn("full_answer", render_sources(strip(F.col("got.text")), F.col("labels"), phrases)).withColumn("error", F.col("got.error"))
-    rest = rows.where("context is null").withColumn("full_answer", F.lit(phrases.no_results)).withColumn("error", F.lit(None).cast("string"))
+    rest = rows.where("context is null").withColumn("full_answer", F.lit(phrases.refusal if empty is None else empty)).withColumn("error", F.lit(None).cast("string"))
     columns = ["qid", "question", "full_answer", "contexts", "sources", "error"]
     both = asked.select(*columns).union(rest.select(*columns)).withColumn("_split", split_answer(F.col("full_answer"), phrases))
     none = F.array().cast("array<string>")
     return both.select("qid", "question", "full_answer", F.col("_split.answer").alias("answer"), F.col("_split.sources").alias("sources_text"), F.coalesce("contexts", none).alias("contexts"), F.coalesce("sources", none).alias("sources"), "error")
+
+
+def top_report(ranked: DataFrame, most: int = 5, width: int = 400) -> DataFrame:
+    """(qid, rank, score, source, text): the first results of each question as a console shows them, texts cut to `width`."""
+    rows = ranked.where(F.col("rank") <= most)
+    return rows.select("qid", "rank", F.col("score").cast("double").alias("score"), F.col("metadata.source").alias("source"), F.left("content", F.lit(width)).alias("text"))
+
+
+def show_report(ranked: DataFrame, most: int = 5, width: int = 400) -> None:
+    """Print top_report() of a few questions."""
+    top_report(ranked, most, width).orderBy("qid", "rank").show(truncate=False, vertical=True)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -11,23 +13,23 @@ from docloom.functions.text import normalize
 from docloom.functions.urls import canonical, is_html, is_pdf
 from docloom.operators.persist import checkpointed
 from docloom.plugins import Fetcher
-from docloom.sources.documents import fetch
+from docloom.sources.documents import decoded, fetch
 
 
 def bfs_levels(edges: DataFrame, seeds: DataFrame, max_depth: int | None = None) -> DataFrame:
-    """(node, depth) of each node reachable over (src, dst) from the seeds' `node`."""
-    frontier = checkpointed(seeds.select("node").distinct().withColumn("depth", F.lit(0)))
-    seen, depth = frontier, 0
-    while (max_depth is None or depth < max_depth) and not frontier.isEmpty():
-        depth += 1
+    """(node, depth) of each node reachable over (src, dst) from the seeds' `node`.  Each level is written once."""
+    levels = [checkpointed(seeds.select("node").distinct().withColumn("depth", F.lit(0)))]
+    while (max_depth is None or len(levels) <= max_depth) and not levels[-1].isEmpty():
+        frontier, seen = levels[-1], reduce(DataFrame.union, levels)
         step = frontier.join(edges, frontier["node"] == edges["src"]).select(F.col("dst").alias("node")).distinct()
-        frontier = checkpointed(step.join(seen.select("node"), "node", "left_anti").withColumn("depth", F.lit(depth)))
-        seen = checkpointed(seen.union(frontier))
-    return seen
+        levels.append(checkpointed(step.join(seen.select("node"), "node", "left_anti").withColumn("depth", F.lit(len(levels)))))
+    return reduce(DataFrame.union, levels)
+
 
+def crawl(seeds: DataFrame, fetcher: Fetcher | DataFrame, site: Site = SITE, max_pages: int = 1500, delay: float = 0.0) -> tuple[DataFrame, DataFrame]:
+    """(pages, documents): (url, depth, text) of HTML pages with text, (url, depth) of PDF addresses, to be read by chunk_remote_documents().
 
-def crawl(seeds: DataFrame, fetcher: Fetcher, site: Site = SITE, max_pages: int = 1500) -> tuple[DataFrame, DataFrame]:
-    """(pages, documents): (url, depth, text) of HTML pages with text, (url, depth) of PDF addresses.
+    `fetcher` may be a table of fetched pages (see fetch()); `delay` is a pause between a task's fetches in seconds.
 
     Levels are visited in order, addresses in order inside a level, `max_pages` in all, failures and PDFs included.
     Each level's fetches are checkpointed, so none is repeated.  Links come from the whole page, text from its main part.
@@ -41,8 +43,8 @@ def crawl(seeds: DataFrame, fetcher: Fetcher, site: Site = SITE, max_pages: int
         now = checkpointed(frontier.orderBy("url").limit(left).withColumn("depth", F.lit(depth)))
         left -= now.count()
         seen = checkpointed(seen.union(now))
-        got = fetch(now.where(~is_pdf(F.col("url"))), fetcher).where(F.col("error").isNull() & is_html(F.col("content_type"), site))
-        got = checkpointed(got.select("url", F.lit(depth).alias("depth"), F.decode("body", "UTF-8").alias("html")))
+        got = fetch(now.where(~is_pdf(F.col("url"))), fetcher, delay=delay).where(F.col("error").isNull() & is_html(F.col("content_type"), site))
+        got = checkpointed(got.select("url", F.lit(depth).alias("depth"), decoded(F.col("body"), F.col("content_type")).alias("html")))
         pages = pages.union(got)
         links = page_links(got, site=site).select(F.col("dst").alias("url")).distinct()
         frontier = checkpointed(links.join(seen.select("url"), "url", "left_anti"))

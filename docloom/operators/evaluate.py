@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 from docloom.config import PHRASES, VERDICT_PARTS, Phrases
 from docloom.functions.citations import abstained, citation_validity, parse_references, reference
 from docloom.functions.text import strip
-from docloom.operators.answer import complete, ordered
-from docloom.plugins import LLMClient
+from docloom.operators.answer import answer_questions, complete, ordered
+from docloom.operators.retrieve import retrieve
+from docloom.plugins import Embedder, LLMClient, Reranker
 from docloom.sources.sheets import require_columns
 
 VERDICT = "struct<faithfulness:struct<score:double,passed:boolean,unsupported_claims:array<string>,notes:string>,relevance:struct<score:double,notes:string>,correctness:struct<score:double,critical_error:boolean,notes:string>,fluency:struct<score:double,notes:string>>"
@@ -89,12 +90,23 @@ class Retrying:
         raise last or ValueError("no tries")
 
 
-def generation_report(sheet: DataFrame, answered: DataFrame, judge: LLMClient, phrases: Phrases = PHRASES) -> DataFrame:
-    """The 21-column report of (qid, question, answerable, reference) and answered questions; failed judgements are nulls and an error."""
+def run_rag(questions: DataFrame, collection: DataFrame, embedder: Embedder | None, reranker: Reranker, client: LLMClient, top_k: int = 3, overfetch: int = 5, phrases: Phrases = PHRASES) -> DataFrame:
+    """Retrieval and answers for an evaluation sheet's questions: those without results are answered with `no_results`."""
+    ranked = retrieve(questions, collection, embedder, reranker, top_k, overfetch)
+    return answer_questions(questions, ranked, client, phrases, phrases.no_results)
+
+
+def generation_report(sheet: DataFrame, answered: DataFrame, judge: LLMClient, phrases: Phrases = PHRASES, tries: int = 3, pause: float = 1.5) -> DataFrame:
+    """The 21-column report of (qid, question, answerable, reference) and answered questions; failed judgements are nulls and an error.
+
+    The judge is asked `tries` times.  A question that isn't among the answered ones counts as answered with `no_results`.
+    """
     require_columns(sheet, {"qid", "question", "answerable", "reference"})
     rows = sheet.select("qid", strip(F.col("question")).alias("question"), F.col("answerable").cast("int").alias("answerable"), F.array_distinct(parse_references(F.col("reference"))).alias("gold"))
-    rows = rows.join(answered.select("qid", "answer", "contexts", "sources"), "qid")
-    rows = rows.withColumn("got", complete(judge, judge_prompt(F.col("question"), F.col("answer"), F.col("contexts"))))
+    none = F.array().cast("array<string>")
+    rows = rows.join(answered.select("qid", "answer", "contexts", "sources"), "qid", "left")
+    rows = rows.withColumns({"answer": F.coalesce("answer", F.lit(phrases.no_results)), "contexts": F.coalesce("contexts", none), "sources": F.coalesce("sources", none)})
+    rows = rows.withColumn("got", complete(Retrying(judge, tries, pause), judge_prompt(F.col("question"), F.col("answer"), F.col("contexts"))))
     parsed = F.when(F.col("got.error").isNull(), parse_verdict(F.col("got.text")))
     rows = rows.withColumns({"_p": parsed, "_c": citation_validity(F.col("answer"), F.size("contexts")), "abstained": abstained(F.col("answer"), phrases)})
     v, joined = F.col("_p.verdict"), lambda c, s: F.array_join(c, s)

@@ -4,15 +4,21 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """spark.checkpoint.dir; a local session without one gets a folder of its own."""
+    context = spark.sparkContext
+    folder = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
+    if folder is None and not context.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a shared folder")
+    return folder or tempfile.mkdtemp(prefix="docloom-")
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Through the shared folder in spark.checkpoint.dir; a local session without one gets a folder of its own."""
+    """Cut lineage through the shared folder."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        shared = context.getConf().get("spark.checkpoint.dir")
-        if shared is None and not context.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a shared folder")
-        context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="docloom-checkpoint-"))
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()

@@ -14,6 +14,8 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from docloom.functions.text import is_blank
 from docloom.plugins import Embedder, Reranker
@@ -32,34 +34,31 @@ def cosine(a: Column, b: Column) -> Column:
 def nearest(queries: DataFrame, collection: DataFrame, k: int, block: int = QUERY_BLOCK, digits: int = 6) -> DataFrame:
     """(qid, id, pos, similarity): the k nearest rows of (id, embedding) for each (qid, embedding), pos from 1.
 
-    Similarities are rounded to `digits`; ties go to the smaller id.  Vectors without length match nothing.
+    Similarities are rounded to `digits`; ties go to the smaller id.  Vectors without length, or of another number of
+    dimensions than the query's, match nothing; ids may be of any type that can be sorted.
     """
     spark = collection.sparkSession
-    qid, id_ = queries.schema["qid"].dataType.simpleString(), collection.schema["id"].dataType.simpleString()
-    wanted = queries.select("qid", "embedding").where("embedding is not null")
+    schema = T.StructType([T.StructField("qid", queries.schema["qid"].dataType), T.StructField("id", collection.schema["id"].dataType), T.StructField("similarity", T.DoubleType())])
+    wanted = queries.select("qid", "embedding").where("size(embedding) > 0")
     parts = -(-max(1, wanted.count()) // block)
     found = None
     for part in range(parts):
         own = wanted.where(F.pmod(F.xxhash64("qid"), F.lit(parts)) == part) if parts > 1 else wanted
         rows = own.collect()
-        if not rows:
-            continue
-        x = np.array([r["embedding"] for r in rows], np.float64)
-        size = np.linalg.norm(x, axis=1)
-        keys = [r["qid"] for r in rows]
-        sent = spark.sparkContext.broadcast((keys, x / np.where(size > 0, size, np.nan)[:, None]))
-        got = collection.select("id", "embedding").where("embedding is not null").mapInArrow(_score(sent, k, digits, qid, id_), f"qid {qid}, id {id_}, similarity double")
-        found = got if found is None else found.union(got)
+        for dimensions in sorted({len(r["embedding"]) for r in rows}):
+            same = [r for r in rows if len(r["embedding"]) == dimensions]
+            x = np.array([r["embedding"] for r in same], np.float64)
+            size = np.linalg.norm(x, axis=1)
+            sent = spark.sparkContext.broadcast(([r["qid"] for r in same], x / np.where(size > 0, size, np.nan)[:, None]))
+            got = collection.select("id", "embedding").where(F.size("embedding") == dimensions).mapInArrow(_score(sent, k, digits, to_arrow_schema(schema)), schema)
+            found = got if found is None else found.union(got)
     if found is None:
-        found = spark.createDataFrame([], f"qid {qid}, id {id_}, similarity double")
+        found = spark.createDataFrame([], schema)
     rank = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("similarity"), "id"))
     return found.withColumn("pos", rank).where(F.col("pos") <= k).select("qid", "id", "pos", "similarity")
 
 
-def _score(sent, k: int, digits: int, qid: str, id_: str):
-    kinds = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}
-    schema = pa.schema([("qid", kinds[qid]), ("id", kinds[id_]), ("similarity", pa.float64())])
-
+def _score(sent, k: int, digits: int, schema: pa.Schema):
     def run(arrow: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, x = sent.value
         best = [(np.zeros(0), np.zeros(0, object))] * len(keys)

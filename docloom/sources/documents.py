@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import re
+import time
 from collections.abc import Iterable, Iterator
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from docloom.functions.chunk import chunks
 from docloom.functions.text import length_gate, letter_gate, normalize
@@ -21,19 +25,41 @@ def metadata(kind: str, source: Column, page: Column | None = None, chunk: Colum
     return F.struct(F.lit(kind).alias("type"), source.alias("source"), (page if page is not None else null).cast("int").alias("page"), (chunk if chunk is not None else null).cast("int").alias("chunk"), (page_url if page_url is not None else null).cast("string").alias("page_url"))
 
 
-def fetch(urls: DataFrame, fetcher: Fetcher, url: str = "url") -> DataFrame:
-    """(url, content_type, body, error) of each address; failures are rows with an error."""
+def fetch(urls: DataFrame, fetcher: Fetcher | DataFrame, url: str = "url", delay: float = 0.0) -> DataFrame:
+    """(url, content_type, body, error) of each address; failures are rows with an error.
+
+    A table (url, content_type, body) in the fetcher's place is looked up by a join.
+    """
+    if isinstance(fetcher, DataFrame):
+        held = fetcher.select("url", "content_type", "body", F.lit(True).alias("_held"))
+        rows = urls.select(F.col(url).alias("url")).where("url is not null").join(held, "url", "left")
+        return rows.select("url", "content_type", "body", F.when(F.col("_held").isNull(), "not found").alias("error"))
     schema = pa.schema([("url", pa.string()), ("content_type", pa.string()), ("body", pa.binary()), ("error", pa.string())])
 
     def run(arrow: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in arrow:
             for u in batch.column(0).to_pylist():
                 got = fetcher.fetch(u)
+                time.sleep(delay)
                 yield pa.RecordBatch.from_arrays([pa.array([u]), pa.array([got.content_type], pa.string()), pa.array([got.body], pa.binary()), pa.array([got.error], pa.string())], schema=schema)
 
     return urls.select(F.col(url)).where(F.col(url).isNotNull()).mapInArrow(run, "url string, content_type string, body binary, error string")
 
 
+@F.pandas_udf(StringType())
+def decoded(bodies: pd.Series, content_types: pd.Series) -> pd.Series:
+    """Text of page bodies in the character set that the header names, else the page, else UTF-8; what can't be decoded is replaced."""
+    out = []
+    for body, kind in zip(bodies, content_types):
+        named = re.search(r"charset=[\"']?([\w.:-]+)", kind or "") or re.search(rb"<meta[^>]{0,200}charset=[\"']?([\w.:-]+)", (body or b"")[:4096], re.I)
+        name = named[1] if named else "utf-8"
+        try:
+            out.append(None if body is None else body.decode(name if isinstance(name, str) else name.decode(), "replace"))
+        except LookupError:
+            out.append(body.decode("utf-8", "replace"))
+    return pd.Series(out, dtype="object")
+
+
 def page_texts(files: DataFrame, extractor: PageTextExtractor) -> DataFrame:
     """(path, page, text) of (path, content) rows; OCR runs only for pages whose own text says too little."""
     schema = pa.schema([("path", pa.string()), ("page", pa.int32()), ("text", pa.string())])
@@ -65,7 +91,11 @@ def _chunked(pages: DataFrame, normalized: bool, min_chars: int, min_letters: in
 
 def chunk_local_documents(spark: SparkSession, path: str, extractor: PageTextExtractor, normalized: bool = True, min_chars: int = 15, size: int = 300) -> DataFrame:
     """Chunks of the documents under `path`: id, url, page_number, chunk_index, content, metadata."""
-    files = spark.read.format("binaryFile").load(path)
+    return chunk_files(spark.read.format("binaryFile").load(path), extractor, normalized, min_chars, size)
+
+
+def chunk_files(files: DataFrame, extractor: PageTextExtractor, normalized: bool = True, min_chars: int = 15, size: int = 300) -> DataFrame:
+    """The same of (path, content) rows."""
     stem = F.regexp_replace(F.element_at(F.split("path", "/"), -1), r"\.[^.]*$", "")
     rows = _chunked(page_texts(files, extractor), normalized, min_chars, 10, size).withColumn("stem", stem)
     return rows.select(F.concat("stem", F.lit("_page_"), "page", F.lit("_chunk_"), "chunk").alias("id"), F.lit(None).cast("string").alias("url"), F.col("page").alias("page_number"), F.col("chunk").alias("chunk_index"), "content", metadata("PDF_page", F.col("stem"), F.col("page")).alias("metadata"))

@@ -32,8 +32,10 @@ def norm(c: Column) -> Column:
     return F.sqrt(F.aggregate(c, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
 
 
-def create(spark: SparkSession, name: str) -> None:
-    spark.sql(f"CREATE TABLE IF NOT EXISTS {name} ({SCHEMA.replace(' array<float>', ' ARRAY<FLOAT>')}) USING parquet TBLPROPERTIES ('metric' = 'cosine')")
+def create(spark: SparkSession, name: str, path: str | None = None) -> None:
+    """The table, unless it exists: in the warehouse, or in the folder `path`."""
+    place = f" LOCATION '{path}'" if path else ""
+    spark.sql(f"CREATE TABLE IF NOT EXISTS {name} ({SCHEMA.replace(' array<float>', ' ARRAY<FLOAT>')}) USING parquet{place} TBLPROPERTIES ('metric' = 'cosine')")
 
 
 def storable(chunks: DataFrame) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,8 +18,10 @@ from docloom.plugins import Embedder, LLMClient, Reranker
 MESSAGES = "conv_id long, turn long, role string, text string"
 
 
-def read_messages(spark: SparkSession, path: str, fmt: str = "parquet", per_trigger: int = 1) -> DataFrame:
-    return spark.readStream.format(fmt).schema(MESSAGES).option("maxFilesPerTrigger", per_trigger).load(path)
+def read_messages(spark: SparkSession, path: str, fmt: str = "parquet", per_trigger: int = 1, since: datetime | None = None) -> DataFrame:
+    """Messages as a stream; with `since`, what stood there before (the backlog of a bot that starts) is discarded."""
+    rows = spark.readStream.format(fmt).schema(MESSAGES).option("maxFilesPerTrigger", per_trigger).load(path)
+    return rows if since is None else rows.where(F.col("_metadata.file_modification_time") >= F.lit(since))
 
 
 def user_questions(messages: DataFrame) -> DataFrame:

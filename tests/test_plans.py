@@ -93,7 +93,7 @@ def test_answers_number_sources_and_render_them(spark):
     assert shown == ["x [2] [1] [9]" + head + "- ملف PDF: r [1]\n- [2] رابط: u\n", "none", "[7]" + head]
     questions = spark.createDataFrame([("q", "question q"), ("p", "question p")], "qid string, question string")
     answers = {r["qid"]: r for r in A.answer_questions(questions, ranked(spark, rows), FirstContextLLM()).collect()}
-    assert answers["p"]["answer"] == PHRASES.no_results and answers["p"]["contexts"] == []
+    assert answers["p"]["answer"] == PHRASES.refusal and answers["p"]["contexts"] == []
     assert answers["q"]["answer"] == "one [1]" and answers["q"]["sources_text"].startswith(PHRASES.sources_header)
 
 
@@ -118,7 +118,7 @@ def test_report_with_and_without_verdicts(spark):
     good = {r["qid"]: r for r in E.generation_report(sheet, answered, FixedJudge()).collect()}
     assert good["1"]["abstention_correct"] and good["1"]["used_gold_source"] and not good["1"]["citation_valid"]
     assert good["2"]["used_gold_source"] is None and good["2"]["citation_valid"] and len(good["2"]) == 21
-    bad = E.generation_report(sheet, answered, E.Retrying(Broken(), tries=2, pause=0.0))
+    bad = E.generation_report(sheet, answered, Broken(), tries=2, pause=0.0)
     assert {(r["faithfulness_score"], r["judge_notes"], r["judge_error"]) for r in bad.collect()} == {(None, None, "down")}
     summary = E.generation_summary(bad).first()
     assert (summary["n_total"], summary["n_scored"], summary["avg_fluency"], summary["gold_source_covered_rate"]) == (2, 0, 0.0, None)
