@@ -35,7 +35,7 @@ def main_text(page: Column, least: int = 200) -> Column:
         page = F.regexp_replace(page, rf"(?is)<{tag}\b[^>]*>.*?</{tag}\s*>", "")
     page = F.regexp_replace(page, r"(?s)<!--.*?-->|<![^>]*>", "")
     article = visible_text(F.regexp_extract(page, r"(?is)<article\b[^>]*>(.*?)</article\s*>", 1))
-    body = F.regexp_extract(page, r"(?is)<body\b[^>]*>(.*)</body\s*>", 1)
+    body = F.regexp_replace(F.regexp_extract(page, r"(?is)<body\b[^>]*>(.*)", 1), r"(?is)</body\s*>.*$", "")  # which may be left open
     return F.when(F.length(article) >= least, article).when(body != "", visible_text(body)).otherwise(visible_text(page))
 
 

@@ -36,18 +36,19 @@ def crawl(seeds: DataFrame, fetcher: Fetcher | DataFrame, site: Site = SITE, max
     """
     spark = seeds.sparkSession
     frontier = checkpointed(seeds.select(canonical(F.col("url")).alias("url")).distinct())
-    seen = spark.createDataFrame([], "url string, depth int")
+    seen = [spark.createDataFrame([], "url string, depth int")]
     pages = spark.createDataFrame([], "url string, depth int, html string")
     depth, left = 0, max_pages
-    while left > 0 and not frontier.isEmpty():
-        now = checkpointed(frontier.orderBy("url").limit(left).withColumn("depth", F.lit(depth)))
-        left -= now.count()
-        seen = checkpointed(seen.union(now))
+    while left > 0 and (n := frontier.count()):
+        now = frontier if n <= left else frontier.orderBy("url").limit(left)  # sorted only where the bound cuts a level
+        now = checkpointed(now.withColumn("depth", F.lit(depth)))
+        left -= min(n, left)
+        seen.append(now)
         got = fetch(now.where(~is_pdf(F.col("url"))), fetcher, delay=delay).where(F.col("error").isNull() & is_html(F.col("content_type"), site))
         got = checkpointed(got.select("url", F.lit(depth).alias("depth"), decoded(F.col("body"), F.col("content_type")).alias("html")))
         pages = pages.union(got)
         links = page_links(got, site=site).select(F.col("dst").alias("url")).distinct()
-        frontier = checkpointed(links.join(seen.select("url"), "url", "left_anti"))
+        frontier = checkpointed(links.join(reduce(DataFrame.union, seen).select("url"), "url", "left_anti"))
         depth += 1
     text = normalize(main_text_exact(F.col("html"), site))
-    return pages.select("url", "depth", text.alias("text")).where("text <> ''"), seen.where(is_pdf(F.col("url")))
+    return pages.select("url", "depth", text.alias("text")).where("text <> ''"), reduce(DataFrame.union, seen).where(is_pdf(F.col("url")))

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from docloom.config import HEADING_WORDS, NOISE_ELEMENTS, PHRASES
-from docloom.plans.queries import ARABIC, CELLS, LATIN, VERDICTS
+from docloom.plans.queries import ARABIC, CELLS, CRAWL_URL, FORMS, LATIN, MAIN, PAGES, VERDICTS
 
 _KEEP = r"[^0-9\x{0600}-\x{06FF}\s.,!?/-]"
 
@@ -176,8 +176,7 @@ def _plain(t: str) -> str:
     return rf"array_to_string(list_filter(list_transform(string_split_regex({t}, '<[^>]*>'), lambda x: {strip(piece)}), lambda x: x <> ''), ' ')"
 
 
-def _clean() -> str:
-    page = "html"
+def _clean(page: str = "html") -> str:
     for tag in NOISE_ELEMENTS:
         page = rf"regexp_replace({page}, '(?is)<{tag}\b[^>]*>.*?</{tag}\s*>', '', 'g')"
     return rf"regexp_replace({page}, '(?s)<!--.*?-->|<![^>]*>', '', 'g')"
@@ -185,7 +184,69 @@ def _clean() -> str:
 
 ORACLES["html_main_text"] = rf"""SELECT page_id, length(t) AS n, md5(t) AS digest, length({norm(ar('t'))}) AS n_normalized FROM (
   SELECT page_id, CASE WHEN length({_plain('a')}) >= 200 THEN {_plain('a')} WHEN b <> '' THEN {_plain('b')} ELSE {_plain('h')} END AS t FROM (
-    SELECT page_id, h, regexp_extract(h, '(?is)<article\b[^>]*>(.*?)</article\s*>', 1) AS a, regexp_extract(h, '(?is)<body\b[^>]*>(.*)</body\s*>', 1) AS b FROM (SELECT page_id, {_clean()} AS h FROM pages)))"""
+    SELECT page_id, h, regexp_extract(h, '(?is)<article\b[^>]*>(.*?)</article\s*>', 1) AS a, regexp_replace(regexp_extract(h, '(?is)<body\b[^>]*>(.*)', 1), '(?is)</body\s*>.*$', '') AS b FROM (SELECT page_id, {_clean()} AS h FROM pages)))"""
 ORACLES["page_links"] = rf"""SELECT DISTINCT src, {canonical('dst')} AS dst FROM (
   SELECT src, CASE WHEN regexp_matches(link, '^[A-Za-z][A-Za-z0-9+.-]*:') THEN link WHEN starts_with(link, '/') THEN regexp_extract(src, '^[^:]+://[^/?#]*') || link ELSE link END AS dst FROM (
     SELECT url AS src, replace(unnest(list_concat(regexp_extract_all(html, '(?is)<a\b[^>]*?\bhref\s*=\s*["'']([^"'']+)["'']', 1), regexp_extract_all(html, '["''](https?://[^"'']+)["'']', 1))), '&amp;', '&') AS link FROM pages))"""
+
+
+def _main(page: str, more: str = "page_id") -> str:
+    """Rows (page_id, t): the main text of `page`, an expression over pages."""
+    return rf"""(SELECT page_id, CASE WHEN length({_plain('a')}) >= 200 THEN {_plain('a')} WHEN b <> '' THEN {_plain('b')} ELSE {_plain('h')} END AS t FROM (
+      SELECT page_id, h, regexp_extract(h, '(?is)<article\b[^>]*>(.*?)</article\s*>', 1) AS a, regexp_replace(regexp_extract(h, '(?is)<body\b[^>]*>(.*)', 1), '(?is)</body\s*>.*$', '') AS b FROM (SELECT page_id, {_clean(page)} AS h FROM pages)))"""
+
+
+def packed(rows: str, keys: str, x: str = "x") -> str:
+    """CTEs w, f: chunk number `c` of each unit of `rows` (keys, x list of units)."""
+    on = " AND ".join(f"w.{k} = f.{k}" for k in keys.split(", "))
+    own = ", ".join(f"w.{k}" for k in keys.split(", "))
+    return f"""u AS ({rows}), w AS (SELECT {keys}, i, x, length(x) AS n, {heading('x')} AS h FROM (SELECT {keys}, unnest(x) AS x, unnest(range(1, len(x) + 1)) AS i FROM u)),
+      f AS (SELECT {keys}, i, 1 AS c, n + CASE WHEN h THEN 1 ELSE 0 END AS total FROM w WHERE i = 1
+        UNION ALL SELECT {own}, w.i, CASE WHEN w.h OR f.total + w.n + 1 > 300 THEN f.c + 1 ELSE f.c END,
+          CASE WHEN w.h THEN w.n + 1 WHEN f.total + w.n + 1 > 300 THEN w.n ELSE f.total + w.n + 1 END FROM f JOIN w ON {on} AND w.i = f.i + 1)"""
+
+
+ORACLES["nfkc_forms"] = f"""SELECT doc_id, length(t) AS n, md5(t) AS digest FROM (SELECT doc_id, {norm("text || ' ' || " + "CASE doc_id % " + str(len(FORMS)) + " " + " ".join(f"WHEN {k} THEN {q(x)}" for k, (_, x) in enumerate(FORMS)) + " END")} AS t FROM {_DOCS})"""
+
+_PAGED = f"""SELECT doc_id, page, {units(norm('t'))} AS x FROM (SELECT doc_id, unnest([text, left(text, 14), {q(PAGES[0])}, {q(PAGES[1].strip())} || chr(10) || text]) AS t, unnest([1, 2, 3, 4]) AS page FROM {_DOCS})
+      WHERE length({strip('t')}) >= 15 AND len(regexp_extract_all({norm('t')}, '[ء-ي]')) >= 10"""
+ORACLES["page_chunks"] = f"""WITH RECURSIVE {packed(_PAGED, 'doc_id, page')}
+      SELECT 'book-' || doc_id || '_page_' || page || '_chunk_' || c AS id, CAST(page AS BIGINT) AS page, CAST(c AS BIGINT) AS chunk, 'book-' || doc_id AS source, length(t) AS n, md5(t) AS digest
+      FROM (SELECT doc_id, page, c, string_agg(x, ' ' ORDER BY i) AS t FROM f JOIN w USING (doc_id, page, i) GROUP BY doc_id, page, c)"""
+
+_SHORT = '<body><div class="a main-text">short</div>'
+ORACLES["html_selected_text"] = f"""SELECT page_id, length(t) AS n, md5(t) AS digest FROM (
+  SELECT page_id, CASE WHEN page_id % 3 = 0 THEN {q(MAIN.strip())} ELSE t END AS t FROM {_main(f"CASE WHEN page_id % 3 = 1 THEN replace(html, '<body>', {q(_SHORT)}) ELSE html END")})"""
+
+ORACLES["page_script_links"] = "SELECT url AS src, regexp_extract(url, '^[^:]+://[^/?#]*') || '/scripts/page-' || page_id || '.aspx?a=1' AS dst FROM pages"
+
+_LINKED = lambda a, b: f"(i.page_id * {a} + {b}) % n"
+ORACLES["crawl_pages"] = f"""WITH RECURSIVE n AS (SELECT count(*) AS n FROM pages), t AS MATERIALIZED (SELECT page_id, {norm('t')} AS t FROM {_main('html')}),
+  e AS (SELECT i.page_id AS src, {_LINKED(7, 1)} AS dst FROM pages i, n WHERE i.page_id % 11 <> 10 AND i.page_id % 13 <> 5 UNION SELECT i.page_id, {_LINKED(3, 2)} FROM pages i, n WHERE i.page_id % 11 <> 10 AND i.page_id % 13 <> 5),
+  r AS (SELECT CAST(0 AS BIGINT) AS node, CAST(0 AS BIGINT) AS depth UNION SELECT e.dst, r.depth + 1 FROM r JOIN e ON e.src = r.node WHERE r.depth < 60),
+  d AS (SELECT node, min(depth) AS depth FROM r GROUP BY node)
+  SELECT {CRAWL_URL.format(id='node')} AS url, depth, CASE WHEN node % 11 <> 10 THEN length(t) END AS n FROM d JOIN t ON t.page_id = d.node WHERE node % 11 = 10 OR (node % 13 <> 5 AND t <> '')"""
+
+_LETTERS = "[" + ", ".join(f"CAST(length(content) - length(translate(content, '{c}{c.upper()}', '')) AS DOUBLE)" for c in LATIN) + "]"
+ORACLES["store_and_search"] = f"""WITH s AS MATERIALIZED (SELECT doc_id, {_LETTERS} AS x FROM (SELECT doc_id, CASE WHEN doc_id % 10 = 3 THEN ' ' ELSE text END AS content FROM documents) WHERE trim(content) <> ''),
+  n AS (SELECT a.doc_id AS qid, 'd' || b.doc_id AS id, round(list_cosine_similarity(a.x, b.x), 6) AS similarity FROM s a, s b WHERE a.doc_id % 50 = 0 AND list_sum(a.x) > 0 AND list_sum(b.x) > 0)
+  SELECT qid, id, pos, similarity, (SELECT count(*) FROM s) AS stored FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY similarity DESC, id) AS pos FROM n) WHERE pos <= 5"""
+
+_FULL = f"answer || chr(10) || chr(10) || {_HEAD} || chr(10) || '- ملف PDF: ' || src || ' [1]' || chr(10)"
+ORACLES["answer_questions"] = f"""WITH r AS MATERIALIZED (SELECT * FROM {_RETRIEVED} WHERE qid % 40 = 0),
+  first AS (SELECT qid, src, {strip(strip("regexp_extract(content, '^(.{0,200})', 1)") + " || ' [1]'")} AS answer FROM r WHERE rank = 1),
+  refs AS (SELECT qid, string_agg(ref, ';' ORDER BY m) AS sources FROM (SELECT qid, 'PDF:' || src || ':p' || page AS ref, min(rank) AS m FROM r GROUP BY ALL) GROUP BY qid)
+  SELECT v.vec_id AS qid, md5(coalesce({_FULL}, {q(PHRASES.refusal)})) AS full_md5, md5(coalesce(answer, {q(PHRASES.refusal)})) AS answer_md5,
+    md5(CASE WHEN answer IS NULL THEN '' ELSE {_HEAD} || chr(10) || '- ملف PDF: ' || src || ' [1]' END) AS sources_md5, (SELECT count(*) FROM r WHERE r.qid = v.vec_id) AS n_contexts, coalesce(sources, '') AS sources, true AS ok
+  FROM embeddings v JOIN documents d ON d.doc_id = v.vec_id LEFT JOIN first ON first.qid = v.vec_id LEFT JOIN refs ON refs.qid = v.vec_id WHERE v.vec_id % 20 = 0"""
+
+ORACLES["console_report"] = f"SELECT qid, rank, score, src AS source, md5(left(content, 400)) AS text_md5 FROM {_RETRIEVED} WHERE rank <= 5"
+
+_JUDGED = f"""(SELECT *, qid % 5 <> 0 AND qid % 7 <> 0 AS judged, len(ids) > 0 AND len(list_filter(ids, lambda x: x < 1 OR x > n)) = 0 AS citation_valid, abstained = (qid % 2 = 0) AS abstention_correct
+  FROM (SELECT *, {_IDS} AS ids, {_ABSTAIN} AS abstained FROM (SELECT conv_id AS qid, CASE WHEN conv_id % 4 = 3 THEN {q(PHRASES.no_results)} ELSE arg_min(answer, turn) END AS answer, CASE WHEN conv_id % 4 = 3 THEN 0 ELSE 1 END AS n FROM {_ANSWERS} GROUP BY conv_id)))"""
+ORACLES["judged_report"] = f"""SELECT qid, abstained, abstention_correct, n = 1 AS used_gold_source, CASE WHEN n = 1 THEN 's' ELSE '' END AS retrieved_sources, citation_valid, CASE WHEN judged THEN CAST(qid % 6 AS DOUBLE) END AS faithfulness_score,
+  CASE WHEN judged THEN qid % 2 = 0 END AS faithfulness_passed, CASE WHEN judged THEN CASE qid % 3 WHEN 0 THEN '' WHEN 1 THEN 'a' ELSE 'a | b' END END AS unsupported_claims, CASE WHEN judged THEN CAST(qid % 4 AS DOUBLE) END AS correctness_score,
+  CASE WHEN judged THEN qid % 3 = 0 END AS critical_error, CASE WHEN judged THEN 'F:f | R:r | C:c | L:l' END AS judge_notes, CASE WHEN qid % 5 = 0 THEN 'judge is busy' WHEN qid % 7 = 0 THEN 'verdict lacks fluency' ELSE '' END AS judge_error, md5(answer) AS answer_md5 FROM {_JUDGED}"""
+ORACLES["judged_summary"] = f"""SELECT count(*) AS n_total, count(*) FILTER (judged) AS n_scored, round(avg(CAST(citation_valid AS DOUBLE)), 6) AS citation_valid_rate, round(avg(CAST(abstention_correct AS DOUBLE)), 6) AS abstention_accuracy,
+  round(avg(CAST(n = 1 AS DOUBLE)) FILTER (judged), 6) AS gold_source_covered_rate, round(avg(CAST(qid % 2 = 0 AS DOUBLE)) FILTER (judged), 6) AS faithfulness_pass_rate, round(avg(CAST(qid % 6 AS DOUBLE)) FILTER (judged), 6) AS avg_faithfulness,
+  4.0::DOUBLE AS avg_relevance, round(avg(CAST(qid % 4 AS DOUBLE)) FILTER (judged), 6) AS avg_correctness, round(avg(CAST(qid % 3 = 0 AS DOUBLE)) FILTER (judged), 6) AS critical_error_rate, 5.0::DOUBLE AS avg_fluency FROM {_JUDGED}"""

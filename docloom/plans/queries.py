@@ -6,9 +6,12 @@ operators run.  What the tables lack (citations, headings, refusals) is appended
 
 from __future__ import annotations
 
-import tempfile
+import json
+import re
+import uuid
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,9 +24,11 @@ from docloom.functions.chunk import chunks
 from docloom.operators import answer as A
 from docloom.operators import evaluate as E
 from docloom.operators import retrieve as R
-from docloom.operators.crawl import bfs_levels
-from docloom.plugins import FixedJudge, OverlapReranker
-from docloom.sources import jsonl
+from docloom.operators.crawl import bfs_levels, crawl
+from docloom.operators.persist import checkpointed, shared_folder
+from docloom.plugins import FirstContextLLM, FixedJudge, FormFeedText, OverlapReranker
+from docloom.sources import documents as D
+from docloom.sources import jsonl, store
 from docloom.sources.documents import METADATA
 
 LATIN, ARABIC = "abcdefghijklmnopqrstuvwxyz", "ابتثجحخدذرزسشصضطظعغفقكلمنه"
@@ -125,8 +130,7 @@ def crawl_bfs_levels(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def jsonl_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
-    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="docloom-jsonl-")
-    path = f"{shared}/labels-{spark.sparkContext.applicationId}.jsonl"
+    path = f"{shared_folder(spark)}/labels-{uuid.uuid4().hex}.jsonl"
     jsonl.write(table(spark, sf, "labels"), path)
     return jsonl.read(spark, path, "doc_id long, quality int, toxic int")
 
@@ -319,6 +323,133 @@ def judge_parse(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("k", F.col("p.verdict.faithfulness.score").alias("score"), (F.col("p.error") == "").alias("ok"))
 
 
+#: Texts in presentation or compatibility forms, and the same composed.
+FORMS = (("ﻻ", "لا"), ("ﺍﻟﻌﺮﺑﻴﺔ", "العربية"), ("①", "1"), ("ﷲ", "الله"), ("ﺀ", "ء"), ("ﬁ", "fi"), ("Ａ１", "A1"), ("㎏", "kg"), ("\u00a0،", " ،"))
+
+
+def nfkc_forms(spark: SparkSession, sf: str) -> DataFrame:
+    form = F.element_at(F.array(*[F.lit(x) for x, _ in FORMS]), (F.col("doc_id") % len(FORMS) + 1).cast("int"))
+    rows = documents(spark, sf).select("doc_id", T.normalize(F.concat("text", F.lit(" "), form)).alias("t"))
+    return rows.select("doc_id", F.length("t").cast("long").alias("n"), F.md5("t").alias("digest"))
+
+
+PAGES = ("latin only page text", "مقدمة عامة\n")
+
+
+def page_chunks(spark: SparkSession, sf: str) -> DataFrame:
+    """Each document as a file of four pages: itself, its first characters, no Arabic, and itself under a heading."""
+    pages = F.concat_ws("\f", "text", F.left("text", F.lit(14)), F.lit(PAGES[0]), F.concat(F.lit(PAGES[1]), "text"))
+    files = documents(spark, sf).select(F.concat(F.lit("in/book-"), "doc_id", F.lit(".pdf")).alias("path"), F.encode(pages, "UTF-8").alias("content"))
+    rows = D.chunk_files(files, FormFeedText())
+    return rows.select("id", F.col("page_number").cast("long").alias("page"), F.col("chunk_index").cast("long").alias("chunk"), F.col("metadata.source").alias("source"), F.length("content").cast("long").alias("n"), F.md5("content").alias("digest"))
+
+
+MAIN = "main part " * 30
+
+
+def html_selected_text(spark: SparkSession, sf: str) -> DataFrame:
+    """The tree path: a third of the pages has a long node of the first selector, a third a short one of the second."""
+    k = F.col("page_id") % 3
+    node = F.when(k == 0, f'<body><section id="PageContent"><p>{MAIN}</p></section>').when(k == 1, '<body><div class="a main-text">short</div>').otherwise("<body>")
+    rows = table(spark, sf, "pages").select("page_id", F.replace("html", F.lit("<body>"), node).alias("html"))
+    rows = rows.select("page_id", H.main_text_exact(F.col("html")).alias("t"))
+    return rows.select("page_id", F.length("t").cast("long").alias("n"), F.md5("t").alias("digest"))
+
+
+def page_script_links(spark: SparkSession, sf: str) -> DataFrame:
+    """Links to script paths, which count in any case."""
+    script = F.concat(F.lit("<script>go('/Scripts/Page-"), "page_id", F.lit(".ASPX?A=1')</script>"))
+    site = Site(domain=SITE.domain, section="/", script_paths=("/scripts/",))
+    rows = H.page_links(table(spark, sf, "pages").select("url", F.concat("html", script).alias("html")), site=site, internal_only=False)
+    return rows.where("dst like '%.aspx%'")
+
+
+CRAWLED = Site(domain="site.example.org", section="/p/", language_prefixes=(), excluded_prefixes=())
+CRAWL_URL = "'https://site.example.org/p/' || {id} || CASE WHEN {id} % 11 = 10 THEN '.pdf' ELSE '' END"
+
+
+def crawl_pages(spark: SparkSession, sf: str) -> DataFrame:
+    """The pages as one site: each links to two others; some are documents, some images, and other links lead nowhere."""
+    pages = table(spark, sf, "pages")
+    n = pages.count()
+    link = lambda a, b: F.concat(F.lit("<a href='"), F.expr(CRAWL_URL.format(id=f"((page_id * {a} + {b}) % {n})")), F.lit("#top'>x</a>"))
+    kind = F.when(F.col("page_id") % 13 == 5, "image/png").otherwise("Text/HTML; charset=utf-8")
+    held = pages.select(F.expr(CRAWL_URL.format(id="page_id")).alias("url"), kind.alias("content_type"), F.encode(F.concat("html", link(7, 1), link(3, 2)), "UTF-8").alias("body"))
+    seeds = spark.createDataFrame([("https://site.example.org/p/0#here",)], "url string")
+    found, files = crawl(seeds, held, CRAWLED, max_pages=1 << 30)
+    found = found.select("url", F.col("depth").cast("long").alias("depth"), F.length("text").cast("long").alias("n"))
+    return found.union(files.select("url", F.col("depth").cast("long"), F.lit(None).cast("long")))
+
+
+class LetterEmbedder:
+    """How often each letter occurs: simple enough for SQL."""
+
+    dimension = 26
+
+    def embed(self, texts: list[str], task: str) -> np.ndarray:
+        return np.array([[t.count(c) + t.count(c.upper()) for c in LATIN] for t in texts], np.float32).reshape(-1, 26)
+
+
+def store_and_search(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents are embedded and stored, half of them twice; what the table then holds is searched."""
+    docs = table(spark, sf, "documents").select(F.col("doc_id"), F.when(F.col("doc_id") % 10 == 3, " ").otherwise(F.col("text")).alias("content"))
+    meta = D.metadata("PDF_page", F.lit("s"), F.col("doc_id") % 9)
+    chunks = docs.select(F.concat(F.lit("d"), "doc_id").alias("id"), "content", meta.alias("metadata"), "doc_id")
+    name = f"collection_{uuid.uuid4().hex}"
+    store.create(spark, name, f"{shared_folder(spark)}/{name}")
+    try:
+        store.add(chunks.where("doc_id % 2 = 0"), name, LetterEmbedder())
+        store.add(chunks, name, LetterEmbedder())
+        asked = docs.where("doc_id % 50 = 0").select(F.col("doc_id").alias("qid"), store.embed_column(LetterEmbedder(), "retrieval.query", F.col("content")).alias("embedding"))
+        near = R.nearest(asked, spark.table(name), 5)
+        return checkpointed(near.select("qid", "id", F.col("pos").cast("long").alias("pos"), "similarity", F.lit(spark.table(name).count()).alias("stored")))
+    finally:
+        spark.sql(f"DROP TABLE {name}")
+
+
+def answer_questions(spark: SparkSession, sf: str) -> DataFrame:
+    """Every second question has results and is answered from them, the others are refused."""
+    v, d = _vectors(spark, sf), table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text")
+    questions = v.where("id % 20 = 0").join(d, "id").select(F.col("id").alias("qid"), F.col("text").alias("question"))
+    got = A.answer_questions(questions, _retrieved(spark, sf).where("qid % 40 = 0"), FirstContextLLM())
+    return got.select("qid", F.md5("full_answer").alias("full_md5"), F.md5("answer").alias("answer_md5"), F.md5("sources_text").alias("sources_md5"), F.size("contexts").cast("long").alias("n_contexts"), F.array_join("sources", ";").alias("sources"), F.col("error").isNull().alias("ok"))
+
+
+def console_report(spark: SparkSession, sf: str) -> DataFrame:
+    rows = A.top_report(_retrieved(spark, sf))
+    return rows.select("qid", F.col("rank").cast("long").alias("rank"), "score", "source", F.md5("text").alias("text_md5"))
+
+
+class UnreliableJudge:
+    """Fails, or leaves out a part, for some questions; the other verdicts differ by question."""
+
+    def complete(self, prompt: str) -> str:
+        k = int(re.search(r"why (\d+)\?", prompt)[1])
+        if k % 5 == 0:
+            raise ValueError("judge is busy")
+        parts = {"faithfulness": {"score": k % 6, "passed": k % 2 == 0, "unsupported_claims": ["a", "b"][: k % 3], "notes": "f"}, "relevance": {"score": 4, "notes": "r"}, "correctness": {"score": k % 4, "critical_error": k % 3 == 0, "notes": "c"}, "fluency": {"score": 5, "notes": "l"}}
+        return json.dumps({k2: x for k2, x in parts.items() if k % 7 or k2 != "fluency"})
+
+
+def _judged(spark: SparkSession, sf: str) -> DataFrame:
+    """A sheet of all conversations, of which every fourth has no answer."""
+    answers = _answers(spark, sf).groupBy("conv_id").agg(F.min_by("answer", "turn").alias("answer"))
+    k = F.col("conv_id")
+    sheet = answers.select(k.alias("qid"), F.concat(F.lit("why "), k, F.lit("?")).alias("question"), (k % 2).cast("int").alias("answerable"), F.lit("s").alias("reference"))
+    answered = answers.where(k % 4 != 3).select(k.alias("qid"), "answer", F.array(F.lit("x")).alias("contexts"), F.array(F.lit("s")).alias("sources"))
+    return E.generation_report(sheet, answered, UnreliableJudge(), tries=2, pause=0.0)
+
+
+def judged_report(spark: SparkSession, sf: str) -> DataFrame:
+    kept = ("qid", "abstained", "abstention_correct", "used_gold_source", "retrieved_sources", "citation_valid", "faithfulness_score", "faithfulness_passed", "unsupported_claims", "correctness_score", "critical_error", "judge_notes", "judge_error")
+    return _judged(spark, sf).select(*kept, F.md5("answer").alias("answer_md5"))
+
+
+def judged_summary(spark: SparkSession, sf: str) -> DataFrame:
+    got = E.generation_summary(_judged(spark, sf))
+    return got.select(*[c if c.startswith("n_") else F.round(c, 6).alias(c) for c in got.columns])
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -326,5 +457,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         valid_internal_urls, page_uids, html_main_text, page_links, crawl_bfs_levels, jsonl_roundtrip, nonblank_batches, vector_topk, vector_topk_batch,
         dedupe_keep_first, rerank_topk, confidence_gate, retrieve_pipeline, citation_ids, citation_validity, abstain_flag, answer_split, source_labels,
         references, context_assembly, parse_gold, annotation_pool, gold_sets, hit_mrr_at_3, retrieval_summary, generation_report, generation_summary, judge_parse,
+        nfkc_forms, page_chunks, html_selected_text, page_script_links, crawl_pages, store_and_search, answer_questions, console_report, judged_report, judged_summary,
     )
 }

@@ -199,3 +199,62 @@ def test_chat_stream_equals_batch(spark, tmp_path):
 def test_chunk_plan_has_no_python(spark):
     plan = QUERIES["chunk_documents"](spark, DATA)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("EvalPython|ArrowEval|MapIn", plan) and "Exchange" not in plan
+
+
+def test_backlog_is_discarded(spark, tmp_path):
+    import os
+    from datetime import datetime, timedelta
+
+    for k in range(2):
+        spark.createDataFrame([(k, 0, "user", f"message {k}")], chat.MESSAGES).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        if not k:
+            for old in (tmp_path / "in").glob("part*"):
+                os.utime(old, (1_000_000_000, 1_000_000_000))
+    got: list[int] = []
+    stream = chat.read_messages(spark, str(tmp_path / "in"), since=datetime.now() - timedelta(hours=1))
+    stream.writeStream.foreachBatch(lambda batch, _: got.extend(r["conv_id"] for r in batch.collect())).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination()
+    assert got == [1]
+
+
+def test_nearest_with_other_ids_and_lengths(spark):
+    rows = [("2024-01-01", [1.0, 0.0]), ("2024-01-02", [0.0, 1.0]), ("2024-01-03", [1.0]), ("2024-01-04", []), ("2024-01-05", [2.0, 0.0])]
+    v = spark.createDataFrame(rows, "id string, embedding array<double>").withColumn("id", F.to_date("id"))
+    queries = spark.createDataFrame([(1.5, [1.0, 0.0]), (2.5, [3.0]), (3.5, [])], "qid double, embedding array<double>")
+    got = [(r["qid"], str(r["id"]), r["pos"]) for r in R.nearest(queries, v, 2).orderBy("qid", "pos").collect()]
+    assert got == [(1.5, "2024-01-01", 1), (1.5, "2024-01-05", 2), (2.5, "2024-01-03", 1)]
+
+
+def test_unanswered_questions_are_reported(spark):
+    sheet = spark.createDataFrame([("1", "q", 0, "s"), ("2", "q", 1, "s")], sheets.EVALUATION)
+    answered = spark.createDataFrame([("2", "x [1]", ["c"], ["s"])], "qid string, answer string, contexts array<string>, sources array<string>")
+    got = {r["qid"]: r for r in E.generation_report(sheet, answered, FixedJudge()).collect()}
+    assert got["1"]["answer"] == PHRASES.no_results and got["1"]["abstention_correct"] and not got["1"]["used_gold_source"]
+
+
+def test_evaluation_answers_with_its_own_refusal(spark):
+    meta = f"struct<{META.replace(' ', ':').replace(',:', ',')}>"
+    e = HashingEmbedder()
+    collection = spark.createDataFrame([("a", "red apples", e.embed(["red apples"], "p")[0].tolist(), pdf("a", 1))], f"id string, content string, embedding array<float>, metadata {meta}")
+    questions = spark.createDataFrame([("q", "red apples?")], "qid string, question string")
+    ask = lambda c: E.run_rag(questions, c, e, OverlapReranker(), FirstContextLLM()).first()["answer"]
+    assert ask(collection) == "red apples [1]" and ask(collection.limit(0)) == PHRASES.no_results
+
+
+def test_pages_in_other_character_sets(spark):
+    rows = [("é".encode("latin-1"), "text/html; charset=ISO-8859-1"), ('<meta charset="windows-1256">'.encode() + "سلام".encode("cp1256"), "text/html"), ("é".encode(), None), (b"x", "text/html; charset=none-such"), (None, None)]
+    got = [r[0] for r in spark.createDataFrame(rows, "b binary, t string").select(documents.decoded(F.col("b"), F.col("t"))).collect()]
+    assert got[0] == got[2] == "é" and got[1].endswith("سلام") and got[3:] == ["x", None]
+
+
+def test_composed_forms_are_nfkc():
+    import unicodedata
+
+    from docloom.plans.queries import FORMS
+
+    assert all(unicodedata.normalize("NFKC", a) == b for a, b in FORMS)
+
+
+def test_digits_of_any_script_are_citations(spark):
+    from docloom.functions.citations import citation_ids
+
+    assert spark.createDataFrame([("[᠓] [৪] [1٢]",)], "a string").select(citation_ids(F.col("a"))).first()[0] == [3, 4, 12]
