@@ -12,8 +12,8 @@ from docloom.functions.html import main_text_exact, page_links
 from docloom.functions.text import normalize
 from docloom.functions.urls import canonical, is_html, is_pdf
 from docloom.operators.persist import checkpointed
-from docloom.plugins import Fetcher
-from docloom.sources.documents import decoded, fetch
+from docloom.plugins import Fetcher, PageTextExtractor
+from docloom.sources.documents import chunk_remote_documents, decoded, fetch, web_rows
 
 
 def bfs_levels(edges: DataFrame, seeds: DataFrame, max_depth: int | None = None) -> DataFrame:
@@ -52,3 +52,9 @@ def crawl(seeds: DataFrame, fetcher: Fetcher | DataFrame, site: Site = SITE, max
         depth += 1
     text = normalize(main_text_exact(F.col("html"), site))
     return pages.select("url", "depth", text.alias("text")).where("text <> ''"), reduce(DataFrame.union, seen).where(is_pdf(F.col("url")))
+
+
+def crawl_documents(seeds: DataFrame, fetcher: Fetcher | DataFrame, extractor: PageTextExtractor, site: Site = SITE, site_name: str = "", max_pages: int = 1500, delay: float = 0.0) -> DataFrame:
+    """What a crawl gives a collection: one row for each web page with text, and the chunks of the PDFs that it met."""
+    pages, files = crawl(seeds, fetcher, site, max_pages, delay)
+    return web_rows(pages, site_name or site.domain).unionByName(chunk_remote_documents(files.select("url"), fetcher, extractor))

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from docloom.config import HEADING_WORDS, NOISE_ELEMENTS, PHRASES
-from docloom.plans.queries import ARABIC, CELLS, CRAWL_URL, FORMS, LATIN, MAIN, PAGES, VERDICTS
+from docloom.plans.queries import ARABIC, CELLS, CRAWL_URL, FORMS, LATIN, MAIN, PAGES, PDF_TEXT, VERDICTS
 
 _KEEP = r"[^0-9\x{0600}-\x{06FF}\s.,!?/-]"
 
@@ -221,11 +221,15 @@ ORACLES["html_selected_text"] = f"""SELECT page_id, length(t) AS n, md5(t) AS di
 ORACLES["page_script_links"] = "SELECT url AS src, regexp_extract(url, '^[^:]+://[^/?#]*') || '/scripts/page-' || page_id || '.aspx?a=1' AS dst FROM pages"
 
 _LINKED = lambda a, b: f"(i.page_id * {a} + {b}) % n"
-ORACLES["crawl_pages"] = f"""WITH RECURSIVE n AS (SELECT count(*) AS n FROM pages), t AS MATERIALIZED (SELECT page_id, {norm('t')} AS t FROM {_main('html')}),
+_CRAWL = f"""WITH RECURSIVE n AS (SELECT count(*) AS n FROM pages), t AS MATERIALIZED (SELECT page_id, {norm('t')} AS t FROM {_main('html')}),
   e AS (SELECT i.page_id AS src, {_LINKED(7, 1)} AS dst FROM pages i, n WHERE i.page_id % 11 <> 10 AND i.page_id % 13 <> 5 UNION SELECT i.page_id, {_LINKED(3, 2)} FROM pages i, n WHERE i.page_id % 11 <> 10 AND i.page_id % 13 <> 5),
   r AS (SELECT CAST(0 AS BIGINT) AS node, CAST(0 AS BIGINT) AS depth UNION SELECT e.dst, r.depth + 1 FROM r JOIN e ON e.src = r.node WHERE r.depth < 60),
-  d AS (SELECT node, min(depth) AS depth FROM r GROUP BY node)
-  SELECT {CRAWL_URL.format(id='node')} AS url, depth, CASE WHEN node % 11 <> 10 THEN length(t) END AS n FROM d JOIN t ON t.page_id = d.node WHERE node % 11 = 10 OR (node % 13 <> 5 AND t <> '')"""
+  d AS (SELECT node, min(depth) AS depth FROM r GROUP BY node),
+  found AS (SELECT {CRAWL_URL.format(id='node')} AS url, node, depth, t FROM d JOIN t ON t.page_id = d.node WHERE node % 11 = 10 OR (node % 13 <> 5 AND t <> ''))"""
+ORACLES["crawl_pages"] = f"{_CRAWL} SELECT url, depth, CASE WHEN node % 11 <> 10 THEN length(t) END AS n FROM found"
+ORACLES["crawl_collection"] = f"""{_CRAWL} SELECT left(sha1(CASE WHEN node % 11 = 10 THEN url || '_pdf_1_chunk_1' ELSE url END), 12) AS id, CASE WHEN node % 11 = 10 THEN 'PDF_page' ELSE 'web_page' END AS type,
+  CASE WHEN node % 11 = 10 THEN CAST(node AS VARCHAR) ELSE 'site' END AS source, CASE WHEN node % 11 = 10 THEN CAST(1 AS BIGINT) END AS page, CASE WHEN node % 11 = 10 THEN CAST(1 AS BIGINT) END AS chunk, url AS page_url,
+  md5(CASE WHEN node % 11 = 10 THEN {q(PDF_TEXT.replace('.', ''))} || node ELSE t END) AS digest FROM found"""
 
 _LETTERS = "[" + ", ".join(f"CAST(length(content) - length(translate(content, '{c}{c.upper()}', '')) AS DOUBLE)" for c in LATIN) + "]"
 ORACLES["store_and_search"] = f"""WITH s AS MATERIALIZED (SELECT doc_id, {_LETTERS} AS x FROM (SELECT doc_id, CASE WHEN doc_id % 10 = 3 THEN ' ' ELSE text END AS content FROM documents) WHERE trim(content) <> ''),

@@ -24,7 +24,7 @@ from docloom.functions.chunk import chunks
 from docloom.operators import answer as A
 from docloom.operators import evaluate as E
 from docloom.operators import retrieve as R
-from docloom.operators.crawl import bfs_levels, crawl
+from docloom.operators.crawl import bfs_levels, crawl, crawl_documents
 from docloom.operators.persist import checkpointed, shared_folder
 from docloom.plugins import FirstContextLLM, FixedJudge, FormFeedText, OverlapReranker
 from docloom.sources import documents as D
@@ -368,19 +368,33 @@ CRAWLED = Site(domain="site.example.org", section="/p/", language_prefixes=(), e
 CRAWL_URL = "'https://site.example.org/p/' || {id} || CASE WHEN {id} % 11 = 10 THEN '.pdf' ELSE '' END"
 
 
-def crawl_pages(spark: SparkSession, sf: str) -> DataFrame:
-    """The pages as one site: each links to two others; some are documents, some images, and other links lead nowhere."""
+PDF_TEXT = "نص عربي طويل بما يكفي. ملف رقم "
+
+
+def _site(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """Seeds, and the pages as one site: each links to two others; some are documents, some images, and other links lead nowhere."""
     pages = table(spark, sf, "pages")
     n = pages.count()
     link = lambda a, b: F.concat(F.lit("<a href='"), F.expr(CRAWL_URL.format(id=f"((page_id * {a} + {b}) % {n})")), F.lit("#top'>x</a>"))
     kind = F.when(F.col("page_id") % 13 == 5, "image/png").otherwise("Text/HTML; charset=utf-8")
-    held = pages.select(F.expr(CRAWL_URL.format(id="page_id")).alias("url"), kind.alias("content_type"), F.encode(F.concat("html", link(7, 1), link(3, 2)), "UTF-8").alias("body"))
-    seeds = spark.createDataFrame([("https://site.example.org/p/0#here",)], "url string")
-    found, files = crawl(seeds, held, CRAWLED, max_pages=1 << 30)
+    body = F.when(F.col("page_id") % 11 == 10, F.concat(F.lit(PDF_TEXT), "page_id")).otherwise(F.concat("html", link(7, 1), link(3, 2)))
+    held = pages.select(F.expr(CRAWL_URL.format(id="page_id")).alias("url"), kind.alias("content_type"), F.encode(body, "UTF-8").alias("body"))
+    return spark.createDataFrame([("https://site.example.org/p/0#here",)], "url string"), held
+
+
+def crawl_pages(spark: SparkSession, sf: str) -> DataFrame:
+    found, files = crawl(*_site(spark, sf), CRAWLED, max_pages=1 << 30)
     found = found.select("url", F.col("depth").cast("long").alias("depth"), F.length("text").cast("long").alias("n"))
     return found.union(files.select("url", F.col("depth").cast("long"), F.lit(None).cast("long")))
 
 
+def crawl_collection(spark: SparkSession, sf: str) -> DataFrame:
+    """The rows that the same crawl gives a collection, documents read in place."""
+    rows = crawl_documents(*_site(spark, sf), FormFeedText(), CRAWLED, "site", max_pages=1 << 30)
+    m = F.col("metadata")
+    return rows.select("id", m["type"].alias("type"), m["source"].alias("source"), m["page"].cast("long").alias("page"), m["chunk"].cast("long").alias("chunk"), m["page_url"].alias("page_url"), F.md5("content").alias("digest"))
+
+
 class LetterEmbedder:
     """How often each letter occurs: simple enough for SQL."""
 
@@ -457,6 +471,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         valid_internal_urls, page_uids, html_main_text, page_links, crawl_bfs_levels, jsonl_roundtrip, nonblank_batches, vector_topk, vector_topk_batch,
         dedupe_keep_first, rerank_topk, confidence_gate, retrieve_pipeline, citation_ids, citation_validity, abstain_flag, answer_split, source_labels,
         references, context_assembly, parse_gold, annotation_pool, gold_sets, hit_mrr_at_3, retrieval_summary, generation_report, generation_summary, judge_parse,
-        nfkc_forms, page_chunks, html_selected_text, page_script_links, crawl_pages, store_and_search, answer_questions, console_report, judged_report, judged_summary,
+        nfkc_forms, page_chunks, html_selected_text, page_script_links, crawl_pages, crawl_collection, store_and_search, answer_questions, console_report, judged_report, judged_summary,
     )
 }

@@ -5,7 +5,8 @@ from __future__ import annotations
 import hashlib
 import json
 import re
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
+from functools import cache
 from typing import NamedTuple, Protocol
 
 import numpy as np
@@ -47,6 +48,26 @@ class PageTextExtractor(Protocol):
     def ocr(self, content: bytes, page: int) -> str: ...
 
 
+@cache
+def _made(make: Callable, args: tuple):
+    return make(*args)
+
+
+class PerWorker:
+    """A plug-in that isn't sent to the tasks: each worker makes its own on first use and keeps it, as a loaded model.
+
+    `make` is a class or function that a worker can import, `args` are hashable.
+    """
+
+    def __init__(self, make: Callable, *args):
+        self.make, self.args = make, args
+
+    def __getattr__(self, name: str):
+        if name.startswith("__") or name in ("make", "args"):
+            raise AttributeError(name)
+        return getattr(_made(self.make, self.args), name)
+
+
 class HashingEmbedder:
     """Signed feature hashing of words, unit length; queries and passages alike."""
 

@@ -258,3 +258,23 @@ def test_digits_of_any_script_are_citations(spark):
     from docloom.functions.citations import citation_ids
 
     assert spark.createDataFrame([("[᠓] [৪] [1٢]",)], "a string").select(citation_ids(F.col("a"))).first()[0] == [3, 4, 12]
+
+
+class Counted:
+    made = 0
+
+    def __init__(self, dimension: int):
+        Counted.made += 1
+        self.dimension = dimension
+
+    def embed(self, texts, task):
+        return HashingEmbedder(self.dimension).embed(texts, task)
+
+
+def test_models_are_made_once_and_not_sent():
+    import pickle
+
+    from docloom.plugins import PerWorker
+
+    one, two = (pickle.loads(pickle.dumps(PerWorker(Counted, 8))) for _ in range(2))
+    assert len(one.embed(["a"], "p")[0]) == two.dimension == 8 and Counted.made == 1
