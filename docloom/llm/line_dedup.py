@@ -153,14 +153,25 @@ _CUT = pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), ("lines", pa.list
 
 
 def _blocks(min_chars: int):
-    def run(arrow: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def rows() -> Iterator[tuple]:
-            for doc_id, key, text in records(arrow):
-                own = least_blocks(text or "", min_chars)
-                if len(own[0]):
-                    yield doc_id, key, *[x.tolist() for x in own]
+    def batch(held: list[tuple]) -> pa.RecordBatch:
+        ids, keys, *parts = zip(*held)
+        starts = pa.array(np.cumsum([0, *map(len, parts[0])]), pa.int32())
+        lists = [pa.ListArray.from_arrays(starts, pa.array(np.concatenate(x), f.type.value_type)) for x, f in zip(parts, list(_BLOCKS)[2:])]
+        return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(keys, pa.int64()), *lists], schema=_BLOCKS)
 
-        yield from batches(rows(), _BLOCKS)
+    def run(arrow: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        n = 0
+        for doc_id, key, text in records(arrow, 64):
+            own = least_blocks(text or "", min_chars)
+            if len(own[0]):
+                held.append((doc_id, key, *own))
+                n += len(own[0])
+            if n >= 50_000:
+                yield batch(held)
+                held, n = [], 0
+        if held:
+            yield batch(held)
 
     return run
 

@@ -56,7 +56,8 @@ def splitting_tree(counts: np.ndarray, shards: int, seed: int) -> np.ndarray:
     """(shards, sources) block counts: columns sum to `counts`, rows differ by one block at most.
 
     Each node splits its counts between its halves by a multivariate hypergeometric draw, done as a chain of
-    univariate ones, so that no count is too large for it.
+    univariate ones, so that no count is too large for it.  Without sources there are no columns; a source of no
+    blocks has zeros; equal seeds give equal tables.
     """
     rng = np.random.default_rng(seed)
 
