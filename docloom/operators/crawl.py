@@ -40,8 +40,8 @@ def crawl(seeds: DataFrame, fetcher: Fetcher | DataFrame, site: Site = SITE, max
     pages = spark.createDataFrame([], "url string, depth int, html string")
     depth, left = 0, max_pages
     while left > 0 and (n := frontier.count()):
-        now = frontier if n <= left else frontier.orderBy("url").limit(left)  # sorted only where the bound cuts a level
-        now = checkpointed(now.withColumn("depth", F.lit(depth)))
+        now = frontier if n <= left else checkpointed(frontier.orderBy("url").limit(left))  # sorted only where the bound cuts a level
+        now = now.withColumn("depth", F.lit(depth))
         left -= min(n, left)
         seen.append(now)
         got = fetch(now.where(~is_pdf(F.col("url"))), fetcher, delay=delay).where(F.col("error").isNull() & is_html(F.col("content_type"), site))
