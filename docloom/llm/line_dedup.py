@@ -149,7 +149,9 @@ def aligned(met: list[tuple[int, int, int]], moved: bool) -> set[int]:
 
 
 _BLOCKS = pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), ("h", pa.list_(pa.int64())), ("c", pa.list_(pa.int32())), ("at", pa.list_(pa.int32())), ("lines", pa.list_(pa.int32()))])
-_CUT = pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), ("lines", pa.list_(pa.int32()))])
+_NODE = [("doc_id", pa.int64()), ("key", pa.int64())]
+_CUT = pa.schema([*_NODE, ("lines", pa.list_(pa.int32())), ("partner", pa.struct(_NODE))])
+CUT = "doc_id long, key long, lines array<int>, partner struct<doc_id:bigint,key:bigint>"
 
 
 def _blocks(min_chars: int):
@@ -180,13 +182,17 @@ def _align(moved: bool):
     def run(arrow: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows() -> Iterator[tuple]:
             for doc_id, key, first, here, there, lines in records(arrow, 64):
-                partners: dict[int, list[tuple[int, int, int]]] = {}
+                partners: dict[tuple[int, int], list[tuple[int, int, int]]] = {}
                 for e, *block in zip(first, here, there, lines):
-                    partners.setdefault(e, []).append(tuple(block))
+                    partners.setdefault((e["doc_id"], e["key"]), []).append(tuple(block))
                 gone: set[int] = set()
-                for met in partners.values():
-                    gone |= aligned(met, moved)
-                yield doc_id, key, sorted(gone)
+                most, best = -1, (0, 0)
+                for e, met in sorted(partners.items()):
+                    own = aligned(met, moved)
+                    gone |= own
+                    if len(own) > most:
+                        most, best = len(own), e
+                yield doc_id, key, sorted(gone), {"doc_id": best[0], "key": best[1]}
 
         yield from batches(rows(), _CUT)
 
@@ -194,7 +200,7 @@ def _align(moved: bool):
 
 
 def aligned_lines(docs: DataFrame, min_chars: int = 32, moved: bool = True) -> DataFrame:
-    """(doc_id, key, lines): the line numbers to delete from each document that has any.
+    """(doc_id, key, lines, partner): the line numbers to delete from each document that has any, and which document holds most of them.
 
     Blocks are told apart by 95 bits.  All that travels is a few numbers for each line, whatever documents hold it: a
     frequent line sends each of its holders to one partner, and a document gathers its own blocks only.
@@ -208,22 +214,20 @@ def aligned_lines(docs: DataFrame, min_chars: int = 32, moved: bool = True) -> D
     shared = held.groupBy("block").agg(F.min(F.struct("d", "here")).alias("first"), F.max("d").alias("last"), F.count(F.lit(1)).alias("n")).where("first.d != last")
     shared = checkpointed(shared.select("block", F.col("first.d").alias("e"), F.col("first.here").alias("there"), "n"))
     met = counted_join(held, shared, "block", F.col("d")).where("d != e")
-    # A partner is named by a hash: within one document, partners are few enough to be told apart by 64 bits.
-    met = met.groupBy("d").agg(F.collect_list(F.struct(F.xxhash64("e").alias("e"), "here", "there", "lines")).alias("b"))
-    cut = met.select("d.doc_id", "d.key", "b.e", "b.here", "b.there", "b.lines").mapInArrow(_align(moved), "doc_id long, key long, lines array<int>")
-    return cut
+    met = met.groupBy("d").agg(F.collect_list(F.struct("e", "here", "there", "lines")).alias("b"))
+    return met.select("d.doc_id", "d.key", "b.e", "b.here", "b.there", "b.lines").mapInArrow(_align(moved), CUT)
 
 
-def dedup_lines(docs: DataFrame, **parameters) -> DataFrame:
+def dedup_lines(docs: DataFrame, cut: DataFrame | None = None, **parameters) -> DataFrame:
     """The rows of `docs` with `text` without the deleted lines, and `_n_lines`, `_n_removed`, `_n_chars` and `_n_left`.
 
     Earlier means a smaller doc_id (null last), then a smaller hash of the text; rows alike in both are one document
     and are treated alike.  A line stays in the first document that holds it.  Blank lines go with the lines on both
     sides of them.  `_n_chars` counts the text's characters without white space, `_n_left` those that are left.  Null texts stay null; an empty
     text is one blank line; texts of fewer than `min_chars` characters stay; an empty table gives no rows; other columns
-    are carried through, but for those named like the four results.
+    are carried through, but for those named like the four results.  `cut` gives the lines, where they are known.
     """
-    cut = aligned_lines(docs.select("doc_id", "text"), **parameters)
+    cut = aligned_lines(docs.select("doc_id", "text"), **parameters) if cut is None else cut
     cut = cut.select(F.col("doc_id").alias("own"), F.col("key").alias("hash"), F.col("lines").alias("cut"))
     text = F.col("text").cast("string")
     rows = packed(docs, own=F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)), hash=text_key(text))

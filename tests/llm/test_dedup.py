@@ -212,6 +212,24 @@ def test_recall_of_similar_pairs_on_the_tables(spark):
     assert len(near) > 50 and all(of[a] == of[b] for a, b in near)
 
 
+def test_similar_pairs_are_those_of_the_exact_similarity(spark):
+    rnd = random.Random(8)
+    docs = [(k, " ".join(words(rnd, rnd.choice([5, 40, 300])))) for k in range(40)] + [(40, None), (41, "")]
+    for k in range(40):
+        own = docs[k][1].split()
+        for _ in range(rnd.randrange(1 + len(own) // 15)):
+            own[rnd.randrange(len(own))] = "new" + str(rnd.random())
+        docs.append((100 + k, " ".join(own)))
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    node = F.struct(F.col("doc_id"), common.text_key(F.col("text")).alias("key"))
+    one, two = df.select(node.alias("d")), df.where("doc_id < 42").select(node.alias("e"))
+    pairs = one.join(two, F.col("d.doc_id") % 100 == F.col("e.doc_id") % 100)
+    got = {(r["d"]["doc_id"], r["e"]["doc_id"]) for r in near_dup.similar_pairs(pairs, df).collect()}
+    bags = {d: near_dup.shingles(t or "") for d, t in docs}
+    assert got == {(a, b) for a in bags for b in bags if b < 42 and a % 100 == b and near_dup.weighted_jaccard(bags[a], bags[b]) >= 0.8}
+    assert near_dup.similar_pairs(pairs.limit(0), df).count() == 0
+
+
 def test_hot_keys_meet_in_several_tasks(spark):
     rows = spark.createDataFrame([(k, 1 if k < 900 else k) for k in range(1000)], "d long, h long")
     found = rows.groupBy("h").count().withColumnRenamed("count", "n")
