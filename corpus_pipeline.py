@@ -6,8 +6,10 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from docloom.llm import bpe, language_id, line_dedup, mixing, near_dup
+from docloom.llm.common import checkpointed
 from docloom.llm.queries import tokenizer_path
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -25,10 +27,14 @@ DEPLETED = 0.2
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that align with an earlier document go, and so do documents of which that leaves a fifth or less.
 
-    They are copies of what stands earlier, exact or near: what is left of a near copy resembles nothing, so the next
-    stage couldn't know it.
+    A near duplicate of the document that it shares most lines with stays whole: without those lines it would resemble
+    nothing, and the next stage, which drops it, couldn't know it.
     """
-    out = line_dedup.dedup_lines(docs).where(f"_n_removed = 0 or _n_left > {DEPLETED} * _n_chars")
+    cut = checkpointed(line_dedup.aligned_lines(docs.select("doc_id", "text")))
+    node = F.struct("doc_id", "key")
+    copies = near_dup.similar_pairs(cut.select(node.alias("d"), F.col("partner").alias("e")), docs.select("doc_id", "text"))
+    cut = cut.join(copies.select("d.doc_id", "d.key"), ["doc_id", "key"], "left_anti")
+    out = line_dedup.dedup_lines(docs, cut).where(f"_n_removed = 0 or _n_left > {DEPLETED} * _n_chars")
     return out.selectExpr("doc_id", "text", "lang", "source", "case when _n_removed = 0 then n_chars else cast(length(text) as bigint) end as n_chars")
 
 
