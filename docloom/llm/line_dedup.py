@@ -150,8 +150,8 @@ def aligned(met: list[tuple[int, int, int]], moved: bool) -> set[int]:
 
 _BLOCKS = pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), ("h", pa.list_(pa.int64())), ("c", pa.list_(pa.int32())), ("at", pa.list_(pa.int32())), ("lines", pa.list_(pa.int32()))])
 _NODE = [("doc_id", pa.int64()), ("key", pa.int64())]
-_CUT = pa.schema([*_NODE, ("lines", pa.list_(pa.int32())), ("partner", pa.struct(_NODE))])
-CUT = "doc_id long, key long, lines array<int>, partner struct<doc_id:bigint,key:bigint>"
+_CUT = pa.schema([*_NODE, ("lines", pa.list_(pa.int32())), ("partner", pa.struct(_NODE)), ("others", pa.list_(pa.int32()))])
+CUT = "doc_id long, key long, lines array<int>, partner struct<doc_id:bigint,key:bigint>, others array<int>"
 
 
 def _blocks(min_chars: int):
@@ -185,14 +185,10 @@ def _align(moved: bool):
                 partners: dict[tuple[int, int], list[tuple[int, int, int]]] = {}
                 for e, *block in zip(first, here, there, lines):
                     partners.setdefault((e["doc_id"], e["key"]), []).append(tuple(block))
-                gone: set[int] = set()
-                most, best = -1, (0, 0)
-                for e, met in sorted(partners.items()):
-                    own = aligned(met, moved)
-                    gone |= own
-                    if len(own) > most:
-                        most, best = len(own), e
-                yield doc_id, key, sorted(gone), {"doc_id": best[0], "key": best[1]}
+                gone = {e: aligned(met, moved) for e, met in sorted(partners.items())}
+                best = max(gone, key=lambda e: len(gone[e]))
+                others = set().union(*(lines for e, lines in gone.items() if e != best))
+                yield doc_id, key, sorted(others | gone[best]), {"doc_id": best[0], "key": best[1]}, sorted(others)
 
         yield from batches(rows(), _CUT)
 
@@ -200,7 +196,7 @@ def _align(moved: bool):
 
 
 def aligned_lines(docs: DataFrame, min_chars: int = 32, moved: bool = True) -> DataFrame:
-    """(doc_id, key, lines, partner): the line numbers to delete from each document that has any, and which document holds most of them.
+    """(doc_id, key, lines, partner, others): the line numbers to delete from each document that has any, which document holds most of them, and those that others hold.
 
     Blocks are told apart by 95 bits.  All that travels is a few numbers for each line, whatever documents hold it: a
     frequent line sends each of its holders to one partner, and a document gathers its own blocks only.
