@@ -27,13 +27,15 @@ DEPLETED = 0.2
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that align with an earlier document go, and so do documents of which that leaves a fifth or less.
 
-    A near duplicate of the document that it shares most lines with stays whole: without those lines it would resemble
-    nothing, and the next stage, which drops it, couldn't know it.
+    A near duplicate of the document that it shares most lines with keeps those lines, and loses only what that one loses
+    too: without them it would resemble nothing, and the next stage, which drops it, couldn't know it.
     """
     cut = checkpointed(line_dedup.aligned_lines(docs.select("doc_id", "text")))
     node = F.struct("doc_id", "key")
     copies = near_dup.similar_pairs(cut.select(node.alias("d"), F.col("partner").alias("e")), docs.select("doc_id", "text"))
-    cut = cut.join(copies.select("d.doc_id", "d.key"), ["doc_id", "key"], "left_anti")
+    copies = copies.select("d.doc_id", "d.key", F.lit(True).alias("copy")).distinct()
+    lines = F.when(F.col("copy"), F.col("others")).otherwise(F.col("lines"))
+    cut = cut.join(copies, ["doc_id", "key"], "left").select("doc_id", "key", lines.alias("lines")).where("size(lines) > 0")
     out = line_dedup.dedup_lines(docs, cut).where(f"_n_removed = 0 or _n_left > {DEPLETED} * _n_chars")
     return out.selectExpr("doc_id", "text", "lang", "source", "case when _n_removed = 0 then n_chars else cast(length(text) as bigint) end as n_chars")
 
