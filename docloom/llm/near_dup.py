@@ -47,15 +47,17 @@ _powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
 def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse modulo 2 ** 64, at least n of each."""
-    if len(_powers[0]) < n:
-        size = max(n, 2 * len(_powers[0]), 1 << 16)
-        for k, b in enumerate((_BASE, _INVERSE)):
-            x = np.full(size, b, np.uint64)
-            x[0] = 1
-            np.multiply.accumulate(x, out=x)
-            _powers[k] = x
-    return _powers[0], _powers[1]
+    """Powers of the base and of its inverse modulo 2 ** 64, at least n of each; those for very long texts aren't kept."""
+    if len(_powers[0]) >= n:
+        return _powers[0], _powers[1]
+    both = []
+    for b in (_BASE, _INVERSE):
+        x = np.full(max(n, 1 << 16), b, np.uint64)
+        x[0] = 1
+        both.append(np.multiply.accumulate(x, out=x))
+    if n <= 1 << 16:
+        _powers[:] = both
+    return both[0], both[1]
 
 
 def mix(x: np.ndarray) -> np.ndarray:
