@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from docloom.functions.chunk import chunks
-from docloom.functions.text import length_gate, letter_gate, normalize
+from docloom.functions.text import length_gate, let, letter_gate, normalize
 from docloom.functions.urls import uid
 from docloom.plugins import Fetcher, PageTextExtractor
 
@@ -84,8 +84,9 @@ def page_texts(files: DataFrame, extractor: PageTextExtractor) -> DataFrame:
 
 def _chunked(pages: DataFrame, normalized: bool, min_chars: int, min_letters: int, size: int) -> DataFrame:
     rows = pages.where(length_gate(F.col("text"), min_chars))
-    rows = rows.withColumn("text", normalize(F.col("text")) if normalized else F.col("text")).where(letter_gate(F.col("text"), min_letters))
-    rows = rows.select("*", F.posexplode(chunks(F.col("text"), size)).alias("_k", "content"))
+    text = normalize(F.col("text")) if normalized else F.col("text")
+    found = let(text, lambda t: F.when(letter_gate(t, min_letters), chunks(t, size)))  # the text is normalised once
+    rows = rows.select("*", F.posexplode(found).alias("_k", "content"))
     return rows.withColumn("chunk", F.col("_k") + 1).drop("_k", "text")
 
 
