@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from html.entities import html5
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -79,10 +80,21 @@ def _text(node: list) -> str:
     return " ".join(s for x in _walk(node) if isinstance(x, str) and (s := x.strip()))
 
 
-def tree_text(page: str, site: Site = SITE, least: int = 200) -> str:
-    """Main text by the site's selectors in order, then the body, then everything."""
+_REFERENCE = re.compile(r"&(?:#[0-9]+;|#[xX][0-9a-fA-F]+;|([A-Za-z][A-Za-z0-9]*;))?")
+
+
+def _open_as_text(page: str) -> str:
+    """`page` with each ampersand that starts no complete reference escaped, so that a parser leaves it as it stands."""
+    return _REFERENCE.sub(lambda m: m[0] if len(m[0]) > 1 and (m[1] is None or m[1] in html5) else "&amp;" + m[0][1:], page)
+
+
+def tree_text(page: str, site: Site = SITE, least: int = 200, open_references: bool = True) -> str:
+    """Main text by the site's selectors in order, then the body, then everything.
+
+    References that lack their semicolon (`&amp<`) are decoded, as browsers do, unless `open_references` is False.
+    """
     tree = _Tree()
-    tree.feed(page)
+    tree.feed(page if open_references else _open_as_text(page))
     tree.close()
     nodes = [x for x in _walk(tree.root) if not isinstance(x, str)]
     for tag, attribute, value in site.selectors:
@@ -92,10 +104,10 @@ def tree_text(page: str, site: Site = SITE, least: int = 200) -> str:
     return _text(next((x for x in nodes if x[0] == "body"), tree.root))
 
 
-def main_text_exact(page: Column, site: Site = SITE, least: int = 200) -> Column:
+def main_text_exact(page: Column, site: Site = SITE, least: int = 200, open_references: bool = True) -> Column:
     @F.pandas_udf("string")
     def run(pages: pd.Series) -> pd.Series:
-        return pages.map(lambda p: None if p is None else tree_text(p, site, least))
+        return pages.map(lambda p: None if p is None else tree_text(p, site, least, open_references))
 
     return run(page)
 
