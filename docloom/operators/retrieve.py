@@ -18,11 +18,14 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from docloom.functions.text import is_blank
+from docloom.operators.persist import checkpointed
 from docloom.plugins import Embedder, Reranker
 from docloom.sources.store import embed_column, norm
 
 #: Queries that meet the collection in one pass; more are dealt into several.
 QUERY_BLOCK = 4096
+#: Queries and rows whose scores a task holds at once (2 MB), whatever the block and the collection.
+TILE = (256, 1024)
 
 
 def cosine(a: Column, b: Column) -> Column:
@@ -39,7 +42,7 @@ def nearest(queries: DataFrame, collection: DataFrame, k: int, block: int = QUER
     """
     spark = collection.sparkSession
     schema = T.StructType([T.StructField("qid", queries.schema["qid"].dataType), T.StructField("id", collection.schema["id"].dataType), T.StructField("similarity", T.DoubleType())])
-    wanted = queries.select("qid", "embedding").where("size(embedding) > 0")
+    wanted = checkpointed(queries.select("qid", "embedding").where("size(embedding) > 0"))  # else each block would embed all again
     parts = -(-max(1, wanted.count()) // block)
     found = None
     for part in range(parts):
@@ -49,7 +52,10 @@ def nearest(queries: DataFrame, collection: DataFrame, k: int, block: int = QUER
             same = [r for r in rows if len(r["embedding"]) == dimensions]
             x = np.array([r["embedding"] for r in same], np.float64)
             size = np.linalg.norm(x, axis=1)
-            sent = spark.sparkContext.broadcast(([r["qid"] for r in same], x / np.where(size > 0, size, np.nan)[:, None]))
+            ok = np.isfinite(size) & (size > 0)
+            if not ok.any():
+                continue
+            sent = spark.sparkContext.broadcast(([r["qid"] for r, good in zip(same, ok) if good], x[ok] / size[ok][:, None]))
             got = collection.select("id", "embedding").where(F.size("embedding") == dimensions).mapInArrow(_score(sent, k, digits, to_arrow_schema(schema)), schema)
             found = got if found is None else found.union(got)
     if found is None:
@@ -61,28 +67,46 @@ def nearest(queries: DataFrame, collection: DataFrame, k: int, block: int = QUER
 def _score(sent, k: int, digits: int, schema: pa.Schema):
     def run(arrow: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, x = sent.value
-        best = [(np.zeros(0), np.zeros(0, object))] * len(keys)
+        best, ids = np.full((len(keys), k), -np.inf), np.full((len(keys), k), None, object)
         for batch in arrow:
-            for at in range(0, batch.num_rows, 2048):
-                part = batch.slice(at, 2048)
-                ids = np.array(part.column(0).to_pylist(), object)
-                y = part.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(ids), -1)
+            for at in range(0, batch.num_rows, TILE[1]):
+                part = batch.slice(at, TILE[1])
+                own = part.column(0).to_pylist()
+                order = sorted(range(len(own)), key=lambda j: (own[j] is not None, own[j]))
+                y = part.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(own), -1)[order]
                 size = np.linalg.norm(y, axis=1)
-                scores = np.round(x @ (y / np.where(size > 0, size, np.nan)[:, None]).T, digits)
-                for q, row in enumerate(scores):
-                    floor = best[q][0][-1] if len(best[q][0]) == k else -np.inf
-                    ok = np.flatnonzero(row >= floor)
-                    if len(ok):
-                        s, i = np.concatenate([best[q][0], row[ok]]), np.concatenate([best[q][1], ids[ok]])
-                        order = sorted(range(len(s)), key=lambda j: (-s[j], i[j]))[:k]
-                        best[q] = (s[order], i[order])
-        for q, (s, i) in enumerate(best):
-            if len(s):
-                yield pa.RecordBatch.from_arrays([pa.array([keys[q]] * len(s), schema.field(0).type), pa.array(i.tolist(), schema.field(1).type), pa.array(s)], schema=schema)
+                ok = np.isfinite(size) & (size > 0)
+                own, y = [own[j] for j, good in zip(order, ok) if good], y[ok] / size[ok][:, None]
+                for q in range(0, len(keys) if own else 0, TILE[0]):
+                    _keep(x[q : q + TILE[0]] @ y.T, own, best[q : q + TILE[0]], ids[q : q + TILE[0]], digits)
+        q, at = np.nonzero(best > -np.inf)
+        if len(q):
+            yield pa.RecordBatch.from_arrays([pa.array([keys[j] for j in q], schema.field(0).type), pa.array(ids[q, at].tolist(), schema.field(1).type), pa.array(best[q, at])], schema=schema)
 
     return run
 
 
+def _keep(scores: np.ndarray, own: list, best: np.ndarray, ids: np.ndarray, digits: int) -> None:
+    """Take the scores of a tile (queries by rows, the rows sorted by id) into each query's best k, in place."""
+    k, rows = best.shape[1], scores.shape[1]
+    floor, slack = best[:, -1], 10.0**-digits  # rounded scores that are equal differ by less than `slack`
+    least, open_ = floor - slack, np.isneginf(floor)
+    if rows > k and open_.any():
+        least[open_] = np.partition(scores[open_], rows - k, axis=1)[:, rows - k] - slack
+    q, j = np.nonzero(scores >= least[:, None])
+    v = np.round(scores[q, j], digits)
+    ok = v >= floor[q]
+    q, j, v = q[ok], j[ok], v[ok]
+    order = np.lexsort((j, -v, q))
+    order = order[np.arange(len(q)) - np.searchsorted(q, q) < k]  # `q` is sorted as it is
+    q, j, v = q[order], j[order], v[order]
+    for at in np.split(np.arange(len(q)), np.flatnonzero(np.diff(q)) + 1) if len(q) else ():
+        at_q = q[at[0]]
+        both = [(-a, i is not None, i) for a, i in zip(best[at_q].tolist(), ids[at_q]) if a > -np.inf]
+        both = sorted(both + [(-a, own[c] is not None, own[c]) for a, c in zip(v[at].tolist(), j[at])])[:k]
+        best[at_q, : len(both)], ids[at_q, : len(both)] = [-a for a, _, _ in both], [i for *_, i in both]
+
+
 def first_of_each(rows: DataFrame, keys: list[str], order: str = "pos") -> DataFrame:
     """The first row by `order` for each value of the keys; rows with a null order come last.
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,13 +17,16 @@ SCHEMA = f"id string, content string, metadata {METADATA}, embedding array<float
 
 
 def embed_column(embedder: Embedder, task: str, c: Column, batch: int = 128) -> Column:
-    @F.pandas_udf("array<float>")
-    def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    """Vectors of texts; only `batch` texts are Python objects at a time, however many rows Arrow brings."""
+
+    @F.arrow_udf("array<float>")
+    def run(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for part in parts:
-            out: list[np.ndarray] = []
+            out = []
             for at in range(0, len(part), batch):
-                out += list(embedder.embed([t or "" for t in part.iloc[at : at + batch]], task))
-            yield pd.Series(out, dtype="object")
+                x = np.asarray(embedder.embed([t or "" for t in part.slice(at, batch).to_pylist()], task), np.float32)
+                out.append(pa.ListArray.from_arrays(np.arange(len(x) + 1, dtype=np.int32) * x.shape[1], x.ravel()))
+            yield pa.concat_arrays(out) if out else pa.array([], pa.list_(pa.float32()))
 
     return run(c)
 
