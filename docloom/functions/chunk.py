@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from docloom.config import HEADING_WORDS, ORDINALS
 from docloom.functions.text import bounded_sentences, is_blank, is_heading, let
 
 
@@ -60,3 +63,43 @@ def _with_overlap(text: Column, size: int, max_sentence: int, overlap: int) -> C
 
     packed = F.aggregate(bounded_sentences(text, max_sentence), start, step, flushed)
     return F.when(is_blank(text), F.array().cast("array<string>")).otherwise(F.transform(packed, lambda u: F.array_join(u, " ")))
+
+
+_ENDS, _COMMAS, _WORD, _ORDINAL = re.compile("[.!؟\n]+"), re.compile("[,،]+"), re.compile(rf"(?<!\w)(?:{'|'.join(HEADING_WORDS)})(?!\w)"), re.compile(rf"(?:{'|'.join(ORDINALS)})(?=\w)")
+
+
+def _is_heading(line: str) -> bool:
+    """is_heading() of one line."""
+    if len(line) < 6:
+        return False
+    s = " ".join(line.split())
+    if not 6 <= len(s) <= 80 or s.count(" ") > 10:
+        return False
+    return (len(s) <= 60 and s.count(":") == 1 and s[-1] not in ".!؟") or (any(w in s for w in HEADING_WORDS) and _WORD.search(s) is not None) or _ORDINAL.match(s) is not None
+
+
+def _units(text: str, most: int) -> list[str]:
+    """bounded_sentences() of one text."""
+    out: list[str] = []
+    for s in _ENDS.split(re.sub("[ \t]+", " ", text)):
+        s = s.strip()
+        if len(s) <= most:
+            out.append(s)
+            continue
+        parts = [x for p in _COMMAS.split(s) if (x := p.strip())]
+        out += parts if len(parts) > 1 else [s[k : k + most].strip() for k in range(0, len(s), most)]
+    return [x for x in out if x]
+
+
+def chunk_text(text: str, size: int = 300, max_sentence: int = 150) -> list[str]:
+    """chunks() of one text without overlap, for tasks that hold texts in Python anyway."""
+    out: list[list[str]] = []
+    n = 0
+    for x in _units(text, max_sentence):
+        grown = n + len(x) + (1 if out else 0)
+        heading = _is_heading(x)
+        if not out or heading or grown > size:
+            out.append([])
+        out[-1].append(x)
+        n = len(x) + 1 if heading else len(x) if grown > size else grown
+    return [" ".join(x) for x in out]

@@ -12,8 +12,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from docloom.functions.chunk import chunks
-from docloom.functions.text import length_gate, let, letter_gate, normalize
+from docloom.functions.chunk import chunk_text
+from docloom.functions.text import has_letters
+from docloom.functions.text import normalized as normalized_text
 from docloom.functions.urls import uid
 from docloom.plugins import Fetcher, PageTextExtractor
 
@@ -60,34 +61,58 @@ def decoded(bodies: pd.Series, content_types: pd.Series) -> pd.Series:
     return pd.Series(out, dtype="object")
 
 
+def _pages(arrow: Iterable[pa.RecordBatch], extractor: PageTextExtractor) -> Iterator[tuple[str, int, str | None]]:
+    """(path, page, text) of (path, content) batches; OCR runs only for pages whose own text says too little."""
+    for batch in arrow:
+        for path, content in zip(*batch.columns):
+            path, content = path.as_py(), content.as_py()  # one document at a time
+            try:
+                pages = list(extractor.pages(content or b""))
+            except Exception:  # noqa: BLE001  a broken document has no pages
+                pages = []
+            for k, text in enumerate(pages):
+                if text is None:
+                    try:
+                        text = extractor.ocr(content, k)
+                    except Exception:  # noqa: BLE001
+                        text = ""
+                yield path, k + 1, text
+
+
+def _batched(rows: Iterable[tuple], schema: pa.Schema, most: int = 2_000, most_chars: int = 4_000_000) -> Iterator[pa.RecordBatch]:
+    """Rows in Arrow batches of bounded size: a batch for each row costs more than the row."""
+    held: list[tuple] = []
+    chars = 0
+    done = lambda: pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held), schema)], schema=schema)
+    for row in rows:
+        held.append(row)
+        chars += len(row[-1] or "")
+        if len(held) >= most or chars >= most_chars:
+            yield done()
+            held, chars = [], 0
+    if held:
+        yield done()
+
+
 def page_texts(files: DataFrame, extractor: PageTextExtractor) -> DataFrame:
-    """(path, page, text) of (path, content) rows; OCR runs only for pages whose own text says too little."""
+    """(path, page, text) of (path, content) rows."""
     schema = pa.schema([("path", pa.string()), ("page", pa.int32()), ("text", pa.string())])
+    return files.select("path", "content").mapInArrow(lambda arrow: _batched(_pages(arrow, extractor), schema), "path string, page int, text string")
 
-    def run(arrow: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in arrow:
-            for path, content in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist()):
-                try:
-                    pages = list(extractor.pages(content or b""))
-                except Exception:  # noqa: BLE001  a broken document has no pages
-                    pages = []
-                for k, text in enumerate(pages):
-                    if text is None:
-                        try:
-                            text = extractor.ocr(content, k)
-                        except Exception:  # noqa: BLE001
-                            text = ""
-                    yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([k + 1], pa.int32()), pa.array([text])], schema=schema)
-
-    return files.select("path", "content").mapInArrow(run, "path string, page int, text string")
-
-
-def _chunked(pages: DataFrame, normalized: bool, min_chars: int, min_letters: int, size: int) -> DataFrame:
-    rows = pages.where(length_gate(F.col("text"), min_chars))
-    text = normalize(F.col("text")) if normalized else F.col("text")
-    found = let(text, lambda t: F.when(letter_gate(t, min_letters), chunks(t, size)))  # the text is normalised once
-    rows = rows.select("*", F.posexplode(found).alias("_k", "content"))
-    return rows.withColumn("chunk", F.col("_k") + 1).drop("_k", "text")
+
+def _chunked(files: DataFrame, extractor: PageTextExtractor, normalized: bool, min_chars: int, min_letters: int, size: int) -> DataFrame:
+    """(path, page, chunk, content) of (path, content) rows, in one pass over the pages where they are read."""
+    schema = pa.schema([("path", pa.string()), ("page", pa.int32()), ("chunk", pa.int32()), ("content", pa.string())])
+
+    def rows(arrow: Iterable[pa.RecordBatch]) -> Iterator[tuple]:
+        for path, page, text in _pages(arrow, extractor):
+            if text is not None and len(text.strip()) >= min_chars:
+                text = normalized_text(text) if normalized else text
+                if has_letters(text, min_letters):
+                    for k, content in enumerate(chunk_text(text, size)):
+                        yield path, page, k + 1, content
+
+    return files.select("path", "content").mapInArrow(lambda arrow: _batched(rows(arrow), schema), "path string, page int, chunk int, content string")
 
 
 def chunk_local_documents(spark: SparkSession, path: str, extractor: PageTextExtractor, normalized: bool = True, min_chars: int = 15, size: int = 300) -> DataFrame:
@@ -98,14 +123,14 @@ def chunk_local_documents(spark: SparkSession, path: str, extractor: PageTextExt
 def chunk_files(files: DataFrame, extractor: PageTextExtractor, normalized: bool = True, min_chars: int = 15, size: int = 300) -> DataFrame:
     """The same of (path, content) rows."""
     stem = F.regexp_replace(F.element_at(F.split("path", "/"), -1), r"\.[^.]*$", "")
-    rows = _chunked(page_texts(files, extractor), normalized, min_chars, 10, size).withColumn("stem", stem)
+    rows = _chunked(files, extractor, normalized, min_chars, 10, size).withColumn("stem", stem)
     return rows.select(F.concat("stem", F.lit("_page_"), "page", F.lit("_chunk_"), "chunk").alias("id"), F.lit(None).cast("string").alias("url"), F.col("page").alias("page_number"), F.col("chunk").alias("chunk_index"), "content", metadata("PDF_page", F.col("stem"), F.col("page")).alias("metadata"))
 
 
 def chunk_remote_documents(urls: DataFrame, fetcher: Fetcher, extractor: PageTextExtractor, normalized: bool = True, min_chars: int = 20, min_letters: int = 10, size: int = 300) -> DataFrame:
     """Chunks of fetched documents; addresses that fail give no rows."""
     got = fetch(urls, fetcher).where("error is null").select(F.col("url").alias("path"), F.col("body").alias("content"))
-    rows = _chunked(page_texts(got, extractor), normalized, min_chars, min_letters, size)
+    rows = _chunked(got, extractor, normalized, min_chars, min_letters, size)
     stem = F.regexp_replace(F.regexp_extract("path", r"([^/?#]*)(?:[?#].*)?$", 1), r"\.[^.]*$", "")
     own = F.concat(F.lit("_pdf_"), "page", F.lit("_chunk_"), "chunk")
     return rows.select(uid(F.col("path"), own).alias("id"), F.lit(None).cast("string").alias("url"), F.lit(None).cast("int").alias("page_number"), F.lit(None).cast("int").alias("chunk_index"), "content", metadata("PDF_page", stem, F.col("page"), F.col("chunk"), F.col("path")).alias("metadata"))
