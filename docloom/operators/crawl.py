@@ -26,6 +26,12 @@ def bfs_levels(edges: DataFrame, seeds: DataFrame, max_depth: int | None = None)
     return reduce(DataFrame.union, levels)
 
 
+def _html(fetched: DataFrame, site: Site, *more: str) -> DataFrame:
+    """(url, html) of fetched HTML pages (url, content_type, body), and columns `more`."""
+    rows = fetched.where(~is_pdf(F.col("url")) & is_html(F.col("content_type"), site))
+    return rows.select("url", *more, decoded(F.col("body"), F.col("content_type")).alias("html"))
+
+
 def crawl(seeds: DataFrame, fetcher: Fetcher | DataFrame, site: Site = SITE, max_pages: int = 1500, delay: float = 0.0) -> tuple[DataFrame, DataFrame]:
     """(pages, documents): (url, depth, text) of HTML pages with text, (url, depth) of PDF addresses, to be read by chunk_remote_documents().
 
@@ -33,8 +39,12 @@ def crawl(seeds: DataFrame, fetcher: Fetcher | DataFrame, site: Site = SITE, max
 
     Levels are visited in order, addresses in order inside a level, `max_pages` in all, failures and PDFs included.
     Each level's fetches are checkpointed, so none is repeated.  Links come from the whole page, text from its main part.
+    Of a table, pages are read once for their links and once for their text; levels meet addresses only, never bodies.
     """
     spark = seeds.sparkSession
+    held = fetcher if isinstance(fetcher, DataFrame) else None
+    if held is not None:
+        edges = checkpointed(page_links(_html(held, site), site=site).repartition("src"))
     frontier = checkpointed(seeds.select(canonical(F.col("url")).alias("url")).distinct())
     seen = [spark.createDataFrame([], "url string, depth int")]
     pages = spark.createDataFrame([], "url string, depth int, html string")
@@ -44,12 +54,17 @@ def crawl(seeds: DataFrame, fetcher: Fetcher | DataFrame, site: Site = SITE, max
         now = now.withColumn("depth", F.lit(depth))
         left -= min(n, left)
         seen.append(now)
-        got = fetch(now.where(~is_pdf(F.col("url"))), fetcher, delay=delay).where(F.col("error").isNull() & is_html(F.col("content_type"), site))
-        got = checkpointed(got.select("url", F.lit(depth).alias("depth"), decoded(F.col("body"), F.col("content_type")).alias("html")))
-        pages = pages.union(got)
-        links = page_links(got, site=site).select(F.col("dst").alias("url")).distinct()
+        if held is not None:
+            links = edges.join(now.select(F.col("url").alias("src")), "src").select(F.col("dst").alias("url")).distinct()
+        else:
+            got = _html(fetch(now.where(~is_pdf(F.col("url"))), fetcher, delay=delay).where("error is null"), site)
+            got = checkpointed(got.withColumn("depth", F.lit(depth)).select("url", "depth", "html"))
+            pages = pages.union(got)
+            links = page_links(got, site=site).select(F.col("dst").alias("url")).distinct()
         frontier = checkpointed(links.join(reduce(DataFrame.union, seen).select("url"), "url", "left_anti"))
         depth += 1
+    if held is not None:
+        pages = _html(held.join(reduce(DataFrame.union, seen), "url"), site, "depth")
     text = normalize(main_text_exact(F.col("html"), site))
     return pages.select("url", "depth", text.alias("text")).where("text <> ''"), reduce(DataFrame.union, seen).where(is_pdf(F.col("url")))
 
@@ -57,4 +72,5 @@ def crawl(seeds: DataFrame, fetcher: Fetcher | DataFrame, site: Site = SITE, max
 def crawl_documents(seeds: DataFrame, fetcher: Fetcher | DataFrame, extractor: PageTextExtractor, site: Site = SITE, site_name: str = "", max_pages: int = 1500, delay: float = 0.0) -> DataFrame:
     """What a crawl gives a collection: one row for each web page with text, and the chunks of the PDFs that it met."""
     pages, files = crawl(seeds, fetcher, site, max_pages, delay)
+    fetcher = fetcher.where(is_pdf(F.col("url"))) if isinstance(fetcher, DataFrame) else fetcher  # no other body is moved
     return web_rows(pages, site_name or site.domain).unionByName(chunk_remote_documents(files.select("url"), fetcher, extractor))
